@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import dist
 from ..plans.frames import (clean, collect_bounded, complete, fetch, need, num, numeric_columns, one_row,
@@ -17,7 +17,7 @@ from ..plans.order import (average_ranks, concordance, cumulate, is_small, quant
                            value_counts, with_average_rank)
 
 
-def descriptive_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def descriptive_stats(df: DataFrame, columns: Sequence[str] | None = None, small: int | None = None) -> DataFrame:
     """count/mean/std/min/quartiles/max of numerics and count/unique/top/freq of text, one row per column.
 
     Numerics come from one aggregate; text columns from one grouped count over the unpivoted columns.
@@ -30,13 +30,15 @@ def descriptive_stats(df: DataFrame, columns: Sequence[str] | None = None) -> Da
     out = []
     if nums:
         stats = []
+        quick = is_small(df, small)
         for c in nums:
             v = num(c)
+            qs = ([F.percentile(v, F.lit(p)) for p in (0.25, 0.5, 0.75)] if quick
+                  else [F.lit(x).cast("double") for x in quantiles(df, c, [0.25, 0.5, 0.75], small)])
             stats.append(F.struct(
                 F.lit(c).alias("column"), F.count(v).alias("n"), F.avg(v).alias("mean"),
                 F.stddev_samp(v).alias("std"), F.min(v).alias("min"),
-                F.percentile(v, F.lit(0.25)).alias("q25"), F.percentile(v, F.lit(0.5)).alias("q50"),
-                F.percentile(v, F.lit(0.75)).alias("q75"), F.max(v).alias("max")))
+                qs[0].alias("q25"), qs[1].alias("q50"), qs[2].alias("q75"), F.max(v).alias("max")))
         one = df.agg(F.array(*stats).alias("s"))
         out.append(one.select(F.explode("s").alias("s")).select("s.*")
                    .select("*", F.lit(None).cast("bigint").alias("unique"),
@@ -370,7 +372,7 @@ def cdf_column(family: str, params: tuple, v: str) -> Column:
         return 1 - F.pow(b / x, a)
     k, th = float(params[0]), float(params[1])
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def gcdf(s):
         return s.map(lambda z: dist.gamma_p(k, z / th))
 
@@ -424,7 +426,7 @@ def goodness_of_fit(df: DataFrame, column: str, family: str = "norm", small: int
                    ks=got["ks"], anderson_darling=-n - got["ad"] / n, cramer_von_mises=1 / (12 * n) + got["cvm"])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def inverse_normal(p: pd.Series) -> pd.Series:
     """Standard normal quantile per Arrow batch: rational start (A&S 26.2.23), then Newton steps on erfc."""
     v = p.to_numpy(float)
@@ -459,11 +461,11 @@ def kernel_density(df: DataFrame, column: str, bandwidth: str = "silverman", gri
     lie within eight bandwidths of a grid point, whatever the number of rows.
     """
     d = complete(df, [column])
-    a = fetch(d, n=F.count(column), s=F.stddev_samp(column), lo=F.min(column), hi=F.max(column),
-              q=F.expr(f"percentile(`{column}`, array(0.25, 0.75))"))
+    a = fetch(d, n=F.count(column), s=F.stddev_samp(column), lo=F.min(column), hi=F.max(column))
+    quart = quantiles(d, column, [0.25, 0.75])
     n, s = float(a["n"]), a["s"]
     refuse(n < 5 or not s, "kernel density needs five rows that vary")
-    iqr = a["q"][1] - a["q"][0]
+    iqr = quart[1] - quart[0]
     spread = min(s, iqr / 1.349) if iqr > 0 else s
     silverman, scott = 0.9 * spread * n ** -0.2, s * n ** -0.2
     h = silverman if bandwidth == "silverman" else scott if bandwidth == "scott" else float(bandwidth)
@@ -520,7 +522,8 @@ def tail_index(df: DataFrame, column: str, k_frac: float = 0.10, tail: str = "up
 
 def tail_index_stable(df: DataFrame, column: str, k_frac: float = 0.10, tail: str = "upper") -> DataFrame:
     t = tail_index(df, column, k_frac, tail)
-    return t.agg(F.count(F.lit(1)).alias("n_k"), F.expr("percentile(case when in_band then alpha end, 0.5)").alias("alpha"))
+    med = quantiles(t.where("in_band"), "alpha", [0.5])[0]
+    return t.agg(F.count(F.lit(1)).alias("n_k"), F.lit(med).alias("alpha"))
 
 
 def finite_mixture(df: DataFrame, column: str, max_k: int = 5, seed: int = 0) -> DataFrame:

@@ -99,7 +99,14 @@ def clean(v):
 
 def rows_frame(spark: SparkSession, schema: str, rows: Iterable[Sequence]) -> DataFrame:
     """A small result table from driver values, with an explicit schema."""
-    return spark.createDataFrame([tuple(clean(v) for v in r) for r in rows], schema)
+    kinds = [f.dataType for f in T._parse_datatype_string(schema).fields]
+    return spark.createDataFrame([tuple(_as(clean(v), t) for v, t in zip(r, kinds, strict=True)) for r in rows], schema)
+
+
+def _as(v, t):
+    if v is None:
+        return None
+    return float(v) if isinstance(t, T.DoubleType) else int(v) if isinstance(t, (T.LongType, T.IntegerType)) else v
 
 
 def one_row(spark: SparkSession, **values) -> DataFrame:

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .frames import num, source_bytes
+from .frames import collect_bounded, num, source_bytes
 
 SMALL_BYTES = 32 << 20     # below this a single-task window is safe
 RANGES = 256               # ranges per key beyond it
@@ -144,35 +144,109 @@ def sorted_position(df: DataFrame, value: str, tiebreak: Sequence[str], out: str
             .select(*df.columns, out))
 
 
-def quantiles(df: DataFrame, value: str, probs: Sequence[float]) -> list[float]:
+def quantiles(df: DataFrame, value: str, probs: Sequence[float], small: int | None = None) -> list[float]:
     """Exact linearly interpolated quantiles of a numeric column as driver values."""
-    arr = ",".join(repr(float(p)) for p in probs)
-    got = df.select(num(value).alias("v")).agg(F.expr(f"percentile(v, array({arr}))")).collect()[0][0]
-    return list(got) if got is not None else [None] * len(probs)
+    got = group_quantiles(df, value, probs, (), small)
+    return got.get((), [None] * len(probs))
 
 
-def concordance(points: DataFrame, x: str, y: str, weight: str, keys: Sequence[str] = (),
-                small: int | None = None) -> DataFrame:
-    """Concordant minus discordant pairs, exactly and without forming pairs.
+def group_quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Sequence[str] = (),
+                    small: int | None = None) -> dict[tuple, list[float]]:
+    """The same per group (key tuple -> quantiles); groups must be few.
 
-    `points` holds distinct (x, y) with a count. y is ranked densely; for every bit of that rank the
-    rows that share the higher bits form a block, where pairs that differ first in this bit are
-    counted by a running sum along x. Cost: rows x bits, one shuffle; ties count as zero.
-    Returns the keys with `concordant` and `discordant`.
+    The built-in exact `percentile` keeps every distinct value of a group in one task, so it serves small
+    inputs only; beyond that the order statistics are picked out of distributed cumulative counts.
     """
     keys = list(keys)
-    ys = cumulate(points.groupBy(*keys, y).agg(F.lit(1).cast("bigint").alias("one")), y, ["one"], keys, small)
-    ranked = points.join(ys.select(*keys, y, F.col("one_before").alias("yr")), [*keys, y])
-    top = ranked.agg(F.max("yr")).collect()[0][0] or 0
-    bits = max(1, int(top).bit_length())
-    ex = ranked.select(*keys, F.col(x).alias("x"), F.col("yr"), F.col(weight).alias("wt"),
-                       F.explode(F.array(*[F.lit(i) for i in range(bits)])).alias("bit"))
-    ex = ex.select(*keys, "x", "bit", F.expr("shiftright(yr, bit + 1)").alias("block"),
-                   F.expr("cast(shiftright(yr, bit) % 2 as int)").alias("side"), "wt")
-    cell = ex.groupBy(*keys, "bit", "block", "x").agg(
-        F.sum(F.when(F.col("side") == 0, F.col("wt")).otherwise(0)).alias("lo"),
-        F.sum(F.when(F.col("side") == 1, F.col("wt")).otherwise(0)).alias("hi"))
-    run = cumulate(cell, "x", ["lo", "hi"], [*keys, "bit", "block"], small)
+    d = df.select(*keys, num(value).alias("__v")).where(F.col("__v").isNotNull())
+    probs = [float(p) for p in probs]
+    if is_small(df, small):
+        arr = ",".join(repr(p) for p in probs)
+        e = F.expr(f"percentile(__v, array({arr}))").alias("__q")
+        rows = collect_bounded(d.groupBy(*keys).agg(e) if keys else d.agg(e), "groups")
+        return {tuple(r[k] for k in keys): list(r["__q"]) for r in rows if r["__q"] is not None}
+    size = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("__total"))
+    c = cumulate(value_counts(d, "__v", keys), "__v", ["n"], keys, small)
+    t = c.join(size, keys) if keys else c.crossJoin(F.broadcast(size))
+    hits = []
+    for i, p in enumerate(probs):
+        h = F.lit(p) * (F.col("__total") - 1)
+        for side, rank in (("f", F.floor(h)), ("c", F.ceil(h))):
+            hit = (rank >= F.col("n_before")) & (rank < F.col("n_before") + F.col("n"))
+            hits.append(F.when(hit, F.struct(F.lit(i).alias("i"), F.lit(side).alias("side"))))
+    picked = t.select(*keys, "__v", "__total", F.explode(F.array_compact(F.array(*hits))).alias("hit"))
+    vals: dict = {}
+    for r in collect_bounded(picked, "quantiles"):
+        k = tuple(r[x] for x in keys)
+        vals.setdefault(k, {"total": r["__total"]})[(r["hit"]["i"], r["hit"]["side"])] = r["__v"]
+    out = {}
+    for k, v in vals.items():
+        out[k] = []
+        for i, p in enumerate(probs):
+            h = p * (v["total"] - 1)
+            lo, hi = v[(i, "f")], v[(i, "c")]
+            out[k].append(lo + (h - int(h)) * (hi - lo))
+    return out
+
+
+def dense_rank(points: DataFrame, x: str, out: str, keys: Sequence[str] = (), small: int | None = None) -> DataFrame:
+    """Every row with the number of distinct smaller values of `x` in its key."""
+    keys = list(keys)
+    one = cumulate(points.select(*keys, x).distinct().withColumn("one", F.lit(1).cast("bigint")), x, ["one"], keys, small)
+    return points.join(one.select(*keys, x, F.col("one_before").alias(out)), [*keys, x])
+
+
+def concordance(points: DataFrame, ranked: str, along: str, weight: str, keys: Sequence[str] = (),
+                small: int | None = None, bits: int | None = None) -> DataFrame:
+    """Concordant and discordant pairs of (ranked, along), exactly and without forming pairs.
+
+    `points` holds distinct pairs of values with a count; `ranked` is ranked densely (or is such a rank
+    already when `bits` is given). For every bit of the rank, rows that share the higher bits form a
+    block, where the pairs that differ first in this bit are counted by a running sum along the other
+    column. Cost: rows x bits and one shuffle; ties count as neither.
+    """
+    keys = list(keys)
+    if bits is None:
+        points = dense_rank(points, ranked, "__rk", keys, small)
+        bits = rank_bits(points, "__rk")
+    else:
+        points = points.withColumn("__rk", F.col(ranked))
+    ex = points.select(*keys, F.col(along).alias("__al"), F.col("__rk"), F.col(weight).alias("__wt"),
+                       F.explode(F.array(*[F.lit(i) for i in range(bits)])).alias("__bit"))
+    ex = ex.select(*keys, "__al", "__bit", F.expr("shiftright(__rk, __bit + 1)").alias("__blk"),
+                   F.expr("shiftright(__rk, __bit) % 2").alias("side"), "__wt")
+    cell = ex.groupBy(*keys, "__bit", "__blk", "__al").agg(
+        F.sum(F.when(F.col("side") == 0, F.col("__wt")).otherwise(0)).alias("lo"),
+        F.sum(F.when(F.col("side") == 1, F.col("__wt")).otherwise(0)).alias("hi"))
+    run = cumulate(cell, "__al", ["lo", "hi"], [*keys, "__bit", "__blk"], small)
     return run.groupBy(*keys).agg(
         F.coalesce(F.sum(F.col("hi") * F.col("lo_before")), F.lit(0)).cast("double").alias("concordant"),
         F.coalesce(F.sum(F.col("lo") * F.col("hi_before")), F.lit(0)).cast("double").alias("discordant"))
+
+
+def rank_bits(points: DataFrame, rank: str) -> int:
+    return max(1, int(points.agg(F.max(rank)).collect()[0][0] or 0).bit_length())
+
+
+def select_ranks(count_at_most, ranks: Sequence[int], lo: float, hi: float, fan: int = 24, rtol: float = 1e-12) -> dict[int, float]:
+    """Order statistics of a multiset known only through counts: rank -> smallest t with count(<= t) >= rank.
+
+    `count_at_most(ts)` returns {t: count}; all ranks share the passes and every pass cuts each bracket by `fan`.
+    """
+    br = {r: (lo, hi) for r in ranks}
+    while True:
+        ts: set[float] = set()
+        for a, b in set(br.values()):
+            if b - a > rtol * max(1.0, abs(a), abs(b)):
+                ts |= {t for i in range(1, fan + 1) if a < (t := a + (b - a) * i / (fan + 1)) < b}
+        if not ts:
+            return {r: b for r, (_, b) in br.items()}
+        got = count_at_most(sorted(ts))
+        for r, (a, b) in br.items():
+            for t in sorted(ts):
+                if a < t < b:
+                    if got.get(t, 0) >= r:
+                        b = t
+                        break
+                    a = t
+            br[r] = (a, b)
