@@ -652,7 +652,7 @@ def robust_regression(df: DataFrame, outcome: str, predictors: Sequence[str], tu
                       [(t, o, h, ts) for t, o, h, ts in zip(["intercept", *xs], fit.beta, beta, sen)])
 
 
-def theil_sen(d: DataFrame, x: str, y: str, probs: Sequence[float] = (0.5,), small: int | None = None, fan: int = 16,
+def theil_sen(d: DataFrame, x: str, y: str, probs: Sequence[float] = (0.5,), small: int | None = None, fan: int = 6,
               rtol: float = 1e-10) -> list[float]:
     """Exact median (or other quantiles) of all pairwise slopes with distinct x, without forming pairs.
 
