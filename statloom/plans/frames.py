@@ -142,3 +142,13 @@ def sum_exprs(pairs: Iterable[tuple[str, Column]]) -> list[Column]:
 def fetch(df: DataFrame, **exprs: Column) -> Row:
     """One aggregate row as a driver Row."""
     return df.agg(*[e.alias(k) for k, e in exprs.items()]).collect()[0]
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder the session names; one of our own only where none is set."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        import tempfile
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()
