@@ -39,7 +39,7 @@ query("sentiment_analysis", "documents", lambda d, lx: rounded(T.sentiment_analy
       {"lx": "select item_id, text from benchmark"})
 _dict = {"articles": ["the", "an", "la", "le"], "links": ["and", "or", "und", "et"], "places": ["in", "on", "at"]}
 _hits = "with h as (select doc_id, " + ", ".join(
-    f"len(list_filter(regexp_extract_all(lower(text), '[a-z'']+'), x -> x in ({', '.join(chr(39) + w + chr(39) for w in ws)}))) as {k}" for k, ws in _dict.items()) + " from src)"
+    f"len(list_filter(regexp_extract_all(lower(text), '[a-z'']+'), lambda x: x in ({', '.join(chr(39) + w + chr(39) for w in ws)}))) as {k}" for k, ws in _dict.items()) + " from src)"
 query("content_analysis", "documents", lambda d: rounded(T.content_analysis(d, "doc_id", "text", _dict)),
       _hits + " " + " union all ".join(f"select '{k}' as category, cast(sum({k}) as bigint) as total_hits, cast(sum(({k} > 0)::int) as bigint) as docs, {q(f'avg(({k} > 0)::int)', 'share')} from h" for k in _dict))
 query("coded_documents", "documents", lambda d: rounded(T.coded_documents(d, "doc_id", "text", _dict)),

@@ -144,11 +144,23 @@ def fetch(df: DataFrame, **exprs: Column) -> Row:
     return df.agg(*[e.alias(k) for k, e in exprs.items()]).collect()[0]
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder the session names; one of our own only where none is set."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the session names for checkpoints; one of our own only where none is set (tests)."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named is None:
         import tempfile
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+        named = tempfile.mkdtemp(prefix="spark-")
+        spark.sparkContext.setCheckpointDir(named)
+    return named
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write the table to the shared folder and read it back.
+
+    The written copy survives the loss of executors, and, unlike a checkpoint of the plan, it drops the inferred
+    constraints of the old plan, which would otherwise double with every round of a loop.
+    """
+    import uuid
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
