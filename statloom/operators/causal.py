@@ -112,42 +112,57 @@ def match_pairs(df: DataFrame, treatment: str, outcome: str, covariates: Sequenc
                 small: int | None = None) -> tuple[DataFrame, float]:
     """One-to-one matches without replacement inside the caliper, by rounds of mutual nearest neighbours on the logit.
 
-    Units with one logit form a block. Running extremes along the logit give every block the nearest block of the
-    other arm below and above it, so no candidate pairs are formed. Mutually nearest blocks pair their units by
-    position; the pairs leave the pool and the next round starts. The closest pair of blocks is always mutual, so
-    the rounds end when no free pair is left inside the caliper.
+    Running extremes along the logit give every unit the nearest unit of the other arm below and above it, so no
+    candidate pairs are formed. Adjacent runs of the two arms that are each other's nearest pair their units outward
+    from the boundary while the distance stays inside the caliper; the pairs leave the pool and the next round
+    starts. The closest boundary is always mutual, so the rounds end when no free pair is left inside the caliper.
     """
     xs = list(covariates)
     d = _treated(df, treatment, outcome, xs, id_col)
     f = logit_fit(d, "__t", xs)
     d = d.withColumn("lp", F.round(linear(xs, f.beta), 12))
     width = caliper * fetch(d, s=F.stddev_samp("lp"))["s"]
-    pool = cut_lineage(d.select(F.col(id_col).alias("id"), "__t", "lp"))
-    pairs = None
+    pool = d.select(F.col(id_col).alias("id"), "__t", "lp")
+    # Units with equal logits pair off by position first; afterwards a block holds one arm only.
+    r = cut_lineage(positions(cut_lineage(pool), "id", ["__t", "lp"], "pos", small))
+    t, c = r.where("__t = 1").select("lp", "pos", F.col("id").alias("treated_id")), r.where("__t = 0").select("lp", "pos", F.col("id").alias("control_id"))
+    pairs = cut_lineage(t.join(c, ["lp", "pos"]).select("treated_id", "control_id", F.lit(0.0).alias("distance")))
+
+    def without(pool, new):
+        return cut_lineage(pool.join(new.select(F.col("treated_id").alias("id")).union(new.select("control_id")), "id", "left_anti"))
+
+    pool = without(pool, pairs)
     while True:
-        b = pool.groupBy("lp").agg(F.sum("__t").alias("na"), F.sum(1 - F.col("__t")).alias("nu"))
-        at = lambda n, sign: F.when(F.col(n) > 0, sign * F.col("lp"))
-        b = b.select("lp", "na", "nu", at("nu", 1).alias("u"), at("na", 1).alias("a"), at("nu", -1).alias("mu"), at("na", -1).alias("ma"))
+        b = pool.groupBy("lp").agg(F.max("__t").alias("arm"), F.count(F.lit(1)).alias("n"))
+        b = b.select("lp", "arm", "n", F.when(F.col("arm") == 0, F.col("lp")).alias("u"), F.when(F.col("arm") == 1, F.col("lp")).alias("a"),
+                     F.when(F.col("arm") == 0, -F.col("lp")).alias("mu"), F.when(F.col("arm") == 1, -F.col("lp")).alias("ma"))
         b = cumulate(cut_lineage(b), "lp", [], small=small, extremes=["u", "a"])
         b = cumulate(cut_lineage(b), "lp", [], small=small, extremes=["mu", "ma"], descending=True)
-
-        def near(own, lo, hi):
-            return F.when(F.col(own).isNotNull(), F.col(own)).when(F.col(lo).isNull(), -F.col(hi)).when(F.col(hi).isNull(), F.col(lo)).when(
-                F.col("lp") - F.col(lo) <= -F.col(hi) - F.col("lp"), F.col(lo)).otherwise(-F.col(hi))
-
-        b = cut_lineage(b.select("lp", "na", "nu", near("u", "u_maxbefore", "mu_maxbefore").alias("to_u"), near("a", "a_maxbefore", "ma_maxbefore").alias("to_a")))
-        m = b.where("na > 0").select(F.col("lp").alias("la"), F.col("to_u").alias("lu")).where(F.abs(F.col("la") - F.col("lu")) <= width)
-        m = m.join(b.where("nu > 0").select(F.col("lp").alias("lu"), F.col("to_a").alias("la")), ["la", "lu"])
-        r = positions(pool, "id", ["__t", "lp"], "pos", small)
-        new = r.where("__t = 1").select(F.col("lp").alias("la"), "pos", F.col("id").alias("treated_id")).join(m, "la")
-        new = new.join(r.where("__t = 0").select(F.col("lp").alias("lu"), "pos", F.col("id").alias("control_id")), ["lu", "pos"])
-        new = cut_lineage(new.select("treated_id", "control_id", F.abs(F.col("la") - F.col("lu")).alias("distance")))
+        one = F.col("arm") == 1
+        left, right = F.when(one, F.col("u_maxbefore")).otherwise(F.col("a_maxbefore")), -F.when(one, F.col("mu_maxbefore")).otherwise(F.col("ma_maxbefore"))
+        inf = F.lit(float("inf"))
+        b = cut_lineage(b.select("lp", "arm", "n", F.coalesce(left, -inf).alias("l"), F.coalesce(right, inf).alias("r")))
+        # A run is a stretch of one arm between two units of the other; it looks to its nearer side.
+        runs = b.groupBy("arm", "l", "r").agg(F.min("lp").alias("lo"), F.max("lp").alias("hi"))
+        runs = runs.withColumn("go_right", (F.col("r") - F.col("hi")) < (F.col("lo") - F.col("l")))
+        x, y = runs.select(*[F.col(k).alias(f"x_{k}") for k in runs.columns]), runs.select(*[F.col(k).alias(f"y_{k}") for k in runs.columns])
+        m = x.join(y, (F.col("x_r") == F.col("y_lo")) & (F.col("y_l") == F.col("x_hi"))).where("x_go_right and not y_go_right and y_lo - x_hi <= %r" % width)
+        m = cut_lineage(m.select(F.monotonically_increasing_id().alias("k"), "x_arm", "x_l", "x_r", "y_arm", "y_l", "y_r"))
+        r = positions(pool, "id", ["lp"], "pos", small)
+
+        def outward(side, descending):
+            key = m.select("k", *[F.col(f"{side}_{c}").alias(c) for c in ("arm", "l", "r")])
+            e = cumulate(b.join(key, ["arm", "l", "r"]).select("k", "lp", "n"), "lp", ["n"], ["k"], small, descending=descending)
+            return e.join(r, "lp").select("k", (F.col("n_before") + F.col("pos")).alias("step"), "id", "lp", "__t")
+
+        p = outward("x", True).join(outward("y", False).select("k", "step", F.col("id").alias("id2"), F.col("lp").alias("lp2")), ["k", "step"]).where((F.col("lp2") - F.col("lp")) <= width)
+        tr = F.col("__t") == 1
+        new = cut_lineage(p.select(F.when(tr, F.col("id")).otherwise(F.col("id2")).alias("treated_id"), F.when(tr, F.col("id2")).otherwise(F.col("id")).alias("control_id"), (F.col("lp2") - F.col("lp")).alias("distance")))
         if new.limit(1).count() == 0:
             break
-        pairs = new if pairs is None else pairs.unionByName(new)
-        gone = new.select(F.col("treated_id").alias("id")).union(new.select("control_id"))
-        pool = cut_lineage(pool.join(gone, "id", "left_anti"))
-    refuse(pairs is None, "no pair inside the caliper")
+        pairs = pairs.unionByName(new)
+        pool = without(pool, new)
+    refuse(pairs.limit(1).count() == 0, "no pair inside the caliper")
     y = d.select(F.col(id_col).alias("id"), "__y", *xs)
     out = pairs.join(y.select(F.col("id").alias("treated_id"), F.col("__y").alias("y1"), *[F.col(x).alias(f"{x}_1") for x in xs]), "treated_id")
     out = out.join(y.select(F.col("id").alias("control_id"), F.col("__y").alias("y0"), *[F.col(x).alias(f"{x}_0") for x in xs]), "control_id")
