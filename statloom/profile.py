@@ -25,8 +25,9 @@ def name_tokens(name: str) -> list[str]:
 
 
 def parsed_date(c):
-    """First format that parses, else null."""
-    return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in DATE_FORMATS])
+    """First format that parses, else null; only text shaped like a date is tried."""
+    shaped = c.rlike(r"^\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}|^\d{8}$")
+    return F.when(shaped, F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in DATE_FORMATS]))
 
 
 def profile(df: DataFrame) -> DataFrame:

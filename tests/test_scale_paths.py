@@ -18,7 +18,7 @@ def test_cumulate_and_extremes(tab):
 
 
 def test_ranks_positions_quantiles(tab):
-    d = tab("lineitem").select("l_quantity", "l_returnflag", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"))
+    d = tab("orders").select(F.floor(F.col("o_totalprice") / 10000).cast("double").alias("l_quantity"), F.col("o_orderstatus").alias("l_returnflag"), F.col("o_orderkey").alias("id"))
     assert rows(order.with_average_rank(d, "l_quantity", "r")) == rows(order.with_average_rank(d, "l_quantity", "r", small=0).select(*d.columns, "r"))
     a = order.sorted_position(d, "l_quantity", ["id"], "p")
     b = order.sorted_position(d, "l_quantity", ["id"], "p", small=0)
