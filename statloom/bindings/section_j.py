@@ -41,3 +41,4 @@ query("irt_2pl", "fx_items", lambda d: rounded(J.irt_2pl(d, _it), 3))
 _lk = ["q1", "q2", "q3", "q4", "q5"]
 query("irt_grm", "fx_likert", lambda d: rounded(J.irt_grm(d.select(*[d[c].cast("double").alias(c) for c in _lk]), _lk), 2))
 query("irt_pcm", "fx_likert", lambda d: rounded(J.irt_pcm(d.select(*[d[c].cast("double").alias(c) for c in _lk]), _lk), 2))
+query("lime_explanation", _pt, lambda d: rounded(J.lime_explanation(d, "p_retailprice", ["s", "m"], "p_partkey"), 3))

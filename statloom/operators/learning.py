@@ -594,3 +594,36 @@ def irt_grm(df: DataFrame, items: Sequence[str]) -> DataFrame:
 
 def irt_pcm(df: DataFrame, items: Sequence[str]) -> DataFrame:
     return _irt_frame(df, list(items), "pcm")
+
+
+def lime_explanation(df: DataFrame, outcome: str, predictors: Sequence[str], id_col: str, samples: int = 500, ridge: float = 1.0) -> DataFrame:
+    """Local linear explanations of a forest at rows with a low, middle and high prediction.
+
+    Neighbours are drawn around each row with the columns' standard deviations, weighted by an exponential kernel of
+    their standardised distance, and fitted by weighted ridge from one grouped moment pass.
+    """
+    from ..plans.gram import weighted_gram
+    xs = list(predictors)
+    d, m = _black_box(df, outcome, xs, id_col)
+    g = gram(d, xs)
+    sd = np.sqrt(np.diag(g.cov()))
+    p = _apply(m, d, xs).select("__id", "prediction", *xs)
+    rows = []
+    for tag, q in zip(("low", "middle", "high"), quantiles(p, "prediction", [0.05, 0.5, 0.95])):
+        r = p.orderBy(F.abs(F.col("prediction") - F.lit(q)), "__id").limit(1).collect()[0]
+        rows.append((tag, str(r["__id"]), float(r["prediction"]), *[float(r[x]) for x in xs]))
+    inst = rows_frame(df.sparkSession, "tag string, row string, target double, " + ", ".join(f"`c_{x}` double" for x in xs), rows)
+    e = inst.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(samples))))
+    e = e.select("tag", *[_normal(F.col("row"), F.col("k"), F.lit(x)).alias(f"z_{x}") for x in xs], *[f"c_{x}" for x in xs])
+    e = e.select("tag", *[f"z_{x}" for x in xs], *[(F.col(f"c_{x}") + F.col(f"z_{x}") * F.lit(float(s))).alias(x) for x, s in zip(xs, sd)])
+    width = 0.75 * math.sqrt(len(xs))
+    w = F.exp(-sum([F.col(f"z_{x}") ** 2 for x in xs], F.lit(0.0)) / F.lit(width ** 2))
+    t = _apply(m, e, xs).select("tag", F.col("prediction").alias("__p"), w.alias("__w"), *[f"z_{x}" for x in xs])
+    out = []
+    zs = [f"z_{x}" for x in xs]
+    for (tag,), gm in weighted_gram(t, ["__p", *zs], F.col("__w"), ["tag"]).items():
+        b = np.linalg.solve(gm.sub(zs, zs) + ridge * np.eye(len(zs)), gm.sub(zs, ["__p"])[:, 0])
+        r2 = 1 - float(gm.cross[0, 0] - 2 * b @ gm.sub(zs, ["__p"])[:, 0] + b @ gm.sub(zs, zs) @ b) / gm.cross[0, 0] if gm.cross[0, 0] > 0 else None
+        base = next(r for r in rows if r[0] == tag)
+        out += [(tag, base[1], base[2], x, float(v), r2) for x, v in zip(xs, b)]
+    return rows_frame(df.sparkSession, "instance string, row_id string, prediction double, feature string, local_effect double, local_r2 double", out)
