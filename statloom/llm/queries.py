@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .minhash import near_duplicates
+from .mixing import mix
 from .packing import pack
+from .topk import top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -40,3 +42,32 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op4_packing"] = op4_packing
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", F.col("pattern_size").alias("source_size"), "target", "taken")
+
+
+QUERIES["op6_mixing"] = op6_mixing
+ORACLE["op6_mixing"] = """with d as materialized (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as size, md5('42:' || coalesce(doc_id::varchar, '')) as h from documents),
+s as (select source, sum(size)::bigint as n, (row_number() over (order by encode(source) nulls last) - 1) % 3 + 1 as w from d group by source),
+o as (select *, row_number() over (order by 3.0::double * n / w, encode(source) nulls last) as k from s),
+c as (select *, sum(n) over () as total, coalesce(sum(3 * n) over (order by k rows between unbounded preceding and 1 preceding), 0) as used, sum(w) over (order by k rows between current row and unbounded following) as ws from o),
+f as (select min(k) as k from c where w * (total - used) <= 3 * n * ws),
+t as (select c.source, c.n, case when c.k < f.k then (3 * c.n)::double else (c.w * (x.total - x.used))::double / x.ws::double end as target from c, f, c x where x.k = f.k),
+g as (select *, floor(target + 0.5)::bigint as quota from t),
+r as (select d.*, g.n, g.target, case when g.n > 0 then g.quota // g.n else 0 end as passes, case when g.n > 0 then g.quota % g.n else 0 end as rest,
+  coalesce(sum(size) over (partition by d.source order by h, d.doc_id, size rows between unbounded preceding and 1 preceding), 0) as before from d join g on d.source is not distinct from g.source)
+select doc_id, size, n as source_size, target, (passes * size + least(size, greatest(0, rest - before)))::bigint as taken from r"""
+
+
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+QUERIES["op8_topk"] = op8_topk
+ORACLE["op8_topk"] = """with v as materialized (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+p as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e)::bigint as score from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from p)
+select query_id, rank, vec_id, score from r where rank <= 5"""
