@@ -37,7 +37,7 @@ LISTED = 32         # of these, values in inverted lists
 LONG_LIST = 32      # classes in a list beyond which its value is frequent
 KEYS = 24           # group keys of classes with frequent values in the main
 FIRST_KEYS = 4      # of these, keys compared along the diagonal first
-TILE_ROWS, TILE_SHINGLES = 256, 200_000
+TILE_ROWS, TILE_SHINGLES = 1024, 400_000
 
 
 def sets_of(column: pa.Array, words: int) -> list[np.ndarray]:
