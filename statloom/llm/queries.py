@@ -11,6 +11,7 @@ from .minhash import near_duplicates
 from .mixing import mix
 from .packing import pack
 from .quality import quality_scores
+from .secrets import find_secrets, joined
 from .topk import top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +80,11 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op7_quality"] = op7_quality
+
+
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
+QUERIES["op2_secrets"] = op2_secrets
