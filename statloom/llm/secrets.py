@@ -5,10 +5,10 @@ its characters, and three tests ask how well it agrees with uniform draws from t
 letters, runs above and below the middle of the alphabet, and serial correlation of neighbours. Fisher's statistic
 combines their p-values: small for random strings, large for words.
 
-What counts as small is learnt from the corpus, by length. Tokens of letters in one case are words; the share of words of
-at most that length class whose statistic is as small is a token's p-value against "a word" (shorter words look more
-random, so pooling them is on the safe side). Benjamini-Hochberg over the other tokens of each length class bounds the
-false discoveries by `RATE`. Only histograms over fixed bins reach the driver.
+What counts as small is learnt from the corpus. Tokens of letters in one case are words; for words the statistic grows
+with the length, so the mean and the spread of log(statistic / length) over all words give every token a p-value against
+"a word of this length", the smaller the longer a random token is. Benjamini-Hochberg over the other tokens of each
+length class bounds the false discoveries by `RATE`. Only two moments and a histogram over fixed bins reach the driver.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ KINDS = ("assign", "access", "hex", "random")
 
 TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
 LENGTHS = (16, 20, 24, 32, 48, 64)          # lower ends of the length classes
-RATE = 0.01
-BIN, BINS = 0.5, 340                        # of the statistic, which is 166 at most
+RATE = 0.05
+BINS = 151                                  # tenths of -log10 of a p-value
 ALPHABETS = {"hex": "0123456789abcdef", "HEX": "0123456789ABCDEF", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
              "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"}
 FITS = {"hex": "^[0-9a-f]+$", "HEX": "^[0-9A-F]+$", "base32": "^[A-Z2-7]+$", "base36": "^[0-9a-z]+$", "base64": "^[A-Za-z0-9+/]+$", "base64url": "^[A-Za-z0-9_-]+$"}
@@ -96,24 +96,29 @@ def tested(tokens: DataFrame) -> DataFrame:
     stat = sum((-2 * F.log(F.greatest(F.least(p, F.lit(1.0)), F.lit(1e-12))) for p in (p_chi, p_runs, p_serial)), F.lit(0.0))
     level = sum((F.when(n >= x, 1).otherwise(0) for x in LENGTHS[1:]), F.lit(0))
     word = F.col("t").rlike("^([a-z]+|[A-Z][a-z]*|[A-Z]+)$")
-    return d.select(*[c for c in tokens.columns if c != "t"], F.least(F.floor(stat / BIN), F.lit(BINS - 1)).cast("int").alias("bin"), level.cast("int").alias("level"), word.alias("word"))
+    return d.select(*[c for c in tokens.columns if c != "t"], F.log(F.greatest(stat, F.lit(0.01)) / n).alias("stat"), level.cast("int").alias("level"), word.alias("word"))
+
+
+def against_words(scored: DataFrame) -> DataFrame:
+    """Adds `bin`: tenths of -log10 of the p-value against a word of the token's length; 0 if too few words are known."""
+    r = scored.where("word").agg(F.count(F.lit(1)).alias("n"), F.mean("stat").alias("mean"), F.stddev_samp("stat").alias("sd")).collect()[0]
+    if r["n"] < 20 or not r["sd"]:
+        return scored.withColumn("bin", F.lit(0))
+    p = _upper_tail((F.lit(r["mean"]) - F.col("stat")) / r["sd"])
+    return scored.withColumn("bin", F.least(F.floor(-10 * F.log10(p)), F.lit(BINS - 1)).cast("int"))
 
 
 def thresholds(scored: DataFrame, rate: float = RATE) -> list[int]:
-    """By length class, the highest bin of the statistic that counts as random; -1 for none."""
-    mixed: list[list[int]] = [[0] * BINS for _ in LENGTHS]
-    words: list[list[int]] = [[0] * BINS for _ in LENGTHS]
-    for r in scored.groupBy("level", "word", "bin").count().collect():      # at most classes x bins x 2 rows
-        (words if r["word"] else mixed)[r["level"]][r["bin"]] += r["count"]
+    """By length class, the lowest bin of the p-value that counts as random; BINS for none."""
+    tokens = [[0] * BINS for _ in LENGTHS]
+    for r in scored.where(~F.col("word")).groupBy("level", "bin").count().collect():      # at most classes x bins rows
+        tokens[r["level"]][r["bin"]] += r["count"]
     out = []
-    pool = [0] * BINS
-    for level in range(len(LENGTHS)):
-        pool = [a + b for a, b in zip(pool, words[level])]
-        n_words, n = sum(pool), sum(mixed[level])
-        best, as_small, found = -1, 0, 0
-        for b in range(BINS):
-            as_small, found = as_small + pool[b], found + mixed[level][b]
-            if found and (1 + as_small) / (1 + n_words) <= rate * found / n:
+    for bins in tokens:
+        best, found = BINS, 0
+        for b in range(BINS - 1, 0, -1):
+            found += bins[b]
+            if found and 10 ** (-b / 10) * sum(bins) <= rate * found:
                 best = b
         out.append(best)
     return out
@@ -124,8 +129,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     k numbers the kinds of KINDS; s and e are code points, e exclusive. `spans` holds the base ones and the random
     tokens that touch none of them, by start, then kind. A null or empty text has none. Rows that repeat a doc_id are
-    rows of their own. Other columns are ignored. An empty table gives no rows. Without words in the corpus nothing is
-    known about them, the p-values are 1 and no token is called random.
+    rows of their own. Other columns are ignored. An empty table gives no rows. With fewer than
+    20 words of that length in the corpus nothing is known about words, and no token is called random.
     """
     need(docs, id_col, text_col)
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -134,9 +139,9 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                    F.expr(f"if(text rlike {_quoted(TOKEN)}, zip_with({token}, regexp_extract_all(text, {_quoted(TOKEN)}, 0), (a, b) -> named_struct('at', a, 't', b)), cast(array() as array<struct<at:struct<s:int,e:int,k:int>,t:string>>))").alias("tokens"))
     cut = cut_lineage(cut)
     tokens = cut.select("rid", F.explode("tokens").alias("t")).select("rid", F.col("t.at").alias("at"), F.col("t.t").alias("t")).where(F.col("t").rlike("[A-Za-z]"))
-    scored = cut_lineage(tested(tokens))
+    scored = against_words(cut_lineage(tested(tokens)))
     limit = F.array(*[F.lit(x) for x in thresholds(scored, rate)])
-    found = scored.where(~F.col("word") & (F.col("bin") <= limit[F.col("level")])).groupBy("rid").agg(F.collect_list("at").alias("random"))
+    found = scored.where(~F.col("word") & (F.col("bin") >= limit[F.col("level")])).groupBy("rid").agg(F.collect_list("at").alias("random"))
     both = cut.select("rid", "doc_id", "base").join(found, "rid", "left")
     apart = F.expr(f"filter(coalesce(random, {NONE}), r -> not exists(base, b -> b.s < r.e and r.s < b.e))")
     spans = F.expr("array_sort(concat(base, random), (x, y) -> if(x.s <> y.s, x.s - y.s, x.k - y.k))")
