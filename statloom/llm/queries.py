@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .fingerprint import neighbour_likeness
 from .minhash import near_duplicates
 from .mixing import mix
 from .packing import pack
@@ -88,3 +89,10 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op2_secrets"] = op2_secrets
+
+
+def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbour_likeness(_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op3_fingerprint"] = op3_fingerprint
