@@ -1,28 +1,72 @@
-"""From raw documents to packed training sequences, one operator after another."""
+"""From raw documents to packed training sequences, one operator after another.
+
+All stages but the last return the columns of documents: rejected and duplicate documents go, secrets are masked, and
+the mix repeats documents or cuts one short. Documents without a doc_id leave at the second stage, as nothing could
+refer to them afterwards. The last stage returns the pieces of all documents with their places in the sequences.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from statloom.llm.minhash import near_duplicates
+from statloom.llm.mixing import mix, mixed
+from statloom.llm.packing import pack
+from statloom.llm.quality import accepted
+from statloom.llm.secrets import base_spans, find_secrets, redacted
+from statloom.plans.frames import cut_lineage
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return accepted(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays; rows that repeat it go too."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """One document of each near-duplicate group stays, the one with the smallest id; of rows that repeat its id, one."""
+    kept = cut_lineage(near_duplicates(docs).where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")))
+    out = docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)
+    return out if kept.where("n > 1").isEmpty() else out.dropDuplicates(["doc_id"])
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every secret becomes a mark. Pattern matches are found where the text is; random tokens, which few have, come by a join."""
+    random = cut_lineage(find_secrets(docs).where("n_random > 0").select("doc_id", F.expr("filter(spans, x -> x.k = 3)").alias("random")))
+    spans = F.expr("array_sort(concat(base, coalesce(random, filter(base, x -> false))), (x, y) -> if(x.s <> y.s, x.s - y.s, x.k - y.k))")
+    found = docs.join(random, "doc_id", "left").withColumn("text", F.coalesce("text", F.lit(""))).withColumn("base", base_spans()).withColumn("spans", spans)
+    clean = found.withColumn("text", F.when(F.size("spans") > 0, redacted("text", "spans")).otherwise(F.col("text")))
+    return clean.withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixed(docs, mix(docs)).withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its sequence and its place there."""
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES = [("near_duplicates", drop_near_duplicates)]
+STAGES = [
+    ("quality", keep_quality),
+    ("near_duplicates", drop_near_duplicates),
+    ("secrets", mask_secrets),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
 
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table."""
+    """All stages over the documents table, each result written to the shared folder and read back."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = cut_lineage(docs)
     return docs

@@ -146,3 +146,16 @@ def mix(docs: DataFrame, sources: str | Column = "source", seed: int = 42, weigh
     w = Window.partitionBy("pattern").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     ended = joined.where(last).withColumn("extra", F.least("size", F.greatest(F.lit(0), F.col("rest") - F.coalesce(F.sum("size").over(w), F.lit(0)))))
     return plain.unionByName(ended).select("doc_id", "pattern", "size", "pattern_size", "target", (F.col("passes") * F.col("size") + F.col("extra")).cast("bigint").alias("taken"), "passes", F.col("extra").cast("bigint").alias("extra"))
+
+
+def mixed(docs: DataFrame, taken: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The mix itself: each document as often as it is passed over, and the first `extra` words of one more pass.
+
+    `taken` is the result of `mix` over the same documents, whose ids must not be null or repeat. A partial copy has its
+    words joined by single spaces. Documents of which nothing is taken go.
+    """
+    t = cut_lineage(taken.where("taken > 0").select(F.col("doc_id").alias(id_col), "passes", "extra", "size"))
+    white = r"[\x20\x09-\x0D]+"
+    part = F.array_join(F.slice(F.split(F.regexp_replace(text_col, "^" + white, ""), white), 1, F.col("extra").cast("int")), " ")
+    copies = F.flatten(F.array(F.array_repeat(F.col(text_col), F.col("passes")), F.when(F.col("extra") == 0, F.array().cast("array<string>")).when(F.col("extra") == F.col("size"), F.array(text_col)).otherwise(F.array(part))))
+    return docs.join(t, id_col).withColumn(text_col, F.explode(copies)).select(*docs.columns)

@@ -151,7 +151,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, l
     """
     need(docs, id_col, text_col)
     need(labels, id_col, label_col)
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, label_col, id_col, text_col, per_label))
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, label_col, id_col, text_col, per_label))      # a bounded sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in bounded(batches, most=1 << 20):
@@ -161,3 +161,17 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, l
     out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, score double, predicted int")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", per_label: int = PER_LABEL) -> DataFrame:
+    """The rows of docs, with all their columns, whose score reaches the threshold; all rows if no label is known."""
+    need(docs, id_col, text_col)
+    need(labels, id_col, label_col)
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, label_col, id_col, text_col, per_label))      # a bounded sample
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in bounded(batches, text_col, 1 << 20):
+            yield b if model.value is None else b.filter(pa.array(model.value.score(counts(b.column(at))) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

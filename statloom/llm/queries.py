@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..plans.frames import cut_lineage, shared_folder
+from . import token_counts as token_totals
 from .fingerprint import neighbour_likeness
 from .minhash import near_duplicates
 from .mixing import mix
 from .packing import pack
 from .quality import quality_scores
 from .secrets import find_secrets, joined
+from .licences import scan
+from .token_counts import apply_batch, token_counts
 from .topk import top_k
+from .warc import derive, responses
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -96,3 +102,36 @@ def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op3_fingerprint"] = op3_fingerprint
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derive(responses(_table(spark, sf_dir, "pages"), "2024-01-01T00:00:00Z"))
+
+
+QUERIES["op5_warc"] = op5_warc
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loads all documents, delivers the load twice, counts the end token of each from then on, and withdraws exact copies."""
+    store = f"{shared_folder(spark).rstrip('/')}/token-counts-{uuid.uuid4().hex}"
+    docs = _table(spark, sf_dir, "documents").withColumn("copy", F.md5("text"))
+    counted = cut_lineage(token_counts(docs, {"byte_bpe_50k": public_tokenizers.path("byte_bpe_50k.json"), token_totals.WORDS: None}, keep=("source", "lang", "copy")))
+    load = counted.withColumn("op", F.lit("insert"))
+    apply_batch(load, store, "load")
+    apply_batch(load, store, "load")
+    with_end = counted.where(F.col("version") != token_totals.WORDS).withColumn("op", F.lit("revise")).withColumn("tokens", F.col("tokens") + 1)
+    apply_batch(with_end, store, "end-token")
+    first = counted.where("copy is not null").groupBy("copy").agg(F.min("doc_id").alias("first"))
+    copies = counted.join(first, "copy").where("doc_id <> first").withColumn("op", F.lit("delete"))
+    apply_batch(copies, store, "copies")
+    return token_totals.totals(spark, store)
+
+
+QUERIES["op9_token_counts"] = op9_token_counts
+
+
+def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op10_licences"] = op10_licences
