@@ -17,7 +17,7 @@ A document's set is its distinct word shingles. Its sketch is the `k` smallest h
 6. Components of the links, smallest doc_id first.
 
 No pair is capped. The retained values decide which pairs meet: a pair at the threshold is missed with a probability
-below 1e-8 (32 draws that each hit with 1/2 at least, of which 2 must, or 24 keys).
+below 1e-8 (32 draws that each hit with 1/2 at least, of which 2 must, or 20 keys).
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ from .text import bounded, list_array, mix, shingle_hashes
 K = 64              # retained values of a class
 LISTED = 32         # of these, values in inverted lists
 LONG_LIST = 32      # classes in a list beyond which its value is frequent
-KEYS = 24           # group keys of classes with frequent values in the main
+KEYS = 20           # group keys of classes with frequent values in the main
 FIRST_KEYS = 4      # of these, keys compared along the diagonal first
 TILE_ROWS, TILE_SHINGLES = 1024, 400_000
 
@@ -176,33 +176,34 @@ def _tiles(rows: DataFrame, texts: DataFrame, words: int, share: int) -> DataFra
     return full.groupBy("tile").applyInArrow(run, "a bigint, b bigint")
 
 
-def _chunked(keyed: DataFrame, by: list[str]) -> DataFrame:
-    """Adds `chunks` and `chunk`: groups cut by a hash into parts of about TILE_ROWS rows and TILE_SHINGLES shingles."""
-    size = keyed.groupBy(*by).agg(F.greatest(F.ceil(F.count(F.lit(1)) / TILE_ROWS), F.ceil(F.sum("n") / TILE_SHINGLES)).alias("chunks"))
-    return keyed.join(size, by).withColumn("chunk", F.pmod(F.xxhash64("nid", F.lit(17)), F.col("chunks")))
+def _chunks(keyed: DataFrame) -> DataFrame:
+    """(r, key, chunks): parts of about TILE_ROWS rows and TILE_SHINGLES shingles that each group is cut into."""
+    many = F.greatest(F.ceil(F.count(F.lit(1)) / TILE_ROWS), F.ceil(F.sum("n") / TILE_SHINGLES))
+    return keyed.groupBy("r", "key").agg(many.alias("chunks"), F.count(F.lit(1)).alias("c"))
+
+
+def _numbered(keyed: DataFrame, chunks: DataFrame) -> DataFrame:
+    return keyed.join(chunks.drop("c"), ["r", "key"]).withColumn("chunk", F.pmod(F.xxhash64("nid", F.lit(17)), F.col("chunks")))
 
 
 def _families(crowded: DataFrame, links: DataFrame, texts: DataFrame, words: int, share: int) -> DataFrame:
     """Links among classes that frequent values make up in the main, added to the other links."""
     key = "array_min(transform(sketch, v -> xxhash64(v, {r})))"
     keyed = crowded.select("nid", "n", F.posexplode(F.array(*[F.expr(key.format(r=r)) for r in range(KEYS)])).alias("r", "key"))
-    many = keyed.groupBy("r", "key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    keyed = cut_lineage(keyed.join(many, ["r", "key"]))
-    diagonal = _chunked(keyed.where(F.col("r") < FIRST_KEYS), ["r", "key"]).select(F.xxhash64("r", "key", "chunk").alias("tile"), "nid", F.col("nid").alias("comp"), F.lit(0).alias("side"))
+    keyed = cut_lineage(_numbered(keyed, _chunks(keyed).where("c > 1")))
+    diagonal = keyed.where(F.col("r") < FIRST_KEYS).select(F.xxhash64("r", "key", "chunk").alias("tile"), "nid", F.col("nid").alias("comp"), F.lit(0).alias("side"))
     links = cut_lineage(links.union(_tiles(diagonal, texts, words, share)))
     label = components(links)
     keyed = cut_lineage(keyed.join(label.withColumnRenamed("node", "nid"), "nid", "left").withColumn("comp", F.coalesce("label", "nid")).drop("label"))
     parts = keyed.groupBy("r", "key", "comp").agg(F.count(F.lit(1)).alias("c"))
-    main = parts.groupBy("r", "key").agg(F.max(F.struct("c", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("r", "key", F.col("top.comp").alias("main"))
-    grouped = keyed.join(main, ["r", "key"])
-    others = _chunked(grouped.where("comp <> main"), ["r", "key"])
-    whole = _chunked(grouped, ["r", "key"])
-    spread = whole.select("r", "key", "chunks").distinct()
-    rows = others.join(spread.withColumnRenamed("chunks", "against"), ["r", "key"]).select(
-        "r", "key", "nid", "comp", F.lit(0).alias("side"), F.col("chunk").alias("i"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("against") - 1)).alias("j"))
-    spread = others.select("r", "key", "chunks").distinct()
-    cols = whole.join(spread.withColumnRenamed("chunks", "against"), ["r", "key"]).select(
-        "r", "key", "nid", "comp", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("against") - 1)).alias("i"), F.col("chunk").alias("j"))
+    main = parts.groupBy("r", "key").agg(F.max(F.struct("c", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select(F.col("r").alias("mr"), F.col("key").alias("mk"), F.col("top.comp").alias("main"))
+    apart = keyed.join(main, (F.col("r") == F.col("mr")) & (F.col("key") == F.col("mk")) & (F.col("comp") != F.col("main")))
+    apart = cut_lineage(apart.select("r", "key", "nid", "n", "comp", F.col("chunks").alias("against")))
+    sizes = _chunks(apart)
+    # Tile (i, j) of a group holds the i-th part of those outside its largest component and the j-th part of all.
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(c) - 1))
+    rows = _numbered(apart, sizes).select("r", "key", "nid", "comp", F.lit(0).alias("side"), F.col("chunk").alias("i"), upto("against").alias("j"))
+    cols = keyed.drop("chunks").join(sizes, ["r", "key"]).select("r", "key", "nid", "comp", F.lit(1).alias("side"), upto("chunks").alias("i"), F.col("chunk").alias("j"))
     tiles = rows.union(cols).select(F.xxhash64("r", "key", "i", "j").alias("tile"), "nid", "comp", "side")
     return links.union(_tiles(tiles, texts, words, share))
 
