@@ -28,7 +28,7 @@ SPAN, POPULAR = 64, 16  # neighbouring windows, and how often a feature must be
 LEVELS = 1000
 TRIVIAL = 100           # windows below this level (long runs of a byte) are no features
 BITS, HASHES, PER_FILTER = 2048, 5, 160
-ABOVE_CHANCE = 0.3      # of the range between chance and all
+ABOVE_CHANCE = 0.05     # of the range between chance and all; unrelated filters stay below it
 BLOCK = 1 << 18
 
 _G = np.round(np.array([0.0, *(c * np.log2(c) for c in range(1, WINDOW + 1))]) * (1 << 20)).astype(np.int64)
