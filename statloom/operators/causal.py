@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import dist
 from ..plans.frames import binary01, collect_bounded, complete, cut_lineage, fetch, level_key, need, num, one_row, refuse, rows_frame
 from ..plans.gram import Gram, gram, gram_by, merge, ols, score_meat, weighted_gram
-from ..plans.order import average_ranks, cumulate, is_small, quantiles, with_average_rank
+from ..plans.order import average_ranks, cumulate, quantiles, with_average_rank
 from ..plans.resample import replicate_grams
 from ..plans.series import positions
 from .glm import linear, logit_fit
@@ -108,8 +108,7 @@ def double_ml(df: DataFrame, treatment: str, outcome: str, controls: Sequence[st
     return one_row(df.sparkSession, n=int(r["n"]), ate=r["m"], se=se, ci_low=r["m"] - dist.Z95 * se, ci_high=r["m"] + dist.Z95 * se, p=dist.p_two_sided(r["m"] / se))
 
 
-def match_pairs(df: DataFrame, treatment: str, outcome: str, covariates: Sequence[str], id_col: str, caliper: float = 0.2,
-                small: int | None = None) -> tuple[DataFrame, float]:
+def match_pairs(df: DataFrame, treatment: str, outcome: str, covariates: Sequence[str], id_col: str, caliper: float = 0.2) -> tuple[DataFrame, float]:
     """One-to-one matches without replacement inside the caliper, by rounds of mutual nearest neighbours on the logit.
 
     Running extremes along the logit give every unit the nearest unit of the other arm below and above it, so no
@@ -124,7 +123,7 @@ def match_pairs(df: DataFrame, treatment: str, outcome: str, covariates: Sequenc
     width = caliper * fetch(d, s=F.stddev_samp("lp"))["s"]
     pool = d.select(F.col(id_col).alias("id"), "__t", "lp")
     # Units with equal logits pair off by position first; afterwards a block holds one arm only.
-    r = cut_lineage(positions(cut_lineage(pool), "id", ["__t", "lp"], "pos", small))
+    r = cut_lineage(positions(cut_lineage(pool), "id", ["__t", "lp"], "pos"))
     t, c = r.where("__t = 1").select("lp", "pos", F.col("id").alias("treated_id")), r.where("__t = 0").select("lp", "pos", F.col("id").alias("control_id"))
     pairs = cut_lineage(t.join(c, ["lp", "pos"]).select("treated_id", "control_id", F.lit(0.0).alias("distance")))
 
@@ -136,8 +135,8 @@ def match_pairs(df: DataFrame, treatment: str, outcome: str, covariates: Sequenc
         b = pool.groupBy("lp").agg(F.max("__t").alias("arm"), F.count(F.lit(1)).alias("n"))
         b = b.select("lp", "arm", "n", F.when(F.col("arm") == 0, F.col("lp")).alias("u"), F.when(F.col("arm") == 1, F.col("lp")).alias("a"),
                      F.when(F.col("arm") == 0, -F.col("lp")).alias("mu"), F.when(F.col("arm") == 1, -F.col("lp")).alias("ma"))
-        b = cumulate(cut_lineage(b), "lp", [], small=small, extremes=["u", "a"])
-        b = cumulate(cut_lineage(b), "lp", [], small=small, extremes=["mu", "ma"], descending=True)
+        b = cumulate(cut_lineage(b), "lp", [], extremes=["u", "a"])
+        b = cumulate(cut_lineage(b), "lp", [], extremes=["mu", "ma"], descending=True)
         one = F.col("arm") == 1
         left, right = F.when(one, F.col("u_maxbefore")).otherwise(F.col("a_maxbefore")), -F.when(one, F.col("mu_maxbefore")).otherwise(F.col("ma_maxbefore"))
         inf = F.lit(float("inf"))
@@ -148,11 +147,11 @@ def match_pairs(df: DataFrame, treatment: str, outcome: str, covariates: Sequenc
         x, y = runs.select(*[F.col(k).alias(f"x_{k}") for k in runs.columns]), runs.select(*[F.col(k).alias(f"y_{k}") for k in runs.columns])
         m = x.join(y, (F.col("x_r") == F.col("y_lo")) & (F.col("y_l") == F.col("x_hi"))).where("x_go_right and not y_go_right and y_lo - x_hi <= %r" % width)
         m = cut_lineage(m.select(F.monotonically_increasing_id().alias("k"), "x_arm", "x_l", "x_r", "y_arm", "y_l", "y_r"))
-        r = positions(pool, "id", ["lp"], "pos", small)
+        r = positions(pool, "id", ["lp"], "pos")
 
         def outward(side, descending):
             key = m.select("k", *[F.col(f"{side}_{c}").alias(c) for c in ("arm", "l", "r")])
-            e = cumulate(b.join(key, ["arm", "l", "r"]).select("k", "lp", "n"), "lp", ["n"], ["k"], small, descending=descending)
+            e = cumulate(b.join(key, ["arm", "l", "r"]).select("k", "lp", "n"), "lp", ["n"], ["k"], descending=descending)
             return e.join(r, "lp").select("k", (F.col("n_before") + F.col("pos")).alias("step"), "id", "lp", "__t")
 
         p = outward("x", True).join(outward("y", False).select("k", "step", F.col("id").alias("id2"), F.col("lp").alias("lp2")), ["k", "step"]).where((F.col("lp2") - F.col("lp")) <= width)
@@ -185,11 +184,11 @@ def psm(df: DataFrame, treatment: str, outcome: str, covariates: Sequence[str],
     return rows_frame(df.sparkSession, "covariate string, smd_before double, smd_after double, pairs bigint, treated bigint, att double, t double, p double, caliper double", rows)
 
 
-def rosenbaum_bounds(df: DataFrame, treatment: str, outcome: str, covariates: Sequence[str], id_col: str, gammas: Sequence[float] = (1.0, 1.25, 1.5, 2.0, 3.0), small: int | None = None) -> DataFrame:
+def rosenbaum_bounds(df: DataFrame, treatment: str, outcome: str, covariates: Sequence[str], id_col: str, gammas: Sequence[float] = (1.0, 1.25, 1.5, 2.0, 3.0)) -> DataFrame:
     """Upper and lower signed-rank p over the sensitivity grid on matched pairs."""
     pairs, _ = match_pairs(df, treatment, outcome, covariates, id_col)
     d = pairs.select((F.col("y1") - F.col("y0")).alias("d")).where("d <> 0").select(F.abs("d").alias("a"), (F.col("d") > 0).alias("pos"))
-    r = average_ranks(d, "a", small=small, p=F.col("pos"))
+    r = average_ranks(d, "a", p=F.col("pos"))
     s = fetch(r, n=F.sum("n"), t=F.sum(F.col("p") * F.col("avg_rank")), r1=F.sum(F.col("n") * F.col("avg_rank")), r2=F.sum(F.col("n") * F.col("avg_rank") ** 2))
     rows = []
     for gm in gammas:
@@ -200,7 +199,7 @@ def rosenbaum_bounds(df: DataFrame, treatment: str, outcome: str, covariates: Se
     return rows_frame(df.sparkSession, "gamma double, pairs bigint, signed_rank double, p_upper double, p_lower double, robust boolean", rows)
 
 
-def interrupted_time_series(df: DataFrame, outcome: str, time: str, intervention: float, small: int | None = None) -> DataFrame:
+def interrupted_time_series(df: DataFrame, outcome: str, time: str, intervention: float) -> DataFrame:
     """Segmented regression with Newey-West errors and the Durbin-Watson statistic; time is numeric."""
     d = complete(df, [outcome, time])
     z = d.select(F.col(time).alias("t"), F.col(outcome).alias("y"), F.when(F.col(time) >= intervention, 1.0).otherwise(0.0).alias("step")).withColumn("slope", F.col("step") * (F.col("t") - intervention))
@@ -215,7 +214,7 @@ def interrupted_time_series(df: DataFrame, outcome: str, time: str, intervention
     sc = e.select("t", "e", *[v.alias(f"s{i}") for i, v in enumerate(s)])
     names = [f"s{i}" for i in range(4)]
     from ..plans.series import blocks
-    b, part = blocks(sc, "t", halo=L, small=small)
+    b, part = blocks(sc, "t", halo=L)
     w = Window.partitionBy(*part).orderBy("__i")
     q = b.select("__own", *names, "e", F.lag("e", 1).over(w).alias("e1"), *[F.lag(nm, k).over(w).alias(f"{nm}_{k}") for nm in names for k in range(1, L + 1)]).where("__own")
     r = fetch(q, dw=F.sum((F.col("e") - F.col("e1")) ** 2) / F.sum(F.col("e") ** 2), **{f"m{i}_{j}": F.sum(F.col(names[i]) * F.col(names[j])) for i in range(4) for j in range(4)},
@@ -373,7 +372,7 @@ def chaisemartin_did(df: DataFrame, unit: str, time: str, treatment: str, outcom
                               F.coalesce(F.sum(up), F.lit(0)) + F.coalesce(F.sum(dn), F.lit(0))).alias("did_m"))
 
 
-def changes_in_changes(df: DataFrame, outcome: str, treated: str, post: str, probs: Sequence[float] = (0.25, 0.5, 0.75), small: int | None = None) -> DataFrame:
+def changes_in_changes(df: DataFrame, outcome: str, treated: str, post: str, probs: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
     """Counterfactual F01^-1(F00(y)) of treated pre values; average and quantile effects. `treated` and `post` are 0/1."""
     d = complete(df, [outcome, treated, post])
     cell = lambda g, t: d.where((F.col(treated) == g) & (F.col(post) == t)).select(F.col(outcome).alias("y"))
@@ -381,17 +380,17 @@ def changes_in_changes(df: DataFrame, outcome: str, treated: str, post: str, pro
     refuse(min(n00, n01) < 2, "control rows in both periods are needed")
     # F00 at treated pre values by one cumulative count over the merged values
     m = cell(0, 0).select("y", F.lit(1).alias("c"), F.lit(0).alias("k")).unionByName(cell(1, 0).select("y", F.lit(0).alias("c"), F.lit(1).alias("k"))).groupBy("y").agg(F.sum("c").alias("c"), F.sum("k").alias("k"))
-    r = cumulate(m, "y", ["c"], small=small).where("k > 0").select("k", F.greatest(F.ceil((F.col("c_before") + F.col("c")) * F.lit(n01) / F.lit(n00) - 1e-9), F.lit(1)).cast("bigint").alias("rank"))
-    q = cumulate(cell(0, 1).groupBy("y").agg(F.count(F.lit(1)).alias("n")), "y", ["n"], small=small)
+    r = cumulate(m, "y", ["c"]).where("k > 0").select("k", F.greatest(F.ceil((F.col("c_before") + F.col("c")) * F.lit(n01) / F.lit(n00) - 1e-9), F.lit(1)).cast("bigint").alias("rank"))
+    q = cumulate(cell(0, 1).groupBy("y").agg(F.count(F.lit(1)).alias("n")), "y", ["n"])
     # the rank-th control post value: ranks and values meet in one more cumulative order
     ranks = r.groupBy("rank").agg(F.sum("k").alias("k"))
     ev = q.select((F.col("n_before") + 1).cast("double").alias("pos"), F.col("y").alias("v"), F.lit(0).cast("bigint").alias("k")).unionByName(
         ranks.select((F.col("rank") + 0.5).alias("pos"), F.lit(None).cast("double").alias("v"), "k"))
-    cf = cumulate(ev, "pos", [], small=small, extremes=["v"]).where("k > 0").select("k", F.col("v_maxbefore").alias("v"))
+    cf = cumulate(ev, "pos", [], extremes=["v"]).where("k > 0").select("k", F.col("v_maxbefore").alias("v"))
     s = fetch(cf, m=F.sum(F.col("k") * F.col("v")) / F.sum("k"), n=F.sum("k"))
     obs = fetch(cell(1, 1), m=F.avg("y"))["m"]
     wide = cf.select("v", F.explode(F.sequence(F.lit(1), F.col("k"))))
-    qo, qc = quantiles(cell(1, 1), "y", probs, small), quantiles(wide, "v", probs, small)
+    qo, qc = quantiles(cell(1, 1), "y", probs), quantiles(wide, "v", probs)
     rows = [("att", None, obs - s["m"], int(s["n"]))] + [("qte", float(p), a - b, int(s["n"])) for p, a, b in zip(probs, qo, qc)]
     return rows_frame(df.sparkSession, "effect string, prob double, estimate double, treated_pre bigint", rows)
 
@@ -443,7 +442,7 @@ def fuzzy_rdd(df: DataFrame, running: str, outcome: str, treatment: str, cutoff:
     return one_row(df.sparkSession, effect=float(est), se=se, jump_outcome=float(jy), jump_treatment=float(jt), bandwidth=float(h), n_left=int(n0), n_right=int(n1))
 
 
-def mendelian_randomization(df: DataFrame, beta_exposure: str, beta_outcome: str, se_outcome: str, small: int | None = None) -> DataFrame:
+def mendelian_randomization(df: DataFrame, beta_exposure: str, beta_outcome: str, se_outcome: str) -> DataFrame:
     """IVW with multiplicative overdispersion, Egger after orientation, weighted median, Cochran's Q."""
     d = complete(df, [beta_exposure, beta_outcome, se_outcome]).select(F.abs(beta_exposure).alias("x"), (F.col(beta_outcome) * F.signum(F.col(beta_exposure))).alias("y"), (1 / F.col(se_outcome) ** 2).alias("w")).where("x > 0")
     s = fetch(d, k=F.count(F.lit(1)), wxx=F.sum(F.col("w") * F.col("x") ** 2), wxy=F.sum(F.col("w") * F.col("x") * F.col("y")), wyy=F.sum(F.col("w") * F.col("y") ** 2))
@@ -457,7 +456,7 @@ def mendelian_randomization(df: DataFrame, beta_exposure: str, beta_outcome: str
     phi = max(1.0, (g.cross[0, 0] - sl * g.cross[0, 1]) / (s["k"] - 2))
     se_i = math.sqrt(phi * (1 / g.n + g.mean[1] ** 2 / g.cross[1, 1]))
     r = d.select((F.col("y") / F.col("x")).alias("r"), (F.col("w") * F.col("x") ** 2).alias("wt")).groupBy("r").agg(F.sum("wt").alias("wt"))
-    c = cumulate(r, "r", ["wt"], small=small).withColumn("p", (F.col("wt_before") + F.col("wt") / 2) / F.lit(s["wxx"]))
+    c = cumulate(r, "r", ["wt"]).withColumn("p", (F.col("wt_before") + F.col("wt") / 2) / F.lit(s["wxx"]))
     m = fetch(c, lo=F.max_by("r", F.when(F.col("p") <= 0.5, F.col("p"))), pl=F.max(F.when(F.col("p") <= 0.5, F.col("p"))), hi=F.min_by("r", F.when(F.col("p") > 0.5, F.col("p"))), ph=F.min(F.when(F.col("p") > 0.5, F.col("p"))))
     med = m["hi"] if m["pl"] is None else m["lo"] + (m["hi"] - m["lo"]) * (0.5 - m["pl"]) / (m["ph"] - m["pl"])
     return one_row(df.sparkSession, instruments=int(s["k"]), ivw=b, ivw_se=se, q=qv, egger_slope=float(sl), egger_intercept=float(ic), weighted_median=med, ivw_p=dist.p_two_sided(b / se), q_p=dist.chi2_sf(qv, s["k"] - 1),

@@ -13,11 +13,11 @@ from ..functions import dist
 from ..plans.frames import (clean, collect_bounded, complete, fetch, need, num, numeric_columns, one_row,
                             refuse, rows_frame, text_columns)
 from ..plans.gram import gram, ols
-from ..plans.order import (average_ranks, concordance, cumulate, is_small, quantiles, sorted_position,
+from ..plans.order import (average_ranks, concordance, cumulate, group_quantiles, quantiles, sorted_position,
                            value_counts, with_average_rank)
 
 
-def descriptive_stats(df: DataFrame, columns: Sequence[str] | None = None, small: int | None = None) -> DataFrame:
+def descriptive_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """count/mean/std/min/quartiles/max of numerics and count/unique/top/freq of text, one row per column.
 
     Numerics come from one aggregate; text columns from one grouped count over the unpivoted columns.
@@ -30,11 +30,11 @@ def descriptive_stats(df: DataFrame, columns: Sequence[str] | None = None, small
     out = []
     if nums:
         stats = []
-        quick = is_small(df, small)
+        long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), num(c).alias("v")) for c in nums])).alias("s")).select("s.*")
+        at = group_quantiles(long, "v", [0.25, 0.5, 0.75], ["column"])
         for c in nums:
             v = num(c)
-            qs = ([F.percentile(v, F.lit(p)) for p in (0.25, 0.5, 0.75)] if quick
-                  else [F.lit(x).cast("double") for x in quantiles(df, c, [0.25, 0.5, 0.75], small)])
+            qs = [F.lit(x).cast("double") for x in at.get((c,), [None] * 3)]
             stats.append(F.struct(
                 F.lit(c).alias("column"), F.count(v).alias("n"), F.avg(v).alias("mean"),
                 F.stddev_samp(v).alias("std"), F.min(v).alias("min"),
@@ -96,10 +96,10 @@ def _corr_p(r: float, n: float, controls: int = 0) -> float:
     return dist.t_two_sided(r * math.sqrt(dof / (1 - r * r)), dof)
 
 
-def kendall_counts(df: DataFrame, x: str, y: str, small: int | None = None) -> dict:
+def kendall_counts(df: DataFrame, x: str, y: str) -> dict:
     """Concordant, discordant and tied pairs of two numeric columns without forming pairs."""
     pts = df.groupBy(x, y).agg(F.count(F.lit(1)).alias("w"))
-    cd = concordance(pts, x, y, "w", small=small).collect()
+    cd = concordance(pts, x, y, "w").collect()
     c, d = (cd[0][0], cd[0][1]) if cd else (0.0, 0.0)
 
     def ties(*by):
@@ -110,15 +110,15 @@ def kendall_counts(df: DataFrame, x: str, y: str, small: int | None = None) -> d
     return {"n": n, "c": c, "d": d, "tx": ties(x), "ty": ties(y), "n0": n * (n - 1) / 2}
 
 
-def pearson_correlation(df: DataFrame, x: str, y: str, small: int | None = None) -> DataFrame:
+def pearson_correlation(df: DataFrame, x: str, y: str) -> DataFrame:
     """Pearson r with Fisher interval, Spearman on average ranks, Kendall tau-b by exact pair counts."""
     d = complete(df, [x, y])
     g = gram(d, [x, y])
     refuse(g.n < 4, "correlation needs four complete rows")
     r = g.corr()[0, 1]
-    ranked = with_average_rank(with_average_rank(d, x, "rx", small=small), y, "ry", small=small)
+    ranked = with_average_rank(with_average_rank(d, x, "rx"), y, "ry")
     rho = gram(ranked, ["rx", "ry"]).corr()[0, 1]
-    k = kendall_counts(d, x, y, small)
+    k = kendall_counts(d, x, y)
     tau = (k["c"] - k["d"]) / math.sqrt((k["n0"] - k["tx"]) * (k["n0"] - k["ty"]))
     z, half = math.atanh(max(min(r, 1 - 1e-15), -1 + 1e-15)), dist.Z95 / math.sqrt(g.n - 3)
     n = g.n
@@ -144,15 +144,14 @@ def partial_correlation(df: DataFrame, x: str, y: str, covariates: Sequence[str]
                    ci_low=math.tanh(z - half), ci_high=math.tanh(z + half))
 
 
-def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None, method: str = "pearson",
-                       small: int | None = None) -> DataFrame:
+def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None, method: str = "pearson") -> DataFrame:
     """Pairwise r with p and Benjamini-Hochberg p, strongest first. Spearman ranks complete rows."""
     cols = list(columns or numeric_columns(df))
     refuse(method not in ("pearson", "spearman"), "method is pearson or spearman")
     if method == "spearman":
         d = complete(df, cols)
         for c in cols:
-            d = with_average_rank(d, c, f"__rank_{c}", small=small)
+            d = with_average_rank(d, c, f"__rank_{c}")
         g = gram(d, [f"__rank_{c}" for c in cols])
         cm = g.corr()
         got = [(a, b, int(g.n), cm[i, j]) for i, a in enumerate(cols) for j, b in enumerate(cols) if i < j]
@@ -379,9 +378,9 @@ def cdf_column(family: str, params: tuple, v: str) -> Column:
     return gcdf(x)
 
 
-def ks_distance(d: DataFrame, v: str, family: str, params: tuple, small: int | None = None) -> float:
+def ks_distance(d: DataFrame, v: str, family: str, params: tuple) -> float:
     """Kolmogorov-Smirnov distance on distinct values with their cumulative counts."""
-    r = average_ranks(d, v, small=small)
+    r = average_ranks(d, v)
     n = d.count()
     f = cdf_column(family, params, v)
     t = r.withColumn("__f", f).select(F.greatest(
@@ -390,7 +389,7 @@ def ks_distance(d: DataFrame, v: str, family: str, params: tuple, small: int | N
     return t.agg(F.max("d")).collect()[0][0]
 
 
-def distribution_fit(df: DataFrame, column: str, small: int | None = None) -> DataFrame:
+def distribution_fit(df: DataFrame, column: str) -> DataFrame:
     """Maximum-likelihood families ranked by AIC, with BIC and the KS distance."""
     d = complete(df, [column])
     rows = []
@@ -398,13 +397,13 @@ def distribution_fit(df: DataFrame, column: str, small: int | None = None) -> Da
         f = fit_family(d, column, fam)
         if f:
             rows.append((fam, *f["params"], f["ll"], 2 * f["k"] - 2 * f["ll"],
-                         f["k"] * math.log(f["n"]) - 2 * f["ll"], ks_distance(d, column, fam, f["params"], small)))
+                         f["k"] * math.log(f["n"]) - 2 * f["ll"], ks_distance(d, column, fam, f["params"])))
     rows.sort(key=lambda t: t[4])
     return rows_frame(df.sparkSession, "family string, param1 double, param2 double, loglik double, aic double, "
                       "bic double, ks double, aic_rank bigint", [(*r, i + 1) for i, r in enumerate(rows)])
 
 
-def goodness_of_fit(df: DataFrame, column: str, family: str = "norm", small: int | None = None) -> DataFrame:
+def goodness_of_fit(df: DataFrame, column: str, family: str = "norm") -> DataFrame:
     """KS, Anderson-Darling and Cramer-von Mises against a fitted family.
 
     Sums over tied values use closed forms of the ranks inside the tie, so only distinct values are ordered.
@@ -413,7 +412,7 @@ def goodness_of_fit(df: DataFrame, column: str, family: str = "norm", small: int
     fit = fit_family(d, column, family)
     refuse(not fit, f"{family} needs positive values")
     n = fit["n"]
-    r = average_ranks(d, column, small=small).withColumn("__f", cdf_column(family, fit["params"], column))
+    r = average_ranks(d, column).withColumn("__f", cdf_column(family, fit["params"], column))
     f = F.greatest(F.least(F.col("__f"), F.lit(1 - 1e-12)), F.lit(1e-12))
     b, c = F.col("n_before").cast("double"), F.col("n").cast("double")
     s1 = c * b + c * (c + 1) / 2                                   # sum of ranks i in the tie block
@@ -442,12 +441,12 @@ def inverse_normal(p: pd.Series) -> pd.Series:
     return pd.Series(np.where(v < 0.5, x, -x))
 
 
-def qq_analysis(df: DataFrame, column: str, id_col: str, small: int | None = None) -> DataFrame:
+def qq_analysis(df: DataFrame, column: str, id_col: str) -> DataFrame:
     """Sorted values against normal quantiles at (i - 0.5)/n: PPCC, least-squares line, one row."""
     d = complete(df, [column], [id_col])
     n = float(d.count())
     refuse(n < 3, "three rows are needed")
-    pos = sorted_position(d, column, [id_col], "i", small=small)
+    pos = sorted_position(d, column, [id_col], "i")
     t = pos.select(F.col(column).alias("y"), inverse_normal((F.col("i") - 0.5) / F.lit(n)).alias("q"))
     g = gram(t, ["y", "q"])
     slope = g.cross[0, 1] / g.cross[1, 1]
@@ -491,7 +490,7 @@ def kernel_density(df: DataFrame, column: str, bandwidth: str = "silverman", gri
                     F.lit(h).alias("bandwidth"), F.lit(silverman).alias("silverman"), F.lit(scott).alias("scott"))
 
 
-def tail_index(df: DataFrame, column: str, k_frac: float = 0.10, tail: str = "upper", small: int | None = None) -> DataFrame:
+def tail_index(df: DataFrame, column: str, k_frac: float = 0.10, tail: str = "upper") -> DataFrame:
     """Hill estimator over k and its median over the 20-60% band of k.
 
     Only values that can be among the k_max + 1 largest are ordered: a quantile cut keeps the sort small,
@@ -503,11 +502,11 @@ def tail_index(df: DataFrame, column: str, k_frac: float = 0.10, tail: str = "up
     refuse(n < 10, "ten positive values are needed")
     frac = min(max(k_frac, 0.02), 0.5)
     k_max = max(5, min(int(frac * n), n - 2))
-    r = average_ranks(d, "x", small=small).select("x", "n", F.lit(n).alias("total"), "n_before")
+    r = average_ranks(d, "x").select("x", "n", F.lit(n).alias("total"), "n_before")
     # rank from the top of the first copy: total - n_before - n + 1
     top = r.withColumn("ahead", F.col("total") - F.col("n_before") - F.col("n")).where(F.col("ahead") <= k_max)
     top = top.withColumn("s", F.col("n") * F.log("x"))
-    run = cumulate(top.select("x", "n", "ahead", "s"), "x", ["s"], small=small, descending=True)
+    run = cumulate(top.select("x", "n", "ahead", "s"), "x", ["s"], descending=True)
     # k runs over positions whose next order statistic differs; within a tie the sum is linear in k.
     nxt = Window.orderBy(F.col("x").desc())
     each = run.withColumn("k", F.explode(F.expr("sequence(ahead, least(ahead + n, %d))" % (k_max + 1))))

@@ -379,21 +379,21 @@ def _two(df, outcome, group):
     return d, mom
 
 
-def rank_sum(d: DataFrame, outcome: str, group: str, first, small: int | None = None) -> dict:
+def rank_sum(d: DataFrame, outcome: str, group: str, first) -> dict:
     """Rank sum of the first level and the tie term, from distinct values."""
-    r = average_ranks(d, outcome, small=small, a=F.col(group) == F.lit(first))
+    r = average_ranks(d, outcome, a=F.col(group) == F.lit(first))
     t = fetch(r, n=F.sum("n"), n1=F.sum("a"), r1=F.sum(F.col("a") * F.col("avg_rank")),
               ties=F.sum(F.pow(F.col("n").cast("double"), F.lit(3.0)) - F.col("n")))
     n, n1 = float(t["n"]), float(t["n1"])
     return {"n": n, "n1": n1, "n2": n - n1, "u": float(t["r1"]) - n1 * (n1 + 1) / 2, "ties": float(t["ties"])}
 
 
-def _d_frame(df, outcome, group, ci, small):
+def _d_frame(df, outcome, group, ci):
     d, mom = _two(df, outcome, group)
     (l1, n1, m1, v1), (l2, n2, m2, v2) = mom
     sp = math.sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2))
     dd = (m1 - m2) / sp
-    u = rank_sum(d, outcome, group, l1, small)["u"]
+    u = rank_sum(d, outcome, group, l1)["u"]
     se = math.sqrt((n1 + n2) / (n1 * n2) + dd * dd / (2 * (n1 + n2)))
     z = dist.norm_ppf((1 + ci) / 2)
     j = 1 - 3 / (4 * (n1 + n2) - 9)
@@ -401,31 +401,31 @@ def _d_frame(df, outcome, group, ci, small):
                 cles=u / (n1 * n2), glass=(m1 - m2) / math.sqrt(v2))
 
 
-def cohens_d(df: DataFrame, outcome: str, group: str, ci: float = 0.95, small: int | None = None) -> DataFrame:
+def cohens_d(df: DataFrame, outcome: str, group: str, ci: float = 0.95) -> DataFrame:
     """Standardised mean difference with common-language effect size; levels in sorted order."""
-    s = _d_frame(df, outcome, group, ci, small)
+    s = _d_frame(df, outcome, group, ci)
     return one_row(df.sparkSession, group_1=s["group_1"], group_2=s["group_2"], n1=s["n1"], n2=s["n2"], cohens_d=s["d"],
                    cles=s["cles"], glass_delta=s["glass"], ci_low=s["d"] - s["z"] * s["se"], ci_high=s["d"] + s["z"] * s["se"])
 
 
-def hedges_g(df: DataFrame, outcome: str, group: str, ci: float = 0.95, small: int | None = None) -> DataFrame:
-    s = _d_frame(df, outcome, group, ci, small)
+def hedges_g(df: DataFrame, outcome: str, group: str, ci: float = 0.95) -> DataFrame:
+    s = _d_frame(df, outcome, group, ci)
     se = s["se"] * s["j"]
     return one_row(df.sparkSession, group_1=s["group_1"], group_2=s["group_2"], n1=s["n1"], n2=s["n2"], hedges_g=s["g"],
                    correction=s["j"], ci_low=s["g"] - s["z"] * se, ci_high=s["g"] + s["z"] * se)
 
 
-def cliffs_delta(df: DataFrame, outcome: str, group: str, small: int | None = None) -> DataFrame:
+def cliffs_delta(df: DataFrame, outcome: str, group: str) -> DataFrame:
     """2 AUC - 1 from ranks with the Romano bands."""
     d, mom = _two(df, outcome, group)
-    r = rank_sum(d, outcome, group, mom[0][0], small)
+    r = rank_sum(d, outcome, group, mom[0][0])
     delta = 2 * r["u"] / (r["n1"] * r["n2"]) - 1
     a = abs(delta)
     band = "negligible" if a < 0.147 else "small" if a < 0.33 else "medium" if a < 0.474 else "large"
     return one_row(df.sparkSession, n1=int(r["n1"]), n2=int(r["n2"]), cliffs_delta=delta, magnitude=band)
 
 
-def pair_difference_quantile(d: DataFrame, value: str, group: str, first, small: int | None = None,
+def pair_difference_quantile(d: DataFrame, value: str, group: str, first,
                              probs: Sequence[float] = (0.5,), fan: int = 32) -> list[float]:
     """Exact order statistics of all differences a - b without forming them.
 
@@ -446,7 +446,7 @@ def pair_difference_quantile(d: DataFrame, value: str, group: str, first, small:
             h = p * (total - 1)
             ranks |= {math.floor(h) + 1, math.ceil(h) + 1}
         lo, hi = s["alo"] - s["bhi"], s["ahi"] - s["blo"]
-        out = select_ranks(lambda ts: _pairs_at_most(ab, ts, small), ranks, lo - 1e-9 * (abs(lo) + 1), hi, fan)
+        out = select_ranks(lambda ts: _pairs_at_most(ab, ts), ranks, lo - 1e-9 * (abs(lo) + 1), hi, fan)
         res = []
         for p in probs:
             h = p * (total - 1)
@@ -457,34 +457,34 @@ def pair_difference_quantile(d: DataFrame, value: str, group: str, first, small:
         ab.unpersist()
 
 
-def _pairs_at_most(ab: DataFrame, ts: Sequence[float], small: int | None) -> dict:
+def _pairs_at_most(ab: DataFrame, ts: Sequence[float]) -> dict:
     """For each t: number of pairs (a, b) with a - b <= t."""
     e = ab.withColumn("t", F.explode(F.array(*[F.lit(float(t)) for t in ts])))
     # a counts at b + t when a <= b + t: position a at x, b at x + t, cumulate a up to and including ties.
     m = e.select("t", F.when(F.col("ca") > 0, F.col("x")).otherwise(F.col("x") + F.col("t")).alias("pos"), "ca", "cb")
     m = m.groupBy("t", "pos").agg(F.sum("ca").alias("ca"), F.sum("cb").alias("cb"))
-    c = cumulate(m, "pos", ["ca"], ["t"], small)
+    c = cumulate(m, "pos", ["ca"], ["t"])
     return {r["t"]: r["k"] for r in c.groupBy("t").agg(F.sum(F.col("cb") * (F.col("ca_before") + F.col("ca"))).alias("k")).collect()}
 
 
-def mann_whitney(df: DataFrame, outcome: str, group: str, hodges_lehmann: bool = True, small: int | None = None) -> DataFrame:
+def mann_whitney(df: DataFrame, outcome: str, group: str, hodges_lehmann: bool = True) -> DataFrame:
     """U, tie-corrected z, rank-biserial, and the exact Hodges-Lehmann shift (no pair cap)."""
     d, mom = _two(df, outcome, group)
-    r = rank_sum(d, outcome, group, mom[0][0], small)
+    r = rank_sum(d, outcome, group, mom[0][0])
     n, n1, n2, u = r["n"], r["n1"], r["n2"], r["u"]
     sd = math.sqrt(n1 * n2 / 12 * (n + 1 - r["ties"] / (n * (n - 1))))
     z = (u - n1 * n2 / 2) / sd if sd > 0 else float("nan")
     shift = u - n1 * n2 / 2
     zc = (abs(shift) - 0.5) / sd if sd > 0 else float("nan")
-    hl = pair_difference_quantile(d, outcome, group, mom[0][0], small)[0] if hodges_lehmann else float("nan")
+    hl = pair_difference_quantile(d, outcome, group, mom[0][0])[0] if hodges_lehmann else float("nan")
     return one_row(df.sparkSession, n1=int(n1), n2=int(n2), u=u, z=z, rank_biserial=1 - 2 * u / (n1 * n2),
                    hodges_lehmann=hl, p=min(1.0, dist.p_two_sided(max(zc, 0.0))))
 
 
-def _rank_groups(d, outcome, group, small):
+def _rank_groups(d, outcome, group):
     """Per level: n, mean rank; and N and the tie term."""
     vg = d.groupBy(outcome, group).agg(F.count(F.lit(1)).alias("c"))
-    r = average_ranks(d, outcome, small=small)
+    r = average_ranks(d, outcome)
     t = fetch(r, n=F.sum("n"), ties=F.sum(F.pow(F.col("n").cast("double"), F.lit(3.0)) - F.col("n")))
     rows = collect_bounded(vg.join(r.select(outcome, "avg_rank"), outcome).groupBy(group).agg(
         F.sum("c").alias("n"), (F.sum(F.col("c") * F.col("avg_rank")) / F.sum("c")).alias("mr")), f"levels of {group}")
@@ -498,19 +498,19 @@ def _keep_levels(d, group):
     return d if len(ok) == len(rows) else d.where(F.col(group).isin(ok))
 
 
-def kruskal_wallis(df: DataFrame, outcome: str, group: str, small: int | None = None) -> DataFrame:
+def kruskal_wallis(df: DataFrame, outcome: str, group: str) -> DataFrame:
     """Tie-corrected H and eta squared; levels with one row are left out."""
     d = _keep_levels(complete(df, [outcome], [group]), group)
-    g, n, ties = _rank_groups(d, outcome, group, small)
+    g, n, ties = _rank_groups(d, outcome, group)
     k = len(g)
     h = 12 / (n * (n + 1)) * sum(c * m * m for _, c, m in g) - 3 * (n + 1)
     h /= 1 - ties / (n ** 3 - n)
     return one_row(df.sparkSession, n=int(n), groups=k, h=h, eta_squared=max(0.0, (h - k + 1) / (n - k)), p=dist.chi2_sf(h, k - 1))
 
 
-def dunn_test(df: DataFrame, outcome: str, group: str, small: int | None = None) -> DataFrame:
+def dunn_test(df: DataFrame, outcome: str, group: str) -> DataFrame:
     d = _keep_levels(complete(df, [outcome], [group]), group)
-    g, n, ties = _rank_groups(d, outcome, group, small)
+    g, n, ties = _rank_groups(d, outcome, group)
     s2 = n * (n + 1) / 12 - ties / (12 * (n - 1))
     m = len(g) * (len(g) - 1) / 2
     rows = []
@@ -627,8 +627,7 @@ def predictor(xs: Sequence[str], beta) -> "F.Column":
     return e
 
 
-def robust_regression(df: DataFrame, outcome: str, predictors: Sequence[str], tune: float = 1.345, most: int = 50,
-                      small: int | None = None) -> DataFrame:
+def robust_regression(df: DataFrame, outcome: str, predictors: Sequence[str], tune: float = 1.345, most: int = 50) -> DataFrame:
     """Huber M-estimate by reweighting (MAD scale) beside OLS, and the exact Theil-Sen slope for one predictor."""
     xs = list(predictors)
     d = complete(df, [outcome, *xs])
@@ -636,7 +635,7 @@ def robust_regression(df: DataFrame, outcome: str, predictors: Sequence[str], tu
     beta = fit.beta
     for _ in range(most):
         e = F.col(outcome) - predictor(xs, beta)
-        s = quantiles(d.select(F.abs(e).alias("a")), "a", [0.5], small)[0] / 0.6744897501960817
+        s = quantiles(d.select(F.abs(e).alias("a")), "a", [0.5])[0] / 0.6744897501960817
         refuse(not s, "the residual scale is zero")
         w = F.when(F.abs(e) <= tune * s, F.lit(1.0)).otherwise(F.lit(tune * s) / F.abs(e))
         new = wls(weighted_gram(d, [outcome, *xs], w)[()], outcome, xs)
@@ -646,19 +645,19 @@ def robust_regression(df: DataFrame, outcome: str, predictors: Sequence[str], tu
             break
     sen = [None] * (len(xs) + 1)
     if len(xs) == 1:
-        sl = theil_sen(d, xs[0], outcome, small=small)[0]
-        sen = [quantiles(d, outcome, [0.5], small)[0] - sl * quantiles(d, xs[0], [0.5], small)[0], sl]
+        sl = theil_sen(d, xs[0], outcome)[0]
+        sen = [quantiles(d, outcome, [0.5])[0] - sl * quantiles(d, xs[0], [0.5])[0], sl]
     return rows_frame(df.sparkSession, "term string, ols double, huber double, theil_sen double",
                       [(t, o, h, ts) for t, o, h, ts in zip(["intercept", *xs], fit.beta, beta, sen)])
 
 
-def theil_sen(d: DataFrame, x: str, y: str, probs: Sequence[float] = (0.5,), small: int | None = None, fan: int = 6,
+def theil_sen(d: DataFrame, x: str, y: str, probs: Sequence[float] = (0.5,), fan: int = 6,
               rtol: float = 1e-10) -> list[float]:
     """Exact median (or other quantiles) of all pairwise slopes with distinct x, without forming pairs.
 
     For a candidate slope t the pairs above it are the concordant pairs of (x, y - t x), counted in n log n.
     """
-    pts = dense_rank(d.groupBy(x, y).agg(F.count(F.lit(1)).alias("w")), x, "xr", small=small).persist()
+    pts = dense_rank(d.groupBy(x, y).agg(F.count(F.lit(1)).alias("w")), x, "xr").persist()
     try:
         per_x = fetch(pts.groupBy(x).agg(F.sum("w").cast("double").alias("c")), n=F.sum("c"), t=F.sum(F.col("c") * (F.col("c") - 1) / 2))
         n = per_x["n"]
@@ -669,7 +668,7 @@ def theil_sen(d: DataFrame, x: str, y: str, probs: Sequence[float] = (0.5,), sma
         def at_most(ts):
             e = pts.withColumn("t", F.explode(F.array(*[F.lit(float(t)) for t in ts])))
             e = e.select("t", "xr", (F.col(y) - F.col("t") * F.col(x)).alias("r"), "w")
-            return {r["t"]: total - r["concordant"] for r in concordance(e, "xr", "r", "w", ["t"], small, bits).collect()}
+            return {r["t"]: total - r["concordant"] for r in concordance(e, "xr", "r", "w", ["t"], bits).collect()}
 
         ranks = sorted({f(p * (total - 1)) + 1 for p in probs for f in (math.floor, math.ceil)})
         # Start around the least-squares slope and widen until every rank is inside.

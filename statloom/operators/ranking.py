@@ -13,20 +13,17 @@ from ..functions import dist
 from ..plans.design import Cells
 from ..plans.frames import (collect_bounded, complete, cut_lineage, fetch, level_key, need, num, one_row, refuse, rows_frame)
 from ..plans.gram import gram, weighted_gram
-from ..plans.order import cumulate, is_small, range_bounds, range_id, sorted_position, value_counts, with_average_rank
+from ..plans.order import cumulate, range_bounds, range_id, sorted_position, value_counts, with_average_rank
 from ..plans.series import blocks
 
 
 # --- multi-criteria ranking -----------------------------------------------------------------------
 
-def min_rank(df: DataFrame, score: str, out: str = "rank", descending: bool = True, small: int | None = None) -> DataFrame:
+def min_rank(df: DataFrame, score: str, out: str = "rank", descending: bool = True) -> DataFrame:
     """1 + number of rows with a strictly better score; scores are compared at ten decimals."""
     d = df.withColumn("__s", F.round(F.col(score), 10))
-    if is_small(df, small):
-        o = F.col("__s").desc() if descending else F.col("__s").asc()
-        return d.withColumn(out, F.rank().over(Window.orderBy(o)).cast("bigint")).drop("__s")
-    c = cumulate(value_counts(d, "__s"), "__s", ["n"], small=small, descending=descending)
-    return d.join(c.select("__s", (F.col("n_before") + 1).cast("bigint").alias(out)), "__s").drop("__s")
+    c = cumulate(value_counts(d.where(F.col("__s").isNotNull()), "__s"), "__s", ["n"], descending=descending)
+    return d.join(c.select("__s", (F.col("n_before") + 1).cast("bigint").alias(out)), "__s", "left").drop("__s")
 
 
 def _criteria(df: DataFrame, unit: str, criteria: Sequence[str]) -> DataFrame:
@@ -74,7 +71,7 @@ def weighted_sum(cols: Sequence[str], w: Mapping[str, float]) -> Column:
     return sum([F.col(c) * F.lit(float(w[c])) for c in cols], F.lit(0.0))
 
 
-def topsis(df: DataFrame, unit: str, criteria: Sequence[str], cost: Sequence[str] = (), small: int | None = None) -> DataFrame:
+def topsis(df: DataFrame, unit: str, criteria: Sequence[str], cost: Sequence[str] = ()) -> DataFrame:
     """Entropy-weighted TOPSIS closeness and min-rank."""
     z = _normal(df, unit, criteria, cost)
     w = entropy_weights(z, criteria)
@@ -84,17 +81,17 @@ def topsis(df: DataFrame, unit: str, criteria: Sequence[str], cost: Sequence[str
     dn = F.sqrt(sum([(F.col(c) - F.lit(r[f"lo{i}"])) ** 2 for i, c in enumerate(criteria)], F.lit(0.0)))
     t = v.select(unit, up.alias("d_plus"), dn.alias("d_minus"))
     t = t.withColumn("closeness", F.col("d_minus") / (F.col("d_plus") + F.col("d_minus") + 1e-12))
-    return min_rank(t, "closeness", small=small)
+    return min_rank(t, "closeness")
 
 
-def entropy_weight(df: DataFrame, unit: str, criteria: Sequence[str], cost: Sequence[str] = (), small: int | None = None) -> DataFrame:
+def entropy_weight(df: DataFrame, unit: str, criteria: Sequence[str], cost: Sequence[str] = ()) -> DataFrame:
     z = _normal(df, unit, criteria, cost)
     w = entropy_weights(z, criteria)
     t = z.select(unit, weighted_sum(criteria, w).alias("score"), *[F.lit(w[c]).alias(f"w_{c}") for c in criteria])
-    return min_rank(t, "score", small=small)
+    return min_rank(t, "score")
 
 
-def critic(df: DataFrame, unit: str, criteria: Sequence[str], cost: Sequence[str] = (), small: int | None = None) -> DataFrame:
+def critic(df: DataFrame, unit: str, criteria: Sequence[str], cost: Sequence[str] = ()) -> DataFrame:
     """Weights proportional to SD times the summed one-minus-correlation."""
     z = _normal(df, unit, criteria, cost)
     g = gram(z, list(criteria))
@@ -102,24 +99,24 @@ def critic(df: DataFrame, unit: str, criteria: Sequence[str], cost: Sequence[str
     info = sd * (1 - g.corr()).sum(1)
     w = dict(zip(criteria, info / info.sum()))
     t = z.select(unit, weighted_sum(criteria, w).alias("score"), *[F.lit(float(w[c])).alias(f"w_{c}") for c in criteria])
-    return min_rank(t, "score", small=small)
+    return min_rank(t, "score")
 
 
-def grey_relational(df: DataFrame, unit: str, criteria: Sequence[str], cost: Sequence[str] = (), rho: float = 0.5, small: int | None = None) -> DataFrame:
+def grey_relational(df: DataFrame, unit: str, criteria: Sequence[str], cost: Sequence[str] = (), rho: float = 0.5) -> DataFrame:
     """Mean grey relational coefficient to the ideal row; global smallest and largest differences."""
     z = _normal(df, unit, criteria, cost)
     r = fetch(z, lo=F.min(F.least(*[1 - F.col(c) for c in criteria])), hi=F.max(F.greatest(*[1 - F.col(c) for c in criteria])))
     coef = [(F.lit(r["lo"] + rho * r["hi"])) / ((1 - F.col(c)) + F.lit(rho * r["hi"])) for c in criteria]
-    return min_rank(z.select(unit, (sum(coef, F.lit(0.0)) / len(criteria)).alias("grade")), "grade", small=small)
+    return min_rank(z.select(unit, (sum(coef, F.lit(0.0)) / len(criteria)).alias("grade")), "grade")
 
 
-def membership_function(df: DataFrame, unit: str, criteria: Sequence[str], cost: Sequence[str] = (), small: int | None = None) -> DataFrame:
+def membership_function(df: DataFrame, unit: str, criteria: Sequence[str], cost: Sequence[str] = ()) -> DataFrame:
     z = _normal(df, unit, criteria, cost)
-    return min_rank(z.select(unit, (sum([F.col(c) for c in criteria], F.lit(0.0)) / len(criteria)).alias("membership")), "membership", small=small)
+    return min_rank(z.select(unit, (sum([F.col(c) for c in criteria], F.lit(0.0)) / len(criteria)).alias("membership")), "membership")
 
 
 def vikor(df: DataFrame, unit: str, criteria: Sequence[str], cost: Sequence[str] = (), weights: Mapping[str, float] | None = None,
-          v: float = 0.5, small: int | None = None) -> DataFrame:
+          v: float = 0.5) -> DataFrame:
     """S, R, Q, ranks and the compromise set by the acceptable-advantage and stability conditions."""
     d = _criteria(df, unit, criteria)
     w = weights or {c: 1.0 for c in criteria}
@@ -144,10 +141,10 @@ def vikor(df: DataFrame, unit: str, criteria: Sequence[str], cost: Sequence[str]
         inside = best | (F.col(unit) == F.lit(top[1][unit]))
     else:
         inside = (F.col("q") - F.lit(q1)) < F.lit(dq)
-    return min_rank(t.withColumn("in_compromise", inside), "q", "rank", descending=False, small=small)
+    return min_rank(t.withColumn("in_compromise", inside), "q", "rank", descending=False)
 
 
-def _flow_sums(d: DataFrame, c: str, q: float, p: float, small: int | None) -> DataFrame:
+def _flow_sums(d: DataFrame, c: str, q: float, p: float) -> DataFrame:
     """Per distinct value x: sums of clip((x - b - q)/(p - q), 0, 1) and clip((b - x - q)/(p - q), 0, 1) over all rows b.
 
     Both are piecewise linear in b, so four prefix counts and sums of the values give them.
@@ -157,7 +154,7 @@ def _flow_sums(d: DataFrame, c: str, q: float, p: float, small: int | None) -> D
     ev = vals.select(F.col("x").alias("pos"), "c", "s")
     for sh in probes.values():
         ev = ev.unionByName(vals.select((F.col("x") + F.lit(float(sh))).alias("pos"), F.lit(0.0).alias("c"), F.lit(0.0).alias("s")))
-    cum = cumulate(ev.groupBy("pos").agg(F.sum("c").alias("c"), F.sum("s").alias("s")), "pos", ["c", "s"], small=small)
+    cum = cumulate(ev.groupBy("pos").agg(F.sum("c").alias("c"), F.sum("s").alias("s")), "pos", ["c", "s"])
     t = vals.select("x")
     for k, sh in probes.items():
         look = cum.select(F.col("pos").alias(f"p{k}"), F.col("c_before").alias(f"c{k}"), F.col("s_before").alias(f"s{k}"))
@@ -170,7 +167,7 @@ def _flow_sums(d: DataFrame, c: str, q: float, p: float, small: int | None) -> D
 
 
 def promethee(df: DataFrame, unit: str, criteria: Sequence[str], cost: Sequence[str] = (), weights: Mapping[str, float] | None = None,
-              q: float = 0.0, p: float | None = None, small: int | None = None) -> DataFrame:
+              q: float = 0.0, p: float | None = None) -> DataFrame:
     """PROMETHEE II net flows without forming pairs of alternatives."""
     d = _criteria(df, unit, criteria).select(unit, *[(-F.col(c) if c in cost else F.col(c)).alias(c) for c in criteria])
     r = fetch(d, m=F.count(F.lit(1)), **{f"g{i}": F.max(c) - F.min(c) for i, c in enumerate(criteria)})
@@ -184,15 +181,15 @@ def promethee(df: DataFrame, unit: str, criteria: Sequence[str], cost: Sequence[
         pc = p if p is not None else r[f"g{i}"]
         if not pc or pc <= q:
             continue
-        out = out.join(_flow_sums(d, c, q, pc, small), c)
+        out = out.join(_flow_sums(d, c, q, pc), c)
         plus = plus + F.lit(w[c] / tot) * F.col(f"__plus_{c}")
         minus = minus + F.lit(w[c] / tot) * F.col(f"__minus_{c}")
     t = out.select(unit, (plus / (m - 1)).alias("phi_plus"), (minus / (m - 1)).alias("phi_minus"))
-    return min_rank(t.withColumn("phi", F.col("phi_plus") - F.col("phi_minus")), "phi", small=small)
+    return min_rank(t.withColumn("phi", F.col("phi_plus") - F.col("phi_minus")), "phi")
 
 
 def composite_index(df: DataFrame, unit: str, indicators: Sequence[str], cost: Sequence[str] = (), normalization: str = "minmax",
-                    weighting: str = "equal", aggregation: str = "linear", small: int | None = None) -> DataFrame:
+                    weighting: str = "equal", aggregation: str = "linear") -> DataFrame:
     """Normalise, weight and aggregate; missing cells take the column mean; the rank is a total order."""
     cols = list(indicators)
     need(df, unit, *cols)
@@ -223,12 +220,12 @@ def composite_index(df: DataFrame, unit: str, indicators: Sequence[str], cost: S
     else:
         score = weighted_sum(cols, w)
     t = t.select(unit, F.round(score, 12).alias("score"))
-    return sorted_position(t, "score", [unit], "rank", descending=True, small=small)
+    return sorted_position(t, "score", [unit], "rank", descending=True)
 
 
 # --- marketing ------------------------------------------------------------------------------------
 
-def rfm_segmentation(df: DataFrame, customer: str, date: str, amount: str, small: int | None = None) -> DataFrame:
+def rfm_segmentation(df: DataFrame, customer: str, date: str, amount: str) -> DataFrame:
     """Recency, frequency, money, their quintile scores and the named segment per customer."""
     need(df, customer, date, amount)
     d = df.where(F.col(date).isNotNull())
@@ -238,7 +235,7 @@ def rfm_segmentation(df: DataFrame, customer: str, date: str, amount: str, small
                                              F.coalesce("monetary", F.lit(0.0)).alias("monetary"))
     n = F.broadcast(t.agg(F.count(F.lit(1)).alias("__n")))
     for c in ("recency_days", "frequency", "monetary"):
-        t = with_average_rank(t, c, f"__r_{c}", small=small)
+        t = with_average_rank(t, c, f"__r_{c}")
     t = t.crossJoin(n)
 
     def score(c):
@@ -257,13 +254,13 @@ def rfm_segmentation(df: DataFrame, customer: str, date: str, amount: str, small
 
 
 def customer_lifetime_value(df: DataFrame, customer: str, amount: str, retention: float | None = None, discount: float = 0.10,
-                            margin: float | None = None, small: int | None = None) -> DataFrame:
+                            margin: float | None = None) -> DataFrame:
     """Historical value, order value, share of the top tenth of customers, and the projection m r/(1 + d - r)."""
     d = complete(df, [amount], [customer])
     t = d.groupBy(customer).agg(F.sum(amount).alias("v"), F.avg(amount).alias("aov"))
     s = fetch(t, n=F.count(F.lit(1)), total=F.sum("v"), mean=F.avg("v"), aov=F.avg("aov"))
     k = max(1, math.ceil(0.10 * s["n"]))
-    top = sorted_position(t.select(customer, "v"), "v", [customer], "i", descending=True, small=small).where(F.col("i") <= k)
+    top = sorted_position(t.select(customer, "v"), "v", [customer], "i", descending=True).where(F.col("i") <= k)
     share = fetch(top, s=F.sum("v"))["s"] / s["total"] if s["total"] > 0 else float("nan")
     m = s["aov"] if margin is None else margin
     ok = retention is not None and 0 < retention < 1 and 1 + discount - retention > 0
@@ -302,7 +299,7 @@ CHART = {2: (1.880, 0.0, 3.267, 1.128), 3: (1.023, 0.0, 2.574, 1.693), 4: (0.729
          10: (0.308, 0.223, 1.777, 3.078)}
 
 
-def control_chart(df: DataFrame, measurement: str, order: str, subgroup: str | None = None, small: int | None = None) -> DataFrame:
+def control_chart(df: DataFrame, measurement: str, order: str, subgroup: str | None = None) -> DataFrame:
     """Points with limits and the three run rules: X-bar/R for equal subgroups of 2-10, else individuals.
 
     Runs look back eight points at most, so long charts are cut into blocks with an eight-point halo.
@@ -314,11 +311,11 @@ def control_chart(df: DataFrame, measurement: str, order: str, subgroup: str | N
         refuse(s["lo"] != s["hi"] or not 2 <= s["lo"] <= 10, "subgroups must be of one size from 2 to 10")
         a2, d3, d4, _ = CHART[s["lo"]]
         center, sigma = s["xbar"], a2 * s["rbar"] / 3
-        b, part = blocks(g.select(F.col(subgroup).alias("point"), "x", "range"), "point", halo=8, small=small)
+        b, part = blocks(g.select(F.col(subgroup).alias("point"), "x", "range"), "point", halo=8)
         lcl, ucl, r_ucl = center - 3 * sigma, center + 3 * sigma, d4 * s["rbar"]
     else:
         d = complete(df, [measurement], [order])
-        b, part = blocks(d.select(F.col(order).alias("point"), F.col(measurement).alias("x")), "point", halo=9, small=small)
+        b, part = blocks(d.select(F.col(order).alias("point"), F.col(measurement).alias("x")), "point", halo=9)
         w0 = Window.partitionBy(*part).orderBy("__i")
         b = b.withColumn("range", F.abs(F.col("x") - F.lag("x").over(w0)))
         s = fetch(b.where("__own"), xbar=F.avg("x"), rbar=F.avg("range"))
@@ -338,8 +335,7 @@ def control_chart(df: DataFrame, measurement: str, order: str, subgroup: str | N
                     F.lit(r_ucl).alias("range_ucl"), "rule1", "rule2", "rule3")
 
 
-def process_capability(df: DataFrame, measurement: str, lsl: float | None, usl: float | None, order: str, subgroup: str | None = None,
-                       small: int | None = None) -> DataFrame:
+def process_capability(df: DataFrame, measurement: str, lsl: float | None, usl: float | None, order: str, subgroup: str | None = None) -> DataFrame:
     """Cp/Cpk on the within sigma, Pp/Ppk on the overall SD, expected and observed ppm outside."""
     refuse(lsl is None and usl is None, "a specification limit is needed")
     d = complete(df, [measurement], [c for c in (order, subgroup) if c])
@@ -349,7 +345,7 @@ def process_capability(df: DataFrame, measurement: str, lsl: float | None, usl:
         refuse(s["lo"] != s["hi"] or not 2 <= s["lo"] <= 10, "subgroups must be of one size from 2 to 10")
         within = s["r"] / CHART[s["lo"]][3]
     else:
-        b, part = blocks(d, order, halo=1, small=small)
+        b, part = blocks(d, order, halo=1)
         mr = b.withColumn("r", F.abs(F.col(measurement) - F.lag(measurement).over(Window.partitionBy(*part).orderBy("__i")))).where("__own")
         within = fetch(mr, r=F.avg("r"))["r"] / 1.128
     out = F.lit(False)
@@ -423,7 +419,7 @@ def lower_hull(pdf: pd.DataFrame) -> pd.DataFrame:
     return p.iloc[keep]
 
 
-def cost_effectiveness_analysis(df: DataFrame, option: str, cost: str, effect: str, wtp: float | None = None, small: int | None = None) -> DataFrame:
+def cost_effectiveness_analysis(df: DataFrame, option: str, cost: str, effect: str, wtp: float | None = None) -> DataFrame:
     """Options with their status (frontier, extended or strong dominance), ACER, frontier ICER and net benefit.
 
     Strong dominance is a running maximum of effect along cost. Extended dominance is the lower hull of the
@@ -431,14 +427,11 @@ def cost_effectiveness_analysis(df: DataFrame, option: str, cost: str, effect: s
     """
     d = complete(df, [cost, effect], [option])
     best = d.groupBy(F.col(cost).alias("cost")).agg(F.max(effect).alias("effect"))
-    surv = cumulate(best, "cost", [], small=small, extremes=["effect"]).where(
+    surv = cumulate(best, "cost", [], extremes=["effect"]).where(
         F.col("effect_maxbefore").isNull() | (F.col("effect") > F.col("effect_maxbefore"))).select("cost", "effect")
-    if is_small(df, small):
-        hull = surv.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(lambda p: lower_hull(p)[["cost", "effect"]], "cost double, effect double")
-    else:
-        b = surv.withColumn("b", range_id("effect", range_bounds(surv, "effect")))
-        hull = b.groupBy("b").applyInPandas(lambda p: lower_hull(p)[["cost", "effect"]], "cost double, effect double")
-        hull = hull.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(lambda p: lower_hull(p)[["cost", "effect"]], "cost double, effect double")
+    b = surv.withColumn("b", range_id("effect", range_bounds(surv, "effect")))
+    hull = b.groupBy("b").applyInPandas(lambda p: lower_hull(p)[["cost", "effect"]], "cost double, effect double")
+    hull = hull.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(lambda p: lower_hull(p)[["cost", "effect"]], "cost double, effect double")
     pts = sorted([(r["effect"], r["cost"]) for r in collect_bounded(hull, "frontier options")])
     icer = [None] + [(c1 - c0) / (e1 - e0) for (e0, c0), (e1, c1) in zip(pts, pts[1:])]
     f = rows_frame(df.sparkSession, "__c double, __e double, icer double, __f boolean", [(c, e, i, True) for (e, c), i in zip(pts, icer)])
@@ -451,12 +444,12 @@ def cost_effectiveness_analysis(df: DataFrame, option: str, cost: str, effect: s
                     status.alias("status"), "icer", nb.alias("net_benefit"))
 
 
-def marginal_abatement_cost(df: DataFrame, measure: str, cost: str, abatement: str, price: float | None = None, small: int | None = None) -> DataFrame:
+def marginal_abatement_cost(df: DataFrame, measure: str, cost: str, abatement: str, price: float | None = None) -> DataFrame:
     """Measures by cost per unit abated, cumulative abatement, no-regret and below-price flags."""
     d = complete(df, [cost, abatement], [measure]).where(F.col(abatement) > 0)
     t = d.withColumn("mac", F.col(cost) / F.col(abatement))
-    pos = sorted_position(t, "mac", [measure], "rank", small=small)
-    c = cumulate(pos.withColumn("__a", F.col(abatement)), "rank", ["__a"], small=small)
+    pos = sorted_position(t, "mac", [measure], "rank")
+    c = cumulate(pos.withColumn("__a", F.col(abatement)), "rank", ["__a"])
     return c.select(measure, "rank", "mac", F.col(abatement).alias("abatement"), (F.col("__a_before") + F.col(abatement)).alias("cumulative"),
                     (F.col("mac") < 0).alias("no_regret"), (F.col("mac") <= F.lit(price) if price is not None else F.lit(None).cast("boolean")).alias("below_price"))
 

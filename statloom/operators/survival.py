@@ -16,43 +16,42 @@ from ..plans.order import cumulate, quantiles
 from .describe import weibull_shape
 
 
-def event_table(df: DataFrame, duration: str, event: Column, keys: Sequence[str] = (), small: int | None = None, **more: Column) -> DataFrame:
+def event_table(df: DataFrame, duration: str, event: Column, keys: Sequence[str] = (), **more: Column) -> DataFrame:
     """Per key and time: events `d`, censored `c`, number at risk, Kaplan-Meier survival before and after."""
     keys = list(keys)
     d = df.withColumn("__e", event).where((F.col(duration) > 0) & F.col("__e").isNotNull())
     g = d.groupBy(*keys, F.col(duration).cast("double").alias("t")).agg(F.sum(F.when(F.col("__e") > 0, 1).otherwise(0)).alias("d"), F.count(F.lit(1)).alias("m"),
                                                                         *[F.sum(c).alias(k) for k, c in more.items()])
     # at risk: rows of the key at this time or later
-    r = cumulate(g, "t", ["m"], keys, small, descending=True).withColumn("at_risk", F.col("m") + F.col("m_before")).drop("m_before")
+    r = cumulate(g, "t", ["m"], keys, descending=True).withColumn("at_risk", F.col("m") + F.col("m_before")).drop("m_before")
     dead = F.col("d") >= F.col("at_risk")
     r = r.withColumn("__l", F.when(dead, F.lit(0.0)).otherwise(F.log1p(-F.col("d") / F.col("at_risk")))).withColumn("__z", F.when(dead, 1).otherwise(0))
-    c = cumulate(r, "t", ["__l", "__z"], keys, small)
+    c = cumulate(r, "t", ["__l", "__z"], keys)
     before = F.when(F.col("__z_before") > 0, 0.0).otherwise(F.exp(F.col("__l_before")))
     after = F.when(F.col("__z_before") + F.col("__z") > 0, 0.0).otherwise(F.exp(F.col("__l_before") + F.col("__l")))
     return c.select(*keys, "t", "d", (F.col("m") - F.col("d")).alias("c"), "at_risk", before.alias("s_before"), after.alias("s"), *more)
 
 
-def kaplan_meier(df: DataFrame, duration: str, event: str, group: str | None = None, small: int | None = None) -> DataFrame:
+def kaplan_meier(df: DataFrame, duration: str, event: str, group: str | None = None) -> DataFrame:
     """Survival at every event or censoring time."""
     need(df, duration, event, group)
-    return event_table(df, duration, num(event), [group] if group else [], small).select(*([group] if group else []), "t", "d", "c", "at_risk", F.col("s").alias("survival"))
+    return event_table(df, duration, num(event), [group] if group else []).select(*([group] if group else []), "t", "d", "c", "at_risk", F.col("s").alias("survival"))
 
 
-def log_rank(df: DataFrame, duration: str, event: str, group: str, small: int | None = None) -> tuple[float, float]:
+def log_rank(df: DataFrame, duration: str, event: str, group: str) -> tuple[float, float]:
     lv = levels_of(df, group, 2)
     refuse(len(lv) != 2, "the log-rank test needs two groups")
     d = df.withColumn("__e", num(event)).where(F.col(duration) > 0)
     first = F.col(group) == F.lit(lv[0])
     g = d.groupBy(F.col(duration).cast("double").alias("t")).agg(F.sum("__e").alias("d"), F.count(F.lit(1)).alias("m"), F.sum(F.when(first, F.col("__e")).otherwise(0)).alias("d1"),
                                                                  F.sum(F.when(first, 1).otherwise(0)).alias("m1"))
-    r = cumulate(g, "t", ["m", "m1"], (), small, descending=True)
+    r = cumulate(g, "t", ["m", "m1"], (), descending=True)
     n, n1 = F.col("m") + F.col("m_before"), F.col("m1") + F.col("m1_before")
     s = fetch(r, o=F.sum("d1"), e=F.sum(F.col("d") * n1 / n), v=F.sum(F.when(n > 1, F.col("d") * (n1 / n) * (1 - n1 / n) * (n - F.col("d")) / (n - 1)).otherwise(0.0)))
     return s["o"] - s["e"], s["v"]
 
 
-def cox_fit(df: DataFrame, stop: str, event: str, covariates: Sequence[str], strata: str | None = None, start: str | None = None,
-            small: int | None = None, most: int = 30, tol: float = 1e-8) -> dict:
+def cox_fit(df: DataFrame, stop: str, event: str, covariates: Sequence[str], strata: str | None = None, start: str | None = None, most: int = 30, tol: float = 1e-8) -> dict:
     """Cox partial likelihood with Efron ties by Newton steps.
 
     Each step sums exp(x'b), its products with x and the event sums per distinct time, turns them into risk-set
@@ -81,7 +80,7 @@ def cox_fit(df: DataFrame, stop: str, event: str, covariates: Sequence[str], str
         ev = {"d": F.col("e"), "le": F.col("e") * eta, "e0": F.col("e") * F.col("w"), **{f"ex_{i}": F.col("e") * F.col(f"x{i}") for i in range(k)},
               **{f"e1_{i}": F.col("e") * F.col("w") * F.col(f"x{i}") for i in range(k)}, **{f"e2_{i}_{j}": F.col("e") * F.col("w") * F.col(f"x{i}") * F.col(f"x{j}") for i, j in pairs}}
         g = rows.groupBy(*keys, "t").agg(*[F.sum(c).alias(n) for n, c in {**sums, **ev}.items()])
-        c = cumulate(g, "t", list(sums), keys, small, descending=True)
+        c = cumulate(g, "t", list(sums), keys, descending=True)
         # A start at time t does not count at t itself (start < t): entries at t are in the running sum of later
         # rows only when strictly later, so the risk set at t takes its own positive part plus what comes after.
         if start:
@@ -141,26 +140,26 @@ def _cox_frame(df, xs, f):
     return rows_frame(df.sparkSession, "covariate string, coef double, hazard_ratio double, se double, z double, p double, n bigint, events bigint, loglik double, lr_chi2 double", rows)
 
 
-def cox_regression(df: DataFrame, duration: str, event: str, covariates: Sequence[str], small: int | None = None) -> DataFrame:
-    return _cox_frame(df, covariates, cox_fit(df, duration, event, covariates, small=small))
+def cox_regression(df: DataFrame, duration: str, event: str, covariates: Sequence[str]) -> DataFrame:
+    return _cox_frame(df, covariates, cox_fit(df, duration, event, covariates))
 
 
-def stratified_cox(df: DataFrame, duration: str, event: str, covariates: Sequence[str], strata: str, small: int | None = None) -> DataFrame:
-    return _cox_frame(df, covariates, cox_fit(df, duration, event, covariates, strata, small=small))
+def stratified_cox(df: DataFrame, duration: str, event: str, covariates: Sequence[str], strata: str) -> DataFrame:
+    return _cox_frame(df, covariates, cox_fit(df, duration, event, covariates, strata))
 
 
-def time_varying_cox(df: DataFrame, start: str, stop: str, event: str, covariates: Sequence[str], small: int | None = None) -> DataFrame:
-    return _cox_frame(df, covariates, cox_fit(df, stop, event, covariates, None, start, small=small))
+def time_varying_cox(df: DataFrame, start: str, stop: str, event: str, covariates: Sequence[str]) -> DataFrame:
+    return _cox_frame(df, covariates, cox_fit(df, stop, event, covariates, None, start))
 
 
-def cox_ph_diagnostics(df: DataFrame, duration: str, event: str, covariates: Sequence[str], small: int | None = None) -> DataFrame:
+def cox_ph_diagnostics(df: DataFrame, duration: str, event: str, covariates: Sequence[str]) -> DataFrame:
     """Correlation of the scaled Schoenfeld residuals with rank time, per covariate."""
     from ..plans.order import with_average_rank
-    f = cox_fit(df, duration, event, covariates, small=small)
+    f = cox_fit(df, duration, event, covariates)
     k = len(covariates)
     v = f["vcov"] * f["events"]
     s = f["schoenfeld"].select("t", *[sum([F.col(f"sch{j}") * F.lit(float(v[i, j])) for j in range(k)], F.lit(0.0)).alias(f"r{i}") for i in range(k)])
-    r = with_average_rank(s, "t", "rank", small=small)
+    r = with_average_rank(s, "t", "rank")
     m = fetch(r, n=F.count(F.lit(1)), **{f"c{i}": F.covar_pop(f"r{i}", "rank") / F.sqrt(F.var_pop(f"r{i}") * F.var_pop("rank")) for i in range(k)})
     n = m["n"]
     rows = []
@@ -170,28 +169,28 @@ def cox_ph_diagnostics(df: DataFrame, duration: str, event: str, covariates: Seq
     return rows_frame(df.sparkSession, "covariate string, events bigint, rho double, chi2 double, p double", rows)
 
 
-def survival_analysis(df: DataFrame, duration: str, event: str, group: str | None = None, small: int | None = None) -> DataFrame:
+def survival_analysis(df: DataFrame, duration: str, event: str, group: str | None = None) -> DataFrame:
     """Median survival per group (-1 when never reached), events, and the log-rank test of two groups."""
     need(df, duration, event, group)
     keys = [group] if group else []
     d = df if group else df
-    t = event_table(d, duration, num(event), keys, small)
+    t = event_table(d, duration, num(event), keys)
     m = t.groupBy(*keys).agg(F.sum(F.col("d") + F.col("c")).alias("n"), F.sum("d").alias("events"), F.coalesce(F.min(F.when(F.col("s") <= 0.5, F.col("t"))), F.lit(-1.0)).alias("median"))
     if not group:
         return m
-    oe, v = log_rank(df, duration, event, group, small)
+    oe, v = log_rank(df, duration, event, group)
     x = oe * oe / v if v > 0 else float("nan")
     return m.select(F.col(group).cast("string").alias("level"), "n", "events", "median", F.lit(x).alias("logrank_chi2"), F.lit(dist.chi2_sf(x, 1)).alias("logrank_p"))
 
 
-def competing_risks(df: DataFrame, duration: str, status: str, group: str, event_of_interest: int = 1, small: int | None = None) -> DataFrame:
+def competing_risks(df: DataFrame, duration: str, status: str, group: str, event_of_interest: int = 1) -> DataFrame:
     """Aalen-Johansen cumulative incidence of one cause per group at the .2 ... 1 quantiles of duration."""
     need(df, duration, status, group)
     s = num(status)
-    t = event_table(df, duration, s, [group], small, dk=F.when(s == event_of_interest, 1).otherwise(0))
+    t = event_table(df, duration, s, [group], dk=F.when(s == event_of_interest, 1).otherwise(0))
     t = t.withColumn("inc", F.col("s_before") * F.col("dk") / F.col("at_risk"))
-    c = cumulate(t, "t", ["inc"], [group], small).withColumn("cif", F.col("inc_before") + F.col("inc"))
-    qs = quantiles(df, duration, [0.2, 0.4, 0.6, 0.8, 1.0], small)
+    c = cumulate(t, "t", ["inc"], [group]).withColumn("cif", F.col("inc_before") + F.col("inc"))
+    qs = quantiles(df, duration, [0.2, 0.4, 0.6, 0.8, 1.0])
     at = F.explode(F.array(*[F.struct(F.lit(p).alias("q"), F.max(F.when(F.col("t") <= F.lit(v), F.col("cif"))).alias("cif"), F.lit(v).alias("time"))
                              for p, v in zip((0.2, 0.4, 0.6, 0.8, 1.0), qs)]))
     g = c.groupBy(group).agg(F.array(*[F.struct(F.lit(p).alias("q"), F.lit(float(v)).alias("time"), F.max(F.when(F.col("t") <= F.lit(float(v)), F.col("cif"))).alias("cif"))
@@ -199,18 +198,18 @@ def competing_risks(df: DataFrame, duration: str, status: str, group: str, event
     return g.select(F.col(group).cast("string").alias("level"), F.explode("a").alias("s")).select("level", "s.q", "s.time", F.coalesce("s.cif", F.lit(0.0)).alias("cif"))
 
 
-def rmst(df: DataFrame, duration: str, event: str, group: str, tau: float | None = None, small: int | None = None) -> DataFrame:
+def rmst(df: DataFrame, duration: str, event: str, group: str, tau: float | None = None) -> DataFrame:
     """Restricted mean survival per group: area under Kaplan-Meier to tau and its variance.
 
     The area beyond a time is written through the later drops of the curve, so one running sum gives it.
     """
     need(df, duration, event, group)
-    t = event_table(df, duration, num(event), [group], small).where("d > 0")
+    t = event_table(df, duration, num(event), [group]).where("d > 0")
     last = [r["m"] for r in collect_bounded(t.groupBy(group).agg(F.max("t").alias("m")), "groups")]
     common = min(last)
     tv = common if tau is None else min(tau, common)
     t = t.where(F.col("t") <= F.lit(tv)).withColumn("drop", (F.col("s_before") - F.col("s")) * (F.lit(tv) - F.col("t")))
-    c = cumulate(t, "t", ["drop"], [group], small, descending=True)
+    c = cumulate(t, "t", ["drop"], [group], descending=True)
     rest = F.col("s") * (F.lit(tv) - F.col("t")) - F.col("drop_before")
     y, d = F.col("at_risk"), F.col("d")
     g = c.groupBy(group).agg((F.lit(tv) - F.sum("drop")).alias("rmst"), F.sum(F.when(y > d, rest * rest * d / (y * (y - d))).otherwise(0.0)).alias("var"))
@@ -254,7 +253,7 @@ def parametric_survival(df: DataFrame, duration: str, event: str, covariates: Se
     return rows_frame(df.sparkSession, "model string, term string, coef double, exp_coef double, se double, z double, p double, loglik double, aic double, is_best boolean", rows)
 
 
-def life_table(df: DataFrame, age: str, deaths: str, exposure: str, ax: float = 0.5, radix: float = 100_000.0, small: int | None = None) -> DataFrame:
+def life_table(df: DataFrame, age: str, deaths: str, exposure: str, ax: float = 0.5, radix: float = 100_000.0) -> DataFrame:
     """Period life table from deaths and exposure per age."""
     need(df, age, deaths, exposure)
     d = df.groupBy(num(age).alias("age")).agg((F.sum(num(deaths)) / F.sum(num(exposure))).alias("m"))

@@ -197,26 +197,26 @@ def epi_risk_measures(df: DataFrame, exposure: str, outcome: str, ci: float = 0.
                    corrected=corrected)
 
 
-def roc_points(df: DataFrame, truth: str, score: str, small: int | None = None) -> tuple[DataFrame, float, float]:
+def roc_points(df: DataFrame, truth: str, score: str) -> tuple[DataFrame, float, float]:
     """Distinct scores from the highest with true and false positives at or above each."""
     y, *_ = binary01(df, truth)
     d = complete(df.select(y.alias("y"), F.col(score).alias("s")), ["y", "s"])
     v = d.groupBy("s").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
     t = fetch(v, p=F.sum("pos"), n=F.sum("neg"))
     refuse(not t["p"] or not t["n"], "the truth column has one class only")
-    c = cumulate(v, "s", ["pos", "neg"], small=small)      # sums over lower scores
+    c = cumulate(v, "s", ["pos", "neg"])      # sums over lower scores
     p, n = float(t["p"]), float(t["n"])
     return c.withColumn("tp", F.lit(p) - F.col("pos_before")).withColumn("fp", F.lit(n) - F.col("neg_before")), p, n
 
 
-def roc_curve(df: DataFrame, truth: str, score: str, small: int | None = None) -> DataFrame:
-    pts, p, n = roc_points(df, truth, score, small)
+def roc_curve(df: DataFrame, truth: str, score: str) -> DataFrame:
+    pts, p, n = roc_points(df, truth, score)
     return pts.select(F.col("s").alias("threshold"), (F.col("tp") / p).alias("tpr"), (F.col("fp") / n).alias("fpr"))
 
 
-def diagnostic_test_eval(df: DataFrame, truth: str, score: str, ci: float = 0.95, small: int | None = None) -> DataFrame:
+def diagnostic_test_eval(df: DataFrame, truth: str, score: str, ci: float = 0.95) -> DataFrame:
     """AUC with DeLong interval (flipped below one half), Youden cut and the accuracy measures there."""
-    pts, p, n = roc_points(df, truth, score, small)
+    pts, p, n = roc_points(df, truth, score)
     # Placement values at each distinct score: share of the other class below, ties half.
     v10 = (F.col("neg_before") + F.col("neg") / 2) / n
     v01 = (F.lit(p) - F.col("pos_before") - F.col("pos") / 2) / p
@@ -265,8 +265,7 @@ def reliability_bins(df: DataFrame, prob: str, outcome: str, bins: int = 10) ->
     return t.select("*", F.greatest(F.lit(0.0), mid - half).alias("wilson_low"), F.least(F.lit(1.0), mid + half).alias("wilson_high"))
 
 
-def calibration_assessment(df: DataFrame, prob: str, outcome: str, id_col: str, groups: int = 10, bins: int = 10,
-                           small: int | None = None) -> DataFrame:
+def calibration_assessment(df: DataFrame, prob: str, outcome: str, id_col: str, groups: int = 10, bins: int = 10) -> DataFrame:
     """Brier score with its decomposition over bins, Hosmer-Lemeshow on equal-count groups, recalibration line."""
     from .glm import logit_fit
     d = complete(df, [prob, outcome], [id_col])
@@ -275,7 +274,7 @@ def calibration_assessment(df: DataFrame, prob: str, outcome: str, id_col: str,
     rb = collect_bounded(reliability_bins(d, prob, outcome, bins), "bins")
     rel = sum(r["n"] * (r["mean_predicted"] - r["observed"]) ** 2 for r in rb) / n
     res = sum(r["n"] * (r["observed"] - brier["o"]) ** 2 for r in rb) / n
-    pos = sorted_position(d, prob, [id_col], "__i", small=small)
+    pos = sorted_position(d, prob, [id_col], "__i")
     g = F.least(F.floor((F.col("__i") - 1) * groups / F.lit(n)), F.lit(groups - 1))
     hl = collect_bounded(pos.groupBy(g.alias("g")).agg(F.sum(prob).alias("e"), F.sum(outcome).alias("o"), F.count(F.lit(1)).alias("n")), "groups")
     stat = sum((r["o"] - r["e"]) ** 2 / r["e"] + (r["o"] - r["e"]) ** 2 / (r["n"] - r["e"]) for r in hl if 0 < r["e"] < r["n"])
@@ -642,7 +641,7 @@ def qca_necessity(df: DataFrame, outcome: str, conditions: Sequence[str], anchor
     return t.where((F.col("consistency") >= incl_cut) & (F.col("coverage") >= cov_cut))
 
 
-def nca(df: DataFrame, outcome: str, conditions: Sequence[str], small: int | None = None) -> DataFrame:
+def nca(df: DataFrame, outcome: str, conditions: Sequence[str]) -> DataFrame:
     """Necessary-condition effect size: empty area above the running maximum of y along x."""
     rows = None
     for c in conditions:
@@ -651,9 +650,9 @@ def nca(df: DataFrame, outcome: str, conditions: Sequence[str], small: int | Non
         y0 = fetch(complete(df, [outcome, c]), y0=F.min(outcome))["y0"]
         refuse(s["n"] < 20, "twenty rows are needed")
         refuse(s["x1"] <= s["x0"] or s["y1"] <= y0, f"{c} or the outcome is constant")
-        up = cumulate(d.select(F.col(c).alias("x"), "y"), "x", [], small=small, extremes=["y"])
+        up = cumulate(d.select(F.col(c).alias("x"), "y"), "x", [], extremes=["y"])
         up = up.select("x", F.greatest("y", "y_maxbefore").alias("ceil"), (-F.col("x")).alias("neg"))
-        nx = cumulate(up, "x", [], small=small, extremes=["neg"], descending=True)
+        nx = cumulate(up, "x", [], extremes=["neg"], descending=True)
         width = -F.col("neg_maxbefore") - F.col("x")
         dv = F.coalesce(F.sum((F.lit(s["y1"]) - F.col("ceil")) * width), F.lit(0.0)) / F.lit((s["x1"] - s["x0"]) * (s["y1"] - y0))
         t = nx.agg(dv.alias("d")).select(F.lit(c).alias("condition"), "d", F.when(F.col("d") < 0.1, "negligible").when(F.col("d") < 0.3, "medium")

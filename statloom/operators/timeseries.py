@@ -185,15 +185,15 @@ def structural_breaks(df: DataFrame, value: str, order: str, keys: Sequence[str]
     return _map(df, d, keys, fit, "segment bigint, start bigint, end bigint, mean double, sd double")
 
 
-def mann_kendall_trend(df: DataFrame, value: str, time: str, alpha: float = 0.05, sen: bool = True, small: int | None = None) -> DataFrame:
+def mann_kendall_trend(df: DataFrame, value: str, time: str, alpha: float = 0.05, sen: bool = True) -> DataFrame:
     """S, its tie-corrected z, and the exact Sen slope on rank time with its rank interval; no pairs are formed."""
     from .groups import theil_sen
     need(df, value, time)
     d = df.select(F.col(time).alias("t"), num(value).alias("v")).dropna()
-    p = positions(d, "t", (), "i", small).select(F.col("i").cast("double").alias("i"), "v")
+    p = positions(d, "t", (), "i").select(F.col("i").cast("double").alias("i"), "v")
     n = p.count()
     refuse(n < 4, "four points are needed")
-    c = concordance(p.withColumn("w", F.lit(1)), "i", "v", "w", small=small).collect()[0]
+    c = concordance(p.withColumn("w", F.lit(1)), "i", "v", "w").collect()[0]
     s = c["concordant"] - c["discordant"]
     ties = fetch(p.groupBy("v").agg(F.count(F.lit(1)).cast("double").alias("c")), t=F.sum(F.col("c") * (F.col("c") - 1) * (2 * F.col("c") + 5)))["t"]
     var = (n * (n - 1) * (2 * n + 5) - ties) / 18
@@ -204,18 +204,18 @@ def mann_kendall_trend(df: DataFrame, value: str, time: str, alpha: float = 0.05
         ca = dist.norm_ppf(1 - alpha / 2) * math.sqrt(var)
         a = min(max(int(round((total - ca) / 2)) - 1, 0), total - 1)
         b = min(max(int(round((total + ca) / 2)), 0), total - 1)
-        med, lo, hi = theil_sen(p, "i", "v", [0.5, a / (total - 1), b / (total - 1)], small)
+        med, lo, hi = theil_sen(p, "i", "v", [0.5, a / (total - 1), b / (total - 1)])
     return one_row(df.sparkSession, n=int(n), s=s, var_s=var, z=float(z), tau=s / (n * (n - 1) / 2), sen_slope=med, sen_low=lo, sen_high=hi, p=dist.p_two_sided(float(z)))
 
 
-def flow_duration_curve(df: DataFrame, value: str, small: int | None = None) -> DataFrame:
+def flow_duration_curve(df: DataFrame, value: str) -> DataFrame:
     """Flows at exceedance probabilities i/(n+1), the Q90/Q50 ratio and the mid-range slope."""
     d = complete(df, [value])
     n = d.count()
     refuse(n < 5, "five values are needed")
     ps = [0.05, 0.10, 0.50, 0.90, 0.95, 0.33, 0.66]
     at = [min(max(((1 - p) * (n + 1) - 1) / (n - 1), 0.0), 1.0) for p in ps]
-    v = quantiles(d, value, at, small)
+    v = quantiles(d, value, at)
     slope = (math.log(v[5]) - math.log(v[6])) / 0.33 if v[5] > 0 and v[6] > 0 else float("nan")
     return one_row(df.sparkSession, n=n, q5=v[0], q10=v[1], q50=v[2], q90=v[3], q95=v[4], q90_q50=v[3] / v[2] if v[2] else float("nan"), slope=slope)
 
@@ -256,24 +256,24 @@ def idf_curve(df: DataFrame, duration: str, intensity: str, most: int = 200) ->
 
 # --- multivariate dynamics ------------------------------------------------------------------------
 
-def with_lags(df: DataFrame, order: str, cols: Sequence[str], lags: int, small: int | None = None) -> DataFrame:
+def with_lags(df: DataFrame, order: str, cols: Sequence[str], lags: int) -> DataFrame:
     """Columns c_l0 ... c_lK over time order; long series are cut into blocks with a halo."""
     d = complete(df, cols, [order])
-    b, part = blocks(d, order, halo=lags, small=small)
+    b, part = blocks(d, order, halo=lags)
     w = Window.partitionBy(*part).orderBy("__i")
     return b.select("__i", "__own", *[(F.col(c) if k == 0 else F.lag(c, k).over(w)).alias(f"{c}_l{k}") for c in cols for k in range(lags + 1)]).where("__own").dropna().drop("__own")
 
 
-def _var_gram(df, order, cols, lags, small):
-    t = with_lags(df, order, cols, lags, small)
+def _var_gram(df, order, cols, lags):
+    t = with_lags(df, order, cols, lags)
     return gram(t, [f"{c}_l{k}" for c in cols for k in range(lags + 1)])
 
 
-def var_granger(df: DataFrame, order: str, series: Sequence[str], max_lag: int = 4, small: int | None = None) -> DataFrame:
+def var_granger(df: DataFrame, order: str, series: Sequence[str], max_lag: int = 4) -> DataFrame:
     """VAR order by AIC on a common sample and Granger F for every ordered pair; one Gram serves all."""
     cs = list(series)
     refuse(len(cs) < 2, "two series are needed")
-    g = _var_gram(df, order, cs, max_lag, small)
+    g = _var_gram(df, order, cs, max_lag)
 
     def resid_cov(p):
         xs = [f"{c}_l{k}" for c in cs for k in range(1, p + 1)]
@@ -304,11 +304,11 @@ def adf(g: Gram, level: str, diff: str, lagged: Sequence[str]) -> float:
     return float(f.beta[1] / f.se[1])
 
 
-def cointegration_vecm(df: DataFrame, order: str, series: Sequence[str], small: int | None = None) -> DataFrame:
+def cointegration_vecm(df: DataFrame, order: str, series: Sequence[str]) -> DataFrame:
     """Johansen trace from product-moment matrices of differences and levels, Engle-Granger residual ADF, and the VECM."""
     cs = list(series)
     k = len(cs)
-    t = with_lags(df, order, cs, 2, small)
+    t = with_lags(df, order, cs, 2)
     z = t.select(*[(F.col(f"{c}_l0") - F.col(f"{c}_l1")).alias(f"d_{c}") for c in cs], *[F.col(f"{c}_l1").alias(f"y_{c}") for c in cs], *[(F.col(f"{c}_l1") - F.col(f"{c}_l2")).alias(f"l_{c}") for c in cs],
                  *[F.col(f"{c}_l0").alias(c) for c in cs])
     d, y, l = ([f"{p}_{c}" for c in cs] for p in "dyl")
@@ -323,18 +323,18 @@ def cointegration_vecm(df: DataFrame, order: str, series: Sequence[str], small:
     beta = vec[:, 0] / vec[0, 0]
     alpha = s01 @ beta / (beta @ s11 @ beta)
     f = ols(g, cs[0], cs[1:])
-    res = with_lags(df.select(order, (F.col(cs[0]) - sum([F.col(c) * F.lit(float(b)) for c, b in zip(cs[1:], f.beta[1:])], F.lit(float(f.beta[0])))).alias("e")), order, ["e"], 2, small)
+    res = with_lags(df.select(order, (F.col(cs[0]) - sum([F.col(c) * F.lit(float(b)) for c, b in zip(cs[1:], f.beta[1:])], F.lit(float(f.beta[0])))).alias("e")), order, ["e"], 2)
     ge = gram(res.select((F.col("e_l0") - F.col("e_l1")).alias("de"), F.col("e_l1").alias("e1"), (F.col("e_l1") - F.col("e_l2")).alias("dl")), ["de", "e1", "dl"])
     eg = adf(ge, "e1", "de", ["dl"])
     return rows_frame(df.sparkSession, "series string, rank_null bigint, trace double, critical5 double, beta double, alpha double, adf_level double, engle_granger_t double, cointegrated boolean, n bigint",
                       [(c, r, trace[r], TRACE5.get(k - r), float(beta[r]), float(alpha[r]), adf(g, f"y_{c}", f"d_{c}", [f"l_{c}"]), eg, eg < EG5, int(g.n)) for r, c in enumerate(cs)])
 
 
-def ardl_bounds(df: DataFrame, order: str, outcome: str, regressors: Sequence[str], max_lag: int = 2, small: int | None = None) -> DataFrame:
+def ardl_bounds(df: DataFrame, order: str, outcome: str, regressors: Sequence[str], max_lag: int = 2) -> DataFrame:
     """Error-correction form with the lag order by AIC, the bounds F test and long-run coefficients."""
     xs = list(regressors)
     cs = [outcome, *xs]
-    t = with_lags(df, order, cs, max_lag + 1, small)
+    t = with_lags(df, order, cs, max_lag + 1)
     z = t.select(*[F.col(f"{c}_l1").alias(f"L_{c}") for c in cs], *[(F.col(f"{c}_l{k}") - F.col(f"{c}_l{k + 1}")).alias(f"D{k}_{c}") for c in cs for k in range(max_lag + 1)])
     g = gram(z, z.columns)
     best = None
@@ -359,12 +359,12 @@ def ardl_bounds(df: DataFrame, order: str, outcome: str, regressors: Sequence[st
 
 # --- financial risk -------------------------------------------------------------------------------
 
-def returns_of(df: DataFrame, value: str, order: str, is_returns: bool | None = None, small: int | None = None) -> DataFrame:
+def returns_of(df: DataFrame, value: str, order: str, is_returns: bool | None = None) -> DataFrame:
     """Return series: as given, or log price differences when the column looks like a price
     (all positive, and trending with r >= .30 or lag-one autocorrelation >= .90)."""
     d = complete(df, [value], [order]).withColumnRenamed(value, "v")
     if is_returns is None:
-        b, part = blocks(d, order, halo=1, small=small)
+        b, part = blocks(d, order, halo=1)
         w = Window.partitionBy(*part).orderBy("__i")
         t = b.withColumn("l", F.lag("v").over(w)).where("__own")
         s = fetch(t, lo=F.min("v"), c=F.covar_pop("v", F.col("__i").cast("double")), v=F.var_pop("v"), vi=F.var_pop(F.col("__i").cast("double")),
@@ -373,15 +373,15 @@ def returns_of(df: DataFrame, value: str, order: str, is_returns: bool | None =
         ac = s["cl"] / math.sqrt(s["v"] * s["vl"]) if s["v"] and s["vl"] else 0.0
         is_returns = not (s["lo"] > 0 and (r >= 0.30 or ac >= 0.90))
     if is_returns:
-        return positions(d, order, (), small=small).select(F.col("__i").alias("i"), F.col("v").alias("r"))
-    b, part = blocks(d, order, halo=1, small=small)
+        return positions(d, order, ()).select(F.col("__i").alias("i"), F.col("v").alias("r"))
+    b, part = blocks(d, order, halo=1)
     w = Window.partitionBy(*part).orderBy("__i")
     return b.select(F.col("__i").alias("i"), "__own", (F.log("v") - F.log(F.lag("v").over(w))).alias("r")).where("__own").drop("__own").dropna()
 
 
-def value_at_risk(df: DataFrame, value: str, order: str, is_returns: bool | None = None, alphas: Sequence[float] = (0.95, 0.99), small: int | None = None) -> DataFrame:
+def value_at_risk(df: DataFrame, value: str, order: str, is_returns: bool | None = None, alphas: Sequence[float] = (0.95, 0.99)) -> DataFrame:
     """Historical, Gaussian and Cornish-Fisher VaR with expected shortfall of losses."""
-    d = returns_of(df, value, order, is_returns, small).select((-F.col("r")).alias("l"))
+    d = returns_of(df, value, order, is_returns).select((-F.col("r")).alias("l"))
     s = fetch(d, n=F.count(F.lit(1)), m=F.avg("l"), sd=F.stddev_samp("l"))
     n, m, sd = s["n"], s["m"], s["sd"]
     refuse(n < 30 or not sd, "thirty returns that vary are needed")
@@ -391,7 +391,7 @@ def value_at_risk(df: DataFrame, value: str, order: str, is_returns: bool | None
     sk = math.sqrt(n * (n - 1)) / (n - 2) * g1
     ku = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6)
     rows = []
-    for a, hv in zip(alphas, quantiles(d, "l", alphas, small)):
+    for a, hv in zip(alphas, quantiles(d, "l", alphas)):
         z = dist.norm_ppf(a)
         zc = z + (z * z - 1) * sk / 6 + (z ** 3 - 3 * z) * ku / 24 - (2 * z ** 3 - 5 * z) * sk * sk / 36
         cf = m + sd * zc
@@ -400,10 +400,10 @@ def value_at_risk(df: DataFrame, value: str, order: str, is_returns: bool | None
     return rows_frame(df.sparkSession, "alpha double, n bigint, var_historical double, es_historical double, var_gaussian double, es_gaussian double, var_cornish_fisher double, es_cornish_fisher double, skewness double, excess_kurtosis double", rows)
 
 
-def extreme_value(df: DataFrame, value: str, order: str, is_returns: bool | None = None, quantile: float = 0.95, alphas: Sequence[float] = (0.95, 0.99, 0.999), small: int | None = None) -> DataFrame:
+def extreme_value(df: DataFrame, value: str, order: str, is_returns: bool | None = None, quantile: float = 0.95, alphas: Sequence[float] = (0.95, 0.99, 0.999)) -> DataFrame:
     """Peaks over threshold: generalised Pareto by maximum likelihood on the exceedances, and tail VaR."""
-    d = returns_of(df, value, order, is_returns, small).select((-F.col("r")).alias("l"))
-    u = quantiles(d, "l", [quantile], small)[0]
+    d = returns_of(df, value, order, is_returns).select((-F.col("r")).alias("l"))
+    u = quantiles(d, "l", [quantile])[0]
     n = d.count()
     e = d.where(F.col("l") > F.lit(u)).select((F.col("l") - F.lit(u)).alias("x"))
     s = fetch(e, n=F.count(F.lit(1)), m=F.avg("x"))
@@ -426,17 +426,17 @@ def extreme_value(df: DataFrame, value: str, order: str, is_returns: bool | None
     return rows_frame(df.sparkSession, "alpha double, threshold double, exceedances bigint, shape double, scale double, var double, es double, loglik double", rows)
 
 
-def risk_adjusted_return(df: DataFrame, value: str, order: str, is_returns: bool | None = True, periods_per_year: int = 252, rf: float = 0.0, small: int | None = None) -> DataFrame:
+def risk_adjusted_return(df: DataFrame, value: str, order: str, is_returns: bool | None = True, periods_per_year: int = 252, rf: float = 0.0) -> DataFrame:
     """Annualised mean and volatility, Sharpe, Sortino, maximum drawdown and Calmar.
 
     Wealth is a running sum of log growth; the drawdown compares it with its running maximum, both by range offsets.
     """
     from ..plans.order import cumulate
-    d = returns_of(df, value, order, is_returns, small)
+    d = returns_of(df, value, order, is_returns)
     a = fetch(d, n=F.count(F.lit(1)), m=F.avg("r"), sd=F.stddev_samp("r"), dn=F.avg(F.least(F.col("r") - rf, F.lit(0.0)) ** 2))
     refuse(a["n"] < 20 or not a["sd"], "twenty returns that vary are needed")
-    c = cumulate(d.withColumn("g", F.log1p("r")), "i", ["g"], small=small).select("i", (F.col("g_before") + F.col("g")).alias("lw"))
-    c = cumulate(c, "i", [], small=small, extremes=["lw"])
+    c = cumulate(d.withColumn("g", F.log1p("r")), "i", ["g"]).select("i", (F.col("g_before") + F.col("g")).alias("lw"))
+    c = cumulate(c, "i", [], extremes=["lw"])
     mdd = fetch(c, d=F.min(F.exp(F.col("lw") - F.greatest("lw", "lw_maxbefore")) - 1))["d"]
     ann, vol = a["m"] * periods_per_year, a["sd"] * math.sqrt(periods_per_year)
     root = math.sqrt(periods_per_year)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterable, Sequence
 
 import numpy as np
@@ -123,18 +124,6 @@ def one_row(spark: SparkSession, **values) -> DataFrame:
     return spark.createDataFrame([tuple(row)], ", ".join(kinds))
 
 
-def source_bytes(df: DataFrame) -> int | None:
-    """Bytes of the files and tables below a plan, from the catalog (no job); None if unknown."""
-    try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        total = 0
-        for i in range(leaves.size()):
-            total += int(str(leaves.apply(i).stats().sizeInBytes()))
-        return total
-    except Exception:
-        return None
-
-
 def sum_exprs(pairs: Iterable[tuple[str, Column]]) -> list[Column]:
     return [F.sum(c).alias(a) for a, c in pairs]
 
@@ -145,9 +134,11 @@ def fetch(df: DataFrame, **exprs: Column) -> Row:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the session names for checkpoints; one of our own only where none is set (tests)."""
+    """The folder the session names for checkpoints; one of our own only where none is set and all runs on one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named is None:
+        master = spark.sparkContext.master
+        refuse(not re.fullmatch(r"local(\[[^]]*\])?", master), "set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
         named = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(named)

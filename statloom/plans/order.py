@@ -3,7 +3,6 @@
 A window with no (or a very frequent) partition key puts a whole table in one task. Here the ordered
 values are first collapsed to distinct values, cut into ranges at approximate quantiles, summed
 inside each range in parallel, and the range totals (a few hundred rows) give every range its offset.
-When the files below the plan are small in the catalog, the plain window is used instead.
 """
 
 from __future__ import annotations
@@ -12,16 +11,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .frames import collect_bounded, num, source_bytes
+from .frames import collect_bounded, cut_lineage, num
 
-SMALL_BYTES = 32 << 20     # below this a single-task window is safe
-RANGES = 256               # ranges per key beyond it
-
-
-def is_small(df: DataFrame, small: int | None = None) -> bool:
-    limit = SMALL_BYTES if small is None else small
-    size = source_bytes(df)
-    return size is not None and size <= limit
+RANGES = 256               # ranges per key
 
 
 def range_bounds(df: DataFrame, order: str, ranges: int = RANGES) -> list:
@@ -32,7 +24,7 @@ def range_bounds(df: DataFrame, order: str, ranges: int = RANGES) -> list:
 
 
 def range_id(order: str, bounds: Sequence[float]) -> Column:
-    """Number of bounds below the value, by a binary decision tree of comparisons."""
+    """Number of bounds below the value, by a binary decision tree of comparisons; -1 for a null, which sorts first."""
     c = F.col(order).cast("double")
 
     def tree(lo: int, hi: int) -> Column:
@@ -41,11 +33,10 @@ def range_id(order: str, bounds: Sequence[float]) -> Column:
         mid = (lo + hi) // 2
         return F.when(c <= F.lit(float(bounds[mid])), tree(lo, mid)).otherwise(tree(mid + 1, hi))
 
-    return tree(0, len(bounds))
+    return F.when(c.isNull(), F.lit(-1)).otherwise(tree(0, len(bounds)))
 
 
-def cumulate(df: DataFrame, order: str, sums: Sequence[str], keys: Sequence[str] = (),
-             small: int | None = None, ranges: int = RANGES, extremes: Sequence[str] = (),
+def cumulate(df: DataFrame, order: str, sums: Sequence[str], keys: Sequence[str] = (), ranges: int = RANGES, extremes: Sequence[str] = (),
              descending: bool = False) -> DataFrame:
     """Adds `<s>_before`: the sum of `s` over rows of the same key that come strictly earlier.
 
@@ -58,11 +49,6 @@ def cumulate(df: DataFrame, order: str, sums: Sequence[str], keys: Sequence[str]
     def inside(part: Sequence[str]):
         return Window.partitionBy(*part).orderBy(o).rowsBetween(Window.unboundedPreceding, -1)
 
-    if is_small(df, small):
-        w = inside(keys)
-        out = df.select("*", *[F.coalesce(F.sum(s).over(w), F.lit(0)).alias(f"{s}_before") for s in sums],
-                        *[F.max(m).over(w).alias(f"{m}_maxbefore") for m in extremes])
-        return out
     b = "__range"
     parts = df.withColumn(b, range_id(order, range_bounds(df, order, ranges)))
     totals = parts.groupBy(*keys, b).agg(*[F.sum(s).alias(f"__t_{s}") for s in sums],
@@ -80,6 +66,15 @@ def cumulate(df: DataFrame, order: str, sums: Sequence[str], keys: Sequence[str]
         *[F.greatest(F.max(m).over(w), F.col(f"__p_{m}")).alias(f"{m}_maxbefore") for m in extremes])
 
 
+def _same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join by keys, a null key being equal to a null one."""
+    r = right.select(*[F.col(k).alias(f"__j{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__j{i}"))
+    return left.join(r, same).drop(*[f"__j{i}" for i in range(len(keys))])
+
+
 def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], b: str) -> DataFrame:
     r = right.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col(b).alias("__kb"),
                      *[c for c in right.columns if c not in (*keys, b)])
@@ -96,78 +91,58 @@ def value_counts(df: DataFrame, value: str, keys: Sequence[str] = (), **conditio
                  *[F.sum(F.when(c, 1).otherwise(0)).alias(a) for a, c in conditional.items()]))
 
 
-def average_ranks(df: DataFrame, value: str, keys: Sequence[str] = (), small: int | None = None,
+def average_ranks(df: DataFrame, value: str, keys: Sequence[str] = (),
                   **conditional: Column) -> DataFrame:
     """Distinct values with `n`, `n_before` and the tie-averaged rank `avg_rank`."""
     vc = value_counts(df, value, keys, **conditional)
-    return cumulate(vc, value, ["n", *conditional], keys, small).withColumn(
+    return cumulate(vc, value, ["n", *conditional], keys).withColumn(
         "avg_rank", F.col("n_before") + (F.col("n") + 1) / 2)
 
 
-def with_average_rank(df: DataFrame, value: str, out: str, keys: Sequence[str] = (),
-                      small: int | None = None) -> DataFrame:
-    """Every row of the table with the tie-averaged rank of its value."""
-    if is_small(df, small):
-        by = Window.partitionBy(*keys)
-        same = Window.partitionBy(*keys, value)
-        return df.withColumn(out, F.rank().over(by.orderBy(value))
-                             + (F.count(F.lit(1)).over(same) - 1) / 2)
-    ranks = average_ranks(df, value, keys, small).select(
-        *keys, value, F.col("avg_rank").alias(out))
+def with_average_rank(df: DataFrame, value: str, out: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Every row of the table with the tie-averaged rank of its value; a null has none and counts for none."""
+    ranks = average_ranks(df.where(F.col(value).isNotNull()), value, keys).select(
+        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(value).alias("__v"), F.col("avg_rank").alias(out))
     # Salt-free: the rank side is one row per distinct value, so AQE splits a hot value's rows.
-    return df.join(ranks, [*keys, value])
+    same = F.col(value) == F.col("__v")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    return df.join(ranks, same, "left").select(*[c for c in df.columns if c != out], out)
+
 
+def sorted_position(df: DataFrame, value: str, tiebreak: Sequence[str], out: str, descending: bool = False) -> DataFrame:
+    """1-based position of every row in a total order (value, then the tie-break columns, of any types).
 
-def sorted_position(df: DataFrame, value: str, tiebreak: Sequence[str], out: str,
-                    descending: bool = False, small: int | None = None) -> DataFrame:
-    """1-based position of every row in a total order (value, then the tie-break columns)."""
+    Rows are sorted by ranges of the whole order, so a value that many rows share is cut among tasks by its tie-break
+    columns. Nulls come first (last if descending). The sorted table is written, which fixes what the positions refer to.
+    """
     o = [F.col(value).desc() if descending else F.col(value).asc(), *[F.col(t).asc() for t in tiebreak]]
-    if is_small(df, small):
-        return df.withColumn(out, F.row_number().over(Window.orderBy(*o)).cast("bigint"))
-    b = "__range"
-    parts = df.withColumn(b, range_id(value, range_bounds(df, value)))
-    # Equal values share a range; a hot value is cut further by a hash of its tie-break columns'
-    # own ranges, so no task holds more than one slice of it.
-    tb = tiebreak[0]
-    parts = parts.withColumn("__sub", range_id(tb, range_bounds(df, tb, 64)))
-    grp = [b, value, "__sub"]
-    totals = parts.groupBy(*grp).agg(F.count(F.lit(1)).alias("__c"))
-    per_value = totals.groupBy(b, value).agg(F.sum("__c").alias("__v"))
-    before_value = cumulate(per_value.drop(b), value, ["__v"], (), small, descending=descending)
-    wsub = Window.partitionBy(value).orderBy("__sub").rowsBetween(Window.unboundedPreceding, -1)
-    offs = (totals.withColumn("__sb", F.coalesce(F.sum("__c").over(wsub), F.lit(0)))
-            .join(before_value.select(value, "__v_before"), value)
-            .select(value, "__sub", (F.col("__sb") + F.col("__v_before")).alias("__off")))
-    w = Window.partitionBy(value, "__sub").orderBy(*[F.col(t).asc() for t in tiebreak])
-    return (parts.join(offs, [value, "__sub"])
-            .withColumn(out, (F.row_number().over(w) + F.col("__off")).cast("bigint"))
-            .select(*df.columns, out))
-
-
-def quantiles(df: DataFrame, value: str, probs: Sequence[float], small: int | None = None) -> list[float]:
+    at = cut_lineage(df.repartitionByRange(*o).sortWithinPartitions(*o).withColumn("__id", F.monotonically_increasing_id()))
+    part = F.shiftright(F.col("__id"), 33)
+    counts = at.groupBy(part.alias("__p")).agg(F.count(F.lit(1)).alias("__c"))
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)      # one row per task of the sort
+    offsets = counts.select("__p", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__off"))
+    joined = at.withColumn("__p", part).join(offsets, "__p")
+    return joined.select(*[c for c in df.columns if c != out], (F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("__off") + 1).cast("bigint").alias(out))
+
+
+def quantiles(df: DataFrame, value: str, probs: Sequence[float]) -> list[float]:
     """Exact linearly interpolated quantiles of a numeric column as driver values."""
-    got = group_quantiles(df, value, probs, (), small)
+    got = group_quantiles(df, value, probs, ())
     return got.get((), [None] * len(probs))
 
 
-def group_quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Sequence[str] = (),
-                    small: int | None = None) -> dict[tuple, list[float]]:
+def group_quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Sequence[str] = ()) -> dict[tuple, list[float]]:
     """The same per group (key tuple -> quantiles); groups must be few.
 
-    The built-in exact `percentile` keeps every distinct value of a group in one task, so it serves small
-    inputs only; beyond that the order statistics are picked out of distributed cumulative counts.
+    The order statistics are picked out of distributed cumulative counts.
     """
     keys = list(keys)
     d = df.select(*keys, num(value).alias("__v")).where(F.col("__v").isNotNull())
     probs = [float(p) for p in probs]
-    if is_small(df, small):
-        arr = ",".join(repr(p) for p in probs)
-        e = F.expr(f"percentile(__v, array({arr}))").alias("__q")
-        rows = collect_bounded(d.groupBy(*keys).agg(e) if keys else d.agg(e), "groups")
-        return {tuple(r[k] for k in keys): list(r["__q"]) for r in rows if r["__q"] is not None}
     size = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("__total"))
-    c = cumulate(value_counts(d, "__v", keys), "__v", ["n"], keys, small)
-    t = c.join(size, keys) if keys else c.crossJoin(F.broadcast(size))
+    c = cumulate(value_counts(d, "__v", keys), "__v", ["n"], keys)
+    t = _same_keys(c, size, keys) if keys else c.crossJoin(F.broadcast(size))      # one row
     hits = []
     for i, p in enumerate(probs):
         h = F.lit(p) * (F.col("__total") - 1)
@@ -189,15 +164,14 @@ def group_quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Seq
     return out
 
 
-def dense_rank(points: DataFrame, x: str, out: str, keys: Sequence[str] = (), small: int | None = None) -> DataFrame:
+def dense_rank(points: DataFrame, x: str, out: str, keys: Sequence[str] = ()) -> DataFrame:
     """Every row with the number of distinct smaller values of `x` in its key."""
     keys = list(keys)
-    one = cumulate(points.select(*keys, x).distinct().withColumn("one", F.lit(1).cast("bigint")), x, ["one"], keys, small)
-    return points.join(one.select(*keys, x, F.col("one_before").alias(out)), [*keys, x])
+    one = cumulate(points.select(*keys, x).distinct().withColumn("one", F.lit(1).cast("bigint")), x, ["one"], keys)
+    return _same_keys(points, one.select(*keys, x, F.col("one_before").alias(out)), [*keys, x])
 
 
-def concordance(points: DataFrame, ranked: str, along: str, weight: str, keys: Sequence[str] = (),
-                small: int | None = None, bits: int | None = None) -> DataFrame:
+def concordance(points: DataFrame, ranked: str, along: str, weight: str, keys: Sequence[str] = (), bits: int | None = None) -> DataFrame:
     """Concordant and discordant pairs of (ranked, along), exactly and without forming pairs.
 
     `points` holds distinct pairs of values with a count; `ranked` is ranked densely (or is such a rank
@@ -207,7 +181,7 @@ def concordance(points: DataFrame, ranked: str, along: str, weight: str, keys: S
     """
     keys = list(keys)
     if bits is None:
-        points = dense_rank(points, ranked, "__rk", keys, small)
+        points = dense_rank(points, ranked, "__rk", keys)
         bits = rank_bits(points, "__rk")
     else:
         points = points.withColumn("__rk", F.col(ranked))
@@ -218,7 +192,7 @@ def concordance(points: DataFrame, ranked: str, along: str, weight: str, keys: S
     cell = ex.groupBy(*keys, "__bit", "__blk", "__al").agg(
         F.sum(F.when(F.col("side") == 0, F.col("__wt")).otherwise(0)).alias("lo"),
         F.sum(F.when(F.col("side") == 1, F.col("__wt")).otherwise(0)).alias("hi"))
-    run = cumulate(cell, "__al", ["lo", "hi"], [*keys, "__bit", "__blk"], small)
+    run = cumulate(cell, "__al", ["lo", "hi"], [*keys, "__bit", "__blk"])
     return run.groupBy(*keys).agg(
         F.coalesce(F.sum(F.col("hi") * F.col("lo_before")), F.lit(0)).cast("double").alias("concordant"),
         F.coalesce(F.sum(F.col("lo") * F.col("hi_before")), F.lit(0)).cast("double").alias("discordant"))

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from .order import cumulate, is_small
+from .order import cumulate
 
 BLOCK = 100_000
 
@@ -23,25 +23,21 @@ def numeric_time(df: DataFrame, order: str) -> Column:
     return F.col(order)
 
 
-def positions(df: DataFrame, order: str, keys: Sequence[str] = (), out: str = "__i", small: int | None = None) -> DataFrame:
+def positions(df: DataFrame, order: str, keys: Sequence[str] = (), out: str = "__i") -> DataFrame:
     """0-based position inside the key; `order` must be unique within a key."""
-    if is_small(df, small):
-        return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(order)).cast("bigint") - 1)
     d = df.withColumn("__ord", numeric_time(df, order)).withColumn("__one", F.lit(1).cast("bigint"))
-    c = cumulate(d, "__ord", ["__one"], keys, small)
+    c = cumulate(d, "__ord", ["__one"], keys)
     return c.withColumnRenamed("__one_before", out).drop("__one", "__ord")
 
 
-def blocks(df: DataFrame, order: str, keys: Sequence[str] = (), halo: int = 1, small: int | None = None,
+def blocks(df: DataFrame, order: str, keys: Sequence[str] = (), halo: int = 1,
            size: int = BLOCK) -> tuple[DataFrame, list[str]]:
     """Rows with position `__i` cut into blocks `__blk`; the last `halo` rows of a block are repeated in
     the next one with `__own` false, so look-back windows of up to `halo` rows are right inside a block.
 
     Returns the table and the window partition columns.
     """
-    p = positions(df, order, keys, small=small)
-    if is_small(df, small):
-        return p.withColumn("__own", F.lit(True)), list(keys)
+    p = positions(df, order, keys)
     b = F.floor(F.col("__i") / size)
     spill = F.col("__i") % size >= size - halo
     p = p.withColumn("__s", F.explode(F.when(spill, F.array(F.struct(b.alias("b"), F.lit(True).alias("own")),

@@ -2,40 +2,62 @@
 
 import math
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from conftest import rows
-from statloom.operators import causal, describe, groups, ranking, survival, tables
+from statloom.operators import groups, ranking
 from statloom.plans import order, series
 
 
 def test_cumulate_and_extremes(tab):
     d = tab("lineitem").groupBy("l_returnflag", "l_extendedprice").agg(F.count(F.lit(1)).alias("n"), F.max("l_quantity").alias("m"))
     for desc in (False, True):
-        a = order.cumulate(d, "l_extendedprice", ["n"], ["l_returnflag"], extremes=["m"], descending=desc)
-        b = order.cumulate(d, "l_extendedprice", ["n"], ["l_returnflag"], small=0, ranges=7, extremes=["m"], descending=desc)
+        w = Window.partitionBy("l_returnflag").orderBy(F.desc("l_extendedprice") if desc else F.asc("l_extendedprice")).rowsBetween(Window.unboundedPreceding, -1)
+        a = d.select("*", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("n_before"), F.max("m").over(w).alias("m_maxbefore"))
+        b = order.cumulate(d, "l_extendedprice", ["n"], ["l_returnflag"], ranges=7, extremes=["m"], descending=desc)
         assert rows(a) == rows(b.select(*a.columns))
 
 
 def test_ranks_positions_quantiles(tab):
     d = tab("orders").select(F.floor(F.col("o_totalprice") / 10000).cast("double").alias("l_quantity"), F.col("o_orderstatus").alias("l_returnflag"), F.col("o_orderkey").alias("id"))
-    assert rows(order.with_average_rank(d, "l_quantity", "r")) == rows(order.with_average_rank(d, "l_quantity", "r", small=0).select(*d.columns, "r"))
-    a = order.sorted_position(d, "l_quantity", ["id"], "p")
-    b = order.sorted_position(d, "l_quantity", ["id"], "p", small=0)
-    assert rows(a) == rows(b.select(*a.columns))
-    a = order.sorted_position(d, "l_quantity", ["id"], "p", descending=True)
-    b = order.sorted_position(d, "l_quantity", ["id"], "p", descending=True, small=0)
-    assert rows(a) == rows(b.select(*a.columns))
+    same = Window.partitionBy("l_quantity")
+    a = d.withColumn("r", F.rank().over(Window.orderBy("l_quantity")) + (F.count(F.lit(1)).over(same) - 1) / 2)
+    assert rows(a) == rows(order.with_average_rank(d, "l_quantity", "r").select(*a.columns))
+    for desc in (False, True):
+        a = d.withColumn("p", F.row_number().over(Window.orderBy(F.desc("l_quantity") if desc else F.asc("l_quantity"), "id")))
+        assert rows(a) == rows(order.sorted_position(d, "l_quantity", ["id"], "p", descending=desc).select(*a.columns))
     p = [0.0, 0.1, 0.33, 0.5, 0.999, 1.0]
     for keys in ((), ("l_returnflag",)):
-        x, y = order.group_quantiles(d, "l_quantity", p, keys), order.group_quantiles(d, "l_quantity", p, keys, small=0)
-        assert x.keys() == y.keys() and all(math.isclose(u, v) for k in x for u, v in zip(x[k], y[k]))
+        got = order.group_quantiles(d, "l_quantity", p, keys)
+        want = d.groupBy(*keys).agg(F.expr(f"percentile(l_quantity, array({','.join(map(str, p))}))").alias("q")).collect()
+        want = {tuple(r[k] for k in keys): r["q"] for r in want}
+        assert got.keys() == want.keys() and all(math.isclose(u, v) for k in got for u, v in zip(got[k], want[k]))
+
+
+def test_nulls_and_text_ids(spark):
+    """Null keys, null values and text ids: no row is lost, nulls have no rank and come first in the order."""
+    data = [(None if i % 10 == 0 else float(i % 7), None if i % 4 == 0 else "ab"[i % 2], f"c{i}") for i in range(100)]
+    d = spark.createDataFrame(data, "v double, k string, id string")
+    r = order.with_average_rank(d, "v", "r", ["k"])
+    w, same = Window.partitionBy("k").orderBy("v"), Window.partitionBy("k", "v")
+    want = d.where("v is not null").withColumn("r", F.rank().over(w) + (F.count(F.lit(1)).over(same) - 1) / 2)
+    assert r.count() == 100 and r.where("v is null and r is null").count() == 10
+    assert rows(r.where("v is not null").select("id", "r")) == rows(want.select("id", "r"))
+    for desc in (False, True):
+        got = order.sorted_position(d, "v", ["id"], "p", descending=desc)
+        want = d.withColumn("p", F.row_number().over(Window.orderBy(F.desc("v") if desc else F.asc("v"), "id")))
+        assert rows(got.select("id", "p")) == rows(want.select("id", "p"))
+    q = order.group_quantiles(d, "v", [0.5], ["k"])
+    assert set(q) == {("a",), ("b",), (None,)}
+    assert ranking.min_rank(d, "v").count() == 100
+    mac = ranking.marginal_abatement_cost(d.where("v > 0").withColumn("a", F.lit(2.0)), "id", "v", "a")
+    assert mac.count() == d.where("v > 0").count()
 
 
 def test_hot_value_positions(spark):
     """A third of all rows share one value; positions stay a permutation of 1..n."""
     d = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 5.0).otherwise(F.col("id").cast("double")).alias("v"), F.col("id"))
-    got = sorted(r["p"] for r in order.sorted_position(d, "v", ["id"], "p", small=0).collect())
+    got = sorted(r["p"] for r in order.sorted_position(d, "v", ["id"], "p").collect())
     assert got == list(range(1, 3001))
 
 
@@ -44,9 +66,8 @@ def test_concordance_brute_force(spark):
     d = spark.createDataFrame(pts, "x double, y double").groupBy("x", "y").agg(F.count(F.lit(1)).alias("w"))
     c = sum(1 for i in range(60) for j in range(i) if (pts[i][0] - pts[j][0]) * (pts[i][1] - pts[j][1]) > 0)
     k = sum(1 for i in range(60) for j in range(i) if (pts[i][0] - pts[j][0]) * (pts[i][1] - pts[j][1]) < 0)
-    for small in (None, 0):
-        r = order.concordance(d, "x", "y", "w", small=small).collect()[0]
-        assert (r["concordant"], r["discordant"]) == (c, k)
+    r = order.concordance(d, "x", "y", "w").collect()[0]
+    assert (r["concordant"], r["discordant"]) == (c, k)
 
 
 def test_theil_sen_brute_force(spark):
@@ -59,27 +80,14 @@ def test_theil_sen_brute_force(spark):
 
 
 def test_blocks_with_halo(spark):
-    from pyspark.sql import Window
     d = spark.range(500).select(F.col("id").alias("t"), (F.col("id") * 37 % 101).cast("double").alias("v"))
-    b, part = series.blocks(d, "t", halo=3, small=0, size=50)
+    b, part = series.blocks(d, "t", halo=3, size=50)
     w = Window.partitionBy(*part).orderBy("__i")
     got = b.withColumn("l", F.lag("v", 3).over(w)).where("__own").select("t", "l")
     want = d.select("t", F.lag("v", 3).over(Window.orderBy("t")).alias("l"))
     assert rows(got) == rows(want)
 
 
-def test_operators_agree_on_both_paths(tab):
-    o = tab("orders")
-    assert rows(ranking.rfm_segmentation(o, "o_custkey", "o_orderdate", "o_totalprice")) == rows(
-        ranking.rfm_segmentation(o, "o_custkey", "o_orderdate", "o_totalprice", small=0).select("o_custkey", "recency_days", "frequency", "monetary", "r_score", "f_score", "m_score", "segment"))
-    s = tab("fx_surv").withColumn("ev", (F.col("status") > 0).cast("int"))
-    assert rows(survival.rmst(s, "duration", "ev", "grp")) == rows(survival.rmst(s, "duration", "ev", "grp", small=0))
-    assert rows(survival.kaplan_meier(s, "duration", "ev", "grp")) == rows(survival.kaplan_meier(s, "duration", "ev", "grp", small=0))
-    assert rows(tables.nca(tab("lineitem"), "l_extendedprice", ["l_quantity"])) == rows(tables.nca(tab("lineitem"), "l_extendedprice", ["l_quantity"], small=0))
-    assert rows(ranking.control_chart(tab("events"), "value", "event_id")) == rows(ranking.control_chart(tab("events"), "value", "event_id", small=0))
-    assert rows(describe.tail_index(tab("lineitem"), "l_extendedprice")) == rows(describe.tail_index(tab("lineitem"), "l_extendedprice", small=0))
-
-
 def test_repartition_invariance(tab):
     d = tab("orders")
     a = groups.bootstrap_ci(d.repartition(1), "o_totalprice", "o_orderkey", n_boot=100).collect()[0]
