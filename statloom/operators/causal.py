@@ -16,7 +16,7 @@ from ..plans.order import average_ranks, cumulate, quantiles, with_average_rank
 from ..plans.resample import replicate_grams
 from ..plans.series import positions
 from .glm import linear, logit_fit
-from .linear import coef_rows, within_fit
+from .linear import is_balanced, coef_rows, within_fit
 
 
 def _treated(df, treatment, outcome, covariates, *other):
@@ -315,8 +315,7 @@ def callaway_aggregate(att: DataFrame) -> DataFrame:
 def goodman_bacon(df: DataFrame, unit: str, time: str, outcome: str, gname: str) -> DataFrame:
     """Two-by-two comparisons of cohorts with their weights, from cohort-period means of a balanced panel."""
     d = complete(df, [time, outcome, gname], [unit])
-    s = fetch(d.groupBy(unit).count(), lo=F.min("count"), hi=F.max("count"))
-    refuse(s["lo"] != s["hi"], "the panel must be balanced")
+    refuse(not is_balanced(d, unit, time), "the panel must be balanced")
     rows = collect_bounded(d.groupBy(F.col(gname).alias("g"), F.col(time).alias("t")).agg(F.avg(outcome).alias("y"), F.count(F.lit(1)).alias("n")), "cohort periods")
     ts = sorted({r["t"] for r in rows})
     y = {(r["g"], r["t"]): r["y"] for r in rows}

@@ -232,12 +232,15 @@ def correspondence_analysis(df: DataFrame, column_a: str, column_b: str) -> Data
 # --- supervised -----------------------------------------------------------------------------------
 
 def _split(df, outcome, xs, id_col, pct=25, seed=0):
-    """Label, features and a hash-based holdout flag; text and two-level outcomes become class indices."""
+    """Label, features and a hash-based holdout flag, and the number of classes (0 for a number).
+
+    Text and two-level outcomes become class indices."""
     lv = df.select(outcome).dropna().distinct().limit(21).count()
     text = df.schema[outcome].dataType.simpleString() == "string"
-    cls = text or lv <= 2
+    cls = 2 if text or lv <= 2 else 0
     if cls:
-        levels = levels_of(df, outcome, 20)
+        levels = levels_of(df, outcome)
+        cls = max(2, len(levels))
         y = F.create_map(*[x for i, v in enumerate(levels) for x in (F.lit(v), F.lit(float(i)))])[F.col(outcome)]
     else:
         y = num(outcome)
@@ -270,9 +273,11 @@ def _estimator(kind, cls, seed=0, trees=50, depth=5):
     if kind == "forest":
         return (C.RandomForestClassifier if cls else R.RandomForestRegressor)(numTrees=trees, maxDepth=depth, seed=seed)
     if kind == "gbt":
-        return (C.GBTClassifier if cls else R.GBTRegressor)(maxIter=20, maxDepth=3, stepSize=0.1, seed=seed)
+        one = (C.GBTClassifier if cls else R.GBTRegressor)(maxIter=20, maxDepth=3, stepSize=0.1, seed=seed)
+        return C.OneVsRest(classifier=one) if cls > 2 else one
     if kind == "svm":
-        return C.LinearSVC(maxIter=50, regParam=0.01, standardization=True)
+        one = C.LinearSVC(maxIter=50, regParam=0.01, standardization=True)
+        return C.OneVsRest(classifier=one) if cls > 2 else one
     return C.NaiveBayes(modelType="gaussian")
 
 
@@ -285,7 +290,8 @@ def _supervised(df, outcome, predictors, id_col, kind, permute=False, seed=0):
         m = _estimator(kind, cls, seed).fit(d.where(~F.col("holdout")))
         te = d.where(F.col("holdout"))
         s = _score(m.transform(te), cls)
-        imp = list(m.featureImportances.toArray()) if hasattr(m, "featureImportances") else [None] * len(xs)
+        each = [x.featureImportances.toArray() for x in getattr(m, "models", [m]) if hasattr(x, "featureImportances")]
+        imp = [float(v) for v in np.mean(each, axis=0)] if each else [None] * len(xs)
         per = [None] * len(xs)
         if permute:
             main = "accuracy" if cls else "r2"

@@ -44,13 +44,19 @@ def ols_regression(df: DataFrame, outcome: str, predictors: Sequence[str], clust
                       [(*r, int(f.n), f.r2, 1 - (1 - f.r2) * (f.n - 1) / f.df, fs) for r in coef_rows(f.terms, f.beta, v, f.df)])
 
 
-def demean(d: DataFrame, cols: Sequence[str], unit: str, time: str | None, most: int = 200, tol: float = 1e-10) -> DataFrame:
+def is_balanced(d: DataFrame, unit: str, time: str) -> bool:
+    """One row for every unit in every period."""
+    cells = fetch(d.groupBy(unit, time).count(), n=F.count(F.lit(1)), most=F.max("count"))
+    units, times = d.select(unit).distinct().count(), d.select(time).distinct().count()
+    return cells["most"] == 1 and cells["n"] == units * times
+
+
+def demean(d: DataFrame, cols: Sequence[str], unit: str, time: str | None, most: int = 500, tol: float = 1e-13) -> DataFrame:
     """Within transformation: exact in one step for balanced panels, alternating projections otherwise."""
     from ..plans.frames import cut_lineage
     t = d
     us = [unit] + ([time] if time else [])
-    sizes = fetch(t.groupBy(unit).count(), lo=F.min("count"), hi=F.max("count"), n=F.count(F.lit(1)))
-    if not time or (sizes["lo"] == sizes["hi"] == t.select(time).distinct().count()):
+    if not time or is_balanced(t, unit, time):
         m = t.groupBy(unit).agg(*[F.avg(c).alias(f"__u_{c}") for c in cols])
         t = t.join(m, unit)
         if time:
@@ -59,15 +65,16 @@ def demean(d: DataFrame, cols: Sequence[str], unit: str, time: str | None, most:
             t = t.join(m2, time).crossJoin(F.broadcast(g))
         return t.select(*[c for c in d.columns if c not in cols], *[
             (F.col(c) - F.col(f"__u_{c}") - (F.col(f"__t_{c}") - F.col(f"__g_{c}") if time else F.lit(0.0))).alias(c) for c in cols])
-    for i in range(most):
+    size = fetch(t, **{c: F.max(F.abs(c)) for c in cols})
+    for _ in range(most):
         for u in us:
             m = t.groupBy(u).agg(*[F.avg(c).alias(f"__m_{c}") for c in cols])
             t = t.join(m, u).select(*[c for c in d.columns if c not in cols], *[(F.col(c) - F.col(f"__m_{c}")).alias(c) for c in cols])
         t = cut_lineage(t)
         err = fetch(t.groupBy(unit).agg(*[F.avg(c).alias(c) for c in cols]), **{c: F.max(F.abs(c)) for c in cols})
-        if max(err) < tol:
-            break
-    return t
+        if all(e is None or e <= tol * s for e, s in zip(err, size)):
+            return t
+    refuse(True, f"the two-way means had not settled after {most} rounds")
 
 
 def within_fit(d: DataFrame, y: str, xs: Sequence[str], unit: str, time: str | None) -> tuple[Fit, np.ndarray, float]:

@@ -469,7 +469,7 @@ def emergy_analysis(df: DataFrame, transformities: Mapping[str, float], categori
     """Emergy by category (renewable, non-renewable, purchased) and the EYR, ELR and ESI ratios."""
     need(df, *transformities, output)
     refuse(not transformities, "no input flow has a transformity")
-    cat = lambda c: categories.get(c, "F").upper() if categories.get(c, "F").upper() in "RNF" else "F"
+    cat = lambda c: k if (k := categories.get(c, "F").upper()) in ("R", "N", "F") else "F"
     s = {k: sum([F.coalesce(F.sum(num(c)), F.lit(0.0)) * F.lit(float(t)) for c, t in transformities.items() if cat(c) == k], F.lit(0.0)) for k in "RNF"}
     t = df.agg(s["R"].alias("r"), s["N"].alias("n"), s["F"].alias("f"), (F.sum(num(output)) if output else F.lit(None).cast("double")).alias("out"))
     t = t.withColumn("u", F.col("r") + F.col("n") + F.col("f"))

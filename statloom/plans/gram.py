@@ -87,8 +87,12 @@ def weighted_gram(df: DataFrame, names: Sequence[str], weight: Column, by: Seque
     w = weight.cast("double")
     pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
     aggs = [F.sum(w).alias("__n"), F.count(F.lit(1)).alias("__rows")]
-    aggs += [F.sum(w * F.col(c)).alias(f"__s{i}") for i, c in enumerate(names)]
-    aggs += [F.sum(w * F.col(names[i]) * F.col(names[j])).alias(f"__q{i}_{j}") for i, j in pairs]
+    # Sums are taken around the overall means, so that large means leave the digits of the cross products alone.
+    at = df.agg(*[F.avg(c).alias(f"__m{i}") for i, c in enumerate(names)]).collect()[0]
+    at = [float(at[f"__m{i}"] or 0.0) for i in range(len(names))]
+    off = [F.col(c) - F.lit(m) for c, m in zip(names, at)]
+    aggs += [F.sum(w * x).alias(f"__s{i}") for i, x in enumerate(off)]
+    aggs += [F.sum(w * off[i] * off[j]).alias(f"__q{i}_{j}") for i, j in pairs]
     out = {}
     got = df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
     for r in collect_bounded(got, "weight groups"):
@@ -100,7 +104,7 @@ def weighted_gram(df: DataFrame, names: Sequence[str], weight: Column, by: Seque
         cross = np.zeros((p, p))
         for i, j in pairs:
             cross[i, j] = cross[j, i] = r[f"__q{i}_{j}"] - n * mean[i] * mean[j]
-        g = Gram(list(names), n, mean, cross)
+        g = Gram(list(names), n, mean + np.array(at), cross)
         g.rows = r["__rows"]
         out[tuple(r[b] for b in by)] = g
     return out

@@ -12,7 +12,7 @@ from .plans.order import group_quantiles, quantiles
 
 # Column-name words.
 GEO = {"lat", "lon", "lng", "latitude", "longitude", "long", "纬度", "经度"}
-CLASS_WORDS = {"class", "label", "category", "type", "group", "target", "species", "grade", "类别", "类型", "分类", "组别"}
+CLASS_WORDS = {"class", "label", "category", "target", "species", "cluster", "segment", "variety", "genre", "类别", "类型", "分类", "组别"}
 TIME_WORDS = {"year", "date", "time", "month", "day", "week", "quarter", "period", "ts", "timestamp", "年份", "年", "日期", "时间", "月份"}
 OUTCOME_WORDS = {"y", "outcome", "target", "response", "yield", "churn", "sales", "price", "income", "disease", "label", "产量", "结果", "销售额"}
 TREATMENT_WORDS = {"treat", "treated", "treatment", "exposed", "exposure", "intervention", "policy", "arm", "smoking", "处理", "干预"}
@@ -138,7 +138,7 @@ def detect_roles(df: DataFrame) -> DataFrame:
         elif r["kind"] == "datetime" or toks & TIME_WORDS:
             rows.append((r["column"], "time", "high" if r["kind"] == "datetime" else "medium"))
     if not any(x[1] == "outcome" for x in rows):
-        nums = [r["column"] for r in prof if r["kind"] in ("continuous", "count") and r["column"] not in {x[0] for x in rows}][:12]
+        nums = [r["column"] for r in prof if r["kind"] in ("continuous", "count") and r["column"] not in {x[0] for x in rows}]
         if len(nums) >= 3 and prof[0]["n_rows"] >= 20:
             d = df.select(*[num(c).alias(c) for c in nums]).dropna()
             g = gram(d, nums)
@@ -172,7 +172,7 @@ def quality_issues(df: DataFrame) -> DataFrame:
             rows.append(("constant", "medium", c, n))
         if c in texts and u and u > max(50, n / 2):
             rows.append(("high_cardinality", "low", c, u))
-    few = [r["column"] for r in prof if r["column"] in texts and r["n_unique"] and 6 <= r["n_unique"] <= max(50, n / 2)]
+    few = [r["column"] for r in prof if r["column"] in texts and r["n_unique"] and r["n_unique"] >= 6]
     if few:
         cut = max(2, round(0.01 * n))
         long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("v")) for c in few])).alias("s")).select("s.*").dropna()
@@ -224,15 +224,18 @@ def apply_plan(df: DataFrame, plan: Sequence[tuple[str, str | None]]) -> tuple[D
         elif step == "drop_column":
             d, note = d.drop(c), "column removed"
         elif step == "impute_median":
-            m = quantiles(df, c, [0.5])[0]
+            m = quantiles(d, c, [0.5])[0]
             d, note = d.withColumn(c, F.coalesce(num(c), F.lit(m))), f"median {m}"
         elif step == "impute_mode":
-            r = df.where(F.col(c).isNotNull()).groupBy(c).count().agg(F.min(F.struct((-F.col("count")).alias("k"), F.col(c).alias("v"))).alias("s")).collect()[0]["s"]
+            r = d.where(F.col(c).isNotNull()).groupBy(c).count().agg(F.min(F.struct((-F.col("count")).alias("k"), F.col(c).alias("v"))).alias("s")).collect()[0]["s"]
             d, note = d.withColumn(c, F.coalesce(F.col(c), F.lit(r["v"]).cast(df.schema[c].dataType))), f"mode {r['v']}"
         elif step == "collapse_rare":
-            n = df.count()
-            cut = max(2, round(0.01 * n))
-            keep = df.groupBy(c).count().where(F.col("count") >= cut).select(F.col(c).alias("__k"))
+            cut = max(2, round(0.01 * d.count()))
+            levels = d.where(F.col(c).isNotNull()).groupBy(c).count()
+            if levels.where(F.col("count") < cut).count() < 2:
+                log.append((step, c, "fewer than two rare levels"))
+                continue
+            keep = levels.where(F.col("count") >= cut).select(F.col(c).alias("__k"))
             d = d.join(keep, F.col(c) == F.col("__k"), "left").withColumn(c, F.when(F.col(c).isNull(), None).when(F.col("__k").isNull(), "Other").otherwise(F.col(c))).drop("__k")
             note = f"levels below {cut} rows became Other"
         log.append((step, c, note))

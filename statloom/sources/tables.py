@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..plans.frames import rows_frame, text_columns
@@ -11,13 +12,14 @@ from ..plans.frames import rows_frame, text_columns
 # Encodings tried in order, delimiters, and the tokens that mean missing inside numeric columns.
 ENCODINGS = ("utf-8", "gb18030", "latin-1")
 DELIMITERS = (",", ";", "\t", "|")
-MISSING = ("", "-", "--", "?", ".", "na", "n/a", "n/d", "nan", "null", "none", "missing", "无", "缺失")
+MISSING = ("", "-", "--", "---", "–", "—", "?", "??", ".", "na", "n/a", "n/d", "nan", "null", "none", "missing", "unknown", "tbd", "无", "缺失")
 
 
 def _head(spark: SparkSession, path: str, size: int = 65_536) -> bytes:
     """First bytes of one file below a path; Spark reads the file listing, the driver sees only the head."""
-    row = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.expr(f"substring(content, 1, {size})").alias("h")).limit(1).collect()
-    return bytes(row[0]["h"]) if row else b""
+    # As Latin-1 every byte is one character, so the lines give back the bytes whatever their encoding is.
+    rows = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").option("encoding", "ISO-8859-1").option("header", False).option("sep", "\u0001").option("quote", "").schema("value string").csv(path).limit(200).collect()
+    return "\n".join(r["value"] or "" for r in rows).encode("latin-1", "replace")[:size]
 
 
 def sniff(spark: SparkSession, path: str) -> tuple[str, str]:
@@ -36,16 +38,29 @@ def sniff(spark: SparkSession, path: str) -> tuple[str, str]:
 
 
 def read_delimited(spark: SparkSession, path: str) -> DataFrame:
-    """Header file as strings, byte-order mark removed from the first name."""
+    """Header file as strings, byte-order mark removed from the first name.
+
+    Spark's reader knows UTF-8 and Latin-1; a file in another encoding is read byte by byte and decoded cell by cell.
+    """
     enc, sep = sniff(spark, path)
-    df = spark.read.option("header", True).option("sep", sep).option("encoding", enc).option("multiLine", False).csv(path)
-    return df.toDF(*[c.lstrip("﻿").strip() for c in df.columns])
+    native = {"utf-8": "utf-8", "latin-1": "iso-8859-1"}.get(enc)
+    df = spark.read.option("header", True).option("sep", sep).option("encoding", native or "iso-8859-1").option("escape", '"').option("multiLine", False).csv(path)
+    if native is None:
+        def again(cells: pd.Series) -> pd.Series:
+            return cells.map(lambda v: None if v is None else v.encode("latin-1").decode(enc, "replace"))
+
+        decode = F.pandas_udf(again, "string")
+        df = df.select(*[decode(F.col(f"`{c}`")).alias(c.encode("latin-1").decode(enc, "replace")) for c in df.columns])
+    return df.toDF(*[c.lstrip("\ufeff").strip() for c in df.columns])
 
 
 def as_number(c: Column) -> Column:
-    """Number behind a text cell: missing tokens, thousands separators, currency signs and percent removed."""
+    """Number behind a text cell: missing tokens, thousands separators, currency signs and percent removed.
+
+    A comma goes only before a group of three digits; a decimal comma is left, so such a cell is no number.
+    """
     t = F.trim(c)
-    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"[,\s_]", ""), r"^[¥$€£￥]|[元¥$€£]$", ""), r"%$", "")
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r",(?=\d{3}(?!\d))|[\s_]", ""), r"^[¥$€£￥]|[元¥$€£]$", ""), r"%$", "")
     return F.when(F.lower(t).isin(*MISSING), None).otherwise(bare.try_cast("double"))
 
 
