@@ -187,13 +187,13 @@ def _numbered(keyed: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def _families(crowded: DataFrame, links: DataFrame, texts: DataFrame, words: int, share: int) -> DataFrame:
-    """Links among classes that frequent values make up in the main, added to the other links."""
+    """Edges that tie the same classes together as the links given and those among classes of frequent values do."""
     key = "array_min(transform(sketch, v -> xxhash64(v, {r})))"
     keyed = crowded.select("nid", "n", F.posexplode(F.array(*[F.expr(key.format(r=r)) for r in range(KEYS)])).alias("r", "key"))
     keyed = cut_lineage(_numbered(keyed, _chunks(keyed).where("c > 1")))
     diagonal = keyed.where(F.col("r") < FIRST_KEYS).select(F.xxhash64("r", "key", "chunk").alias("tile"), "nid", F.col("nid").alias("comp"), F.lit(0).alias("side"))
     links = cut_lineage(links.union(_tiles(diagonal, texts, words, share)))
-    label = components(links)
+    label = cut_lineage(components(links))
     keyed = cut_lineage(keyed.join(label.withColumnRenamed("node", "nid"), "nid", "left").withColumn("comp", F.coalesce("label", "nid")).drop("label"))
     parts = keyed.groupBy("r", "key", "comp").agg(F.count(F.lit(1)).alias("c"))
     main = parts.groupBy("r", "key").agg(F.max(F.struct("c", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select(F.col("r").alias("mr"), F.col("key").alias("mk"), F.col("top.comp").alias("main"))
@@ -205,7 +205,8 @@ def _families(crowded: DataFrame, links: DataFrame, texts: DataFrame, words: int
     rows = _numbered(apart, sizes).select("r", "key", "nid", "comp", F.lit(0).alias("side"), F.col("chunk").alias("i"), upto("against").alias("j"))
     cols = keyed.drop("chunks").join(sizes, ["r", "key"]).select("r", "key", "nid", "comp", F.lit(1).alias("side"), upto("chunks").alias("i"), F.col("chunk").alias("j"))
     tiles = rows.union(cols).select(F.xxhash64("r", "key", "i", "j").alias("tile"), "nid", "comp", "side")
-    return links.union(_tiles(tiles, texts, words, share))
+    # The labels tie together what the links so far have tied.
+    return label.select(F.col("node").alias("a"), F.col("label").alias("b")).union(_tiles(tiles, texts, words, share))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, share: int = 75) -> DataFrame:
