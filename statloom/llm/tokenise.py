@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
+from array import array
 
 import numpy as np
 
@@ -12,7 +14,7 @@ import numpy as np
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-CACHED = 200_000        # words kept by a task; beyond them it starts anew
+CACHED = 400_000        # words kept by a worker; beyond them it starts anew
 
 
 def _byte_of() -> dict[str, int]:
@@ -36,6 +38,18 @@ def _as_ranks(spec: dict):
     return {bytes(byte[c] for c in tok): i for tok, i in model["vocab"].items() if tok not in special}, special
 
 
+class _Words(dict):
+    """Packed ids of words with the space before them, encoded when first asked for."""
+
+    def __init__(self, pack):
+        super().__init__()
+        self.pack = pack
+
+    def __missing__(self, word: str) -> bytes:
+        self[word] = ids = self.pack(" " + word)
+        return ids
+
+
 class Encoder:
     """Encodes texts. Ids are those of `tokenizers` (or `sentencepiece` for a .model file), no special tokens added.
 
@@ -45,7 +59,7 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        self.words: dict[str, bytes] = {}
+        self.words = _Words(self._pack)
         if path.endswith(".model"):
             import sentencepiece
             model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -62,27 +76,21 @@ class Encoder:
         import tiktoken
         enc = tiktoken.Encoding("from_file", pat_str=SPLIT, mergeable_ranks=ranks[0], special_tokens=ranks[1])
         special = set(ranks[1])
-        self.whole, self.cut = (lambda t: enc.encode(t, allowed_special=special)), True
+        self.whole, self.cut = (lambda t: enc.encode(t, allowed_special=special) if any(s in t for s in special) else enc.encode_ordinary(t)), True
         self.odd = re.compile(r" \s| \Z")
 
     def _pack(self, text: str) -> bytes:
-        return np.array(self.whole(text), dtype="<u4").tobytes()
+        ids = array("I", self.whole(text))
+        return ids.tobytes() if ids.itemsize == 4 and sys.byteorder == "little" else np.array(ids, dtype="<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
         """The ids of a text, packed."""
         if not self.cut or self.odd.search(text):
             return self._pack(text)
         first, *rest = text.split(" ")
-        known = self.words
-        try:
-            return self._pack(first) + b"".join(map(known.__getitem__, rest))
-        except KeyError:
-            if len(known) > CACHED:
-                known.clear()
-            for w in rest:
-                if w not in known:
-                    known[w] = self._pack(" " + w)
-        return self._pack(first) + b"".join(map(known.__getitem__, rest))
+        if len(self.words) > CACHED:
+            self.words.clear()
+        return self._pack(first) + b"".join([self.words[w] for w in rest])
 
 
 _ENCODERS: dict[str, Encoder] = {}
