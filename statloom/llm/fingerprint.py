@@ -202,20 +202,26 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def _in_order(docs: DataFrame, parts: int) -> DataFrame:
     """Rows (bucket, guest, k, doc_id, text): id ranges as buckets, each followed by the first document after it.
 
-    Range ends are quantiles of the ids, so at most 2 * parts + 1 numbers are on the driver.
+    Range ends are quantiles of the ids, so the driver has some numbers for each of 2 * parts buckets.
     """
     low = -(1 << 63)
     d = docs.withColumn("k", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(low)))
     cuts = 2 * parts
     got = d.select("k").agg(F.percentile_approx("k", [i / cuts for i in range(1, cuts)], 10000)).collect()[0][0] if cuts > 1 else None
     bounds = sorted(set(got or []))
-    bucket = F.expr(f"size(filter(array({', '.join(f'{b}L' if b != low else 'cast(-9223372036854775808 as bigint)' for b in bounds)}), b -> b <= k))") if bounds else F.lit(0)
+    longs = lambda v: "array(" + ", ".join("cast(null as bigint)" if x is None else f"cast('{x}' as bigint)" for x in v) + ")"
+    # The number of bounds up to k, by bisection.
+    half = f"if(a.lo >= a.hi, a, if({longs(bounds)}[(a.lo + a.hi) div 2] <= k, named_struct('lo', (a.lo + a.hi) div 2 + 1L, 'hi', a.hi), named_struct('lo', a.lo, 'hi', (a.lo + a.hi) div 2)))"
+    bucket = F.expr(f"cast(aggregate(sequence(1, {len(bounds).bit_length()}), named_struct('lo', 0L, 'hi', {len(bounds)}L), (a, s) -> {half}, a -> a.lo) as int)") if bounds else F.lit(0)
     d = d.withColumn("own", bucket)
     heads = sorted((r["own"], r["k"]) for r in d.groupBy("own").agg(F.min("k").alias("k")).collect())
     if not heads:
         return d.select(F.col("own").alias("bucket"), F.lit(0).alias("guest"), "k", "doc_id", "text")
-    before = F.create_map(*[F.lit(x) for (_, k), (b, _) in zip(heads, [heads[-1], *heads[:-1]]) for x in (k, b)])
-    places = F.array_compact(F.array(F.struct(F.col("own").alias("bucket"), F.lit(0).alias("guest")), F.when(before[F.col("k")].isNotNull(), F.struct(before[F.col("k")].alias("bucket"), F.lit(1).alias("guest")))))
+    first, before = [None] * (len(bounds) + 1), [None] * (len(bounds) + 1)
+    for (b, k), (prior, _) in zip(heads, [heads[-1], *heads[:-1]]):
+        first[b], before[b] = k, prior
+    guest = F.expr(f"if({longs(first)}[own] = k, named_struct('bucket', cast({longs(before)}[own] as int), 'guest', 1), null)")
+    places = F.array_compact(F.array(F.struct(F.col("own").alias("bucket"), F.lit(0).alias("guest")), guest))
     return d.select(F.explode(places).alias("p"), "k", "doc_id", "text").select("p.bucket", "p.guest", "k", "doc_id", "text")
 
 
@@ -232,7 +238,7 @@ def neighbour_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(corpus_ranks(d))
-    parts = min(256, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = min(5000, int(spark.conf.get("spark.sql.shuffle.partitions")))     # texts stream through a task, however many it has
     ordered = _in_order(d, parts).repartition(F.col("bucket")).sortWithinPartitions("bucket", "guest", "k", "text").select("guest", "doc_id", "text")
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     kind = d.schema["doc_id"].dataType.simpleString()
