@@ -9,7 +9,7 @@ the `NEIGHBOURS` nearest vote, weighted by a power of the cosine and by what the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -97,15 +97,22 @@ class Model:
         return np.clip(np.round(out, 6), 0, 1)
 
 
-def fit(x: np.ndarray, label: np.ndarray, share: dict[int, int]) -> Model:
-    """The model of labelled counts; share: rows of each label that the sample stands for."""
-    rarity = (np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1).astype(np.float32)
-    y = weighted(x, rarity)
-    gram = y.T.astype(np.float64) @ y
+def fit(blocks: Callable[[], Iterator[np.ndarray]], label: np.ndarray, share: dict[int, int]) -> Model:
+    """The model of labelled counts, which `blocks` gives in blocks of rows, so that no table of all terms stands in memory.
+
+    share: rows of each label that the sample stands for.
+    """
+    rarity = (np.log((1 + len(label)) / (1 + sum((x > 0).sum(axis=0) for x in blocks()))) + 1).astype(np.float32)
+    gram = np.zeros((TERMS, TERMS))
+    for x in blocks():
+        y = weighted(x, rarity).astype(np.float64)
+        gram += y.T @ y
     _, vec = np.linalg.eigh(gram)
     directions = vec[:, ::-1][:, :LATENT].astype(np.float32)
+    del gram, vec
     here = {v: max(1, int((label == v).sum())) for v in (0, 1)}
-    return Model(rarity, directions, _unit(y @ directions), label.astype(np.float64), np.array([share[int(v)] / here[int(v)] for v in label]))
+    vectors = np.concatenate([_unit(weighted(x, rarity) @ directions) for x in blocks()])
+    return Model(rarity, directions, vectors, label.astype(np.float64), np.array([share[int(v)] / here[int(v)] for v in label]))
 
 
 def learnable(labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id") -> DataFrame:
@@ -136,10 +143,16 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(at), pa.array(j.astype(np.int16))), pa.ListArray.from_arrays(pa.array(at), pa.array(x[i, j]))], ["label", "id", "term", "n"])
 
     rows = texts.mapInArrow(run, f"label int, id {kind}, term array<smallint>, n array<float>").toArrow().sort_by([("id", "ascending")])
-    x = np.zeros((len(rows), TERMS), dtype=np.float32)
-    for i, (t, n) in enumerate(zip(rows["term"], rows["n"])):
-        x[i, t.values.to_numpy()] = n.values.to_numpy()
-    return fit(x, rows["label"].to_numpy(), share) if len(rows) else None
+
+    def blocks() -> Iterator[np.ndarray]:
+        for lo in range(0, len(rows), BLOCK):
+            part = rows.slice(lo, BLOCK)
+            x = np.zeros((len(part), TERMS), dtype=np.float32)
+            for i, (t, n) in enumerate(zip(part["term"], part["n"])):
+                x[i, t.values.to_numpy()] = n.values.to_numpy()
+            yield x
+
+    return fit(blocks, rows["label"].to_numpy(), share) if len(rows) else None
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", per_label: int = PER_LABEL) -> DataFrame:
