@@ -1,4 +1,10 @@
-"""Texts of short public licences, without their copyright lines, and one-line notices."""
+"""Texts of public licences, the short ones here without their copyright lines, and one-line notices."""
+
+from __future__ import annotations
+
+from pathlib import Path
+
+FILES = Path(__file__).parent / "licence_files"
 
 _MIT_GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
@@ -22,9 +28,7 @@ THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND
 
 TEXTS = {
     "MIT": "MIT License\n\n" + _MIT_GRANT + _MIT_TERMS,
-    "MIT (untitled)": _MIT_GRANT + _MIT_TERMS,
     "ISC": "ISC License\n\n" + _ISC_GRANT + ", provided that the above copyright notice and this permission notice appear in all copies.\n\n" + _ISC_TERMS,
-    "ISC (untitled)": _ISC_GRANT + ", provided that the above copyright notice and this permission notice appear in all copies.\n\n" + _ISC_TERMS,
     "0BSD": _ISC_GRANT + ".\n\n" + _ISC_TERMS,
     "BSD-2-Clause": _BSD_GRANT + _BSD_TERMS,
     "BSD-3-Clause": _BSD_GRANT + _BSD_NAMES + _BSD_TERMS,
@@ -57,3 +61,49 @@ NOTICES = {
     "Apache-2.0 (SPDX)": "SPDX-License-Identifier: Apache-2.0",
     "GPL-3.0 (SPDX)": "SPDX-License-Identifier: GPL-3.0-or-later",
 }
+
+#: Full names of licences, as notices have them.
+NAMES = {
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD License"],
+    "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache-2.0 License", "Apache 2.0 License"],
+    "Artistic-1.0-Perl": ["Artistic License", "Artistic License 1.0"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License", "BSD-2-Clause License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "3-Clause BSD License", "New BSD License", "Modified BSD License", "BSD-3-Clause License"],
+    "CC0-1.0": ["Creative Commons CC0 1.0 Universal License", "CC0 1.0 Universal License"],
+    "GFDL-1.2": ["GNU Free Documentation License, Version 1.2"],
+    "GFDL-1.3": ["GNU Free Documentation License, Version 1.3"],
+    "GPL-1.0": ["GNU General Public License, version 1"],
+    "GPL-2.0": ["GNU General Public License, version 2", "GNU General Public License v2.0", "GPL-2.0 License"],
+    "GPL-3.0": ["GNU General Public License, version 3", "GNU General Public License v3.0", "GPL-3.0 License"],
+    "ISC": ["ISC License"],
+    "LGPL-2.0": ["GNU Library General Public License, version 2"],
+    "LGPL-2.1": ["GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License v2.1", "LGPL-2.1 License"],
+    "LGPL-3.0": ["GNU Lesser General Public License, version 3", "GNU Lesser General Public License v3.0", "LGPL-3.0 License"],
+    "MIT": ["MIT License"],
+    "MPL-1.1": ["Mozilla Public License, Version 1.1", "Mozilla Public License 1.1"],
+    "MPL-2.0": ["Mozilla Public License, Version 2.0", "Mozilla Public License, v. 2.0", "Mozilla Public License 2.0"],
+    "WTFPL": ["Do What The Fuck You Want To Public License"],
+    "Zlib": ["zlib License"],
+}
+FORMS = ["Licensed under the {}.", "Released under the {}.", "Distributed under the {}.", "Licensed under the terms of the {}.", "This work is licensed under the {}.", "This project is licensed under the {}.", "This software is licensed under the {}.",
+         "This project is released under the {}.", "This software is released under the {}."]
+
+
+def known_texts() -> list[tuple[str, str]]:
+    """(licence, text) of the short texts and of the files; what follows the end of the terms may be left out."""
+    out = list(TEXTS.items())
+    for f in sorted(FILES.glob("*.txt")):
+        text = f.read_text(encoding="utf-8")
+        head, end, _ = text.rpartition("END OF TERMS AND CONDITIONS")
+        out += [(f.stem, text)] + ([(f.stem, head), (f.stem, head + end)] if end else [])
+    return out
+
+
+def known_notices() -> list[tuple[str, str]]:
+    """(name, line): the notices above, and the usual wordings and tags of all known licences where no notice above has that form."""
+    out = [(k, f.format(name)) for k, names in NAMES.items() for name in names for f in FORMS]
+    for k in sorted(NAMES):
+        gnu = k.split("-")[0] in ("GPL", "LGPL", "GFDL")
+        out += [(k, f"SPDX-License-Identifier: {k}{end}") for end in (("", "+", "-only", "-or-later") if gnu else ("",))]
+    taken = {" ".join(v.lower().split()): k for k, v in NOTICES.items()}
+    return list(NOTICES.items()) + [(k, v) for k, v in out if v.lower() not in taken]
