@@ -21,12 +21,16 @@ from ..plans.frames import need
 from .text import bounded
 
 VERSION = "WARC/1.1"
-#: Elements whose content is no text, and elements that begin a new line.
-HIDDEN = "script|style|noscript|template|iframe|svg|head"
+#: Elements whose content is no text, tags that may stand in a head, and elements that begin a new line.
+HIDDEN = "noscript|template|iframe|svg"
+IN_HEAD = "title|meta|link|base|basefont|bgsound"
 BREAKING = "address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|option|p|pre|section|table|td|th|tr|ul"
 
-_COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
+# Comments, scripts and styles go in one pass, as the mark of one may stand inside another; so may a comment's in a title, which stays.
+_RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^<>]*>.*?(?:</\1\s*>|\Z)|(<(title|textarea)\b[^<>]*>.*?</\3\s*>)", re.S | re.I)
 _HIDDEN = re.compile(rf"<({HIDDEN})\b[^<>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+# </head> may be left out: a head ends before the first text or element that cannot stand in it.
+_HEAD = re.compile(rf"<head\b[^<>]*>(?:\s+|<title\b[^<>]*>.*?</title\s*>|</?(?:{IN_HEAD})\b[^<>]*>|<[!?][^<>]*>)*+(?:</head\s*>)?", re.S | re.I)
 _BREAK = re.compile(rf"</?(?:{BREAKING})\b[^<>]*>", re.I)
 _TAG = re.compile(r"</?[a-zA-Z!?][^<>]*>")
 _BLANK = re.compile(r"[^\S\n]+")
@@ -47,9 +51,17 @@ def record_id(kind: str, of: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, kind + ' ' + of)}>"
 
 
+def _bare(page: str) -> str:
+    return _RAW.sub(lambda m: m[2] or " ", page)
+
+
+def _visible(bare: str) -> str:
+    return _HEAD.sub(" ", _HIDDEN.sub(" ", bare))
+
+
 def plain_text(page: str) -> str:
     """What a page shows as text: no markup, comments or hidden elements, entities decoded, one line per block."""
-    t = _HIDDEN.sub(" ", _COMMENT.sub(" ", page))
+    t = _visible(_bare(page))
     t = entities.unescape(_TAG.sub("", _BREAK.sub("\n", t.replace("\n", " "))))
     return _LINES.sub("\n", _BLANK.sub(" ", t)).strip()
 
@@ -60,12 +72,12 @@ def _one_line(s: str) -> str:
 
 def metadata(page: str, headers: str | None, source_digest: str) -> str:
     """The warc-fields of a page; a null page has those of its source alone."""
-    seen = _COMMENT.sub(" ", page)
+    seen = _bare(page)
     out = [f"title: {_one_line(m[1])}"] if (m := _TITLE.search(seen)) else []
     out += [f"language: {m[1].lower()}"] if (m := _LANG.search(seen)) else []
     out += [f"source-header: {line}" for line in (headers or "").replace("\r", "").split("\n") if line.strip()]
     out.append(f"source-payload-digest: {source_digest}")
-    out += [f"outlink: {_one_line(link)}" for link in dict.fromkeys(a or b or c for a, b, c in _LINK.findall(_HIDDEN.sub(" ", seen))) if link.strip()]
+    out += [f"outlink: {_one_line(link)}" for link in dict.fromkeys(a or b or c for a, b, c in _LINK.findall(_visible(seen))) if link.strip()]
     return "\r\n".join(out) + "\r\n"
 
 

@@ -6,7 +6,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from statloom.llm.warc import derive, plain_text, read_warc, responses, write_warc
+from statloom.llm.warc import derive, metadata, plain_text, read_warc, responses, write_warc
 
 PAGE = """<!DOCTYPE html><html lang="FR"><head><title>A &amp; B</title><style>p{}</style><script>var t="</p>";</script></head><body><!-- <p>no</p> --><nav><a href="/x?a=1&amp;b=2">x</a><a href='/x?a=1&amp;b=2'>again</a></nav><p>One <b>two</b>&nbsp;three<br>four</p><p>5 &lt; 6</p></body></html>"""
 
@@ -40,3 +40,12 @@ def test_records(spark):
 def test_empty(spark):
     d = spark.createDataFrame([], "page_id long, url string, html string")
     assert derive(responses(d, "2024-01-01T00:00:00Z")).collect() == []
+
+
+def test_open_heads_and_comment_marks():
+    page = "<html><head><meta charset=x><title>T <!-- t</title><noscript><img></noscript>{}<a href='/y'>y</a> end</html>"
+    for rest, text in (("<body><p>One</p>", "One\ny end"), ("<p>One</p>", "One\ny end"), ("One ", "One y end"), ("</head>One ", "One y end")):
+        assert plain_text(page.format(rest)) == text
+        assert "title: T <!-- t\r\n" in metadata(page.format(rest), None, "") and "outlink: /y\r\n" in metadata(page.format(rest), None, "")
+    assert plain_text("<script>var s = '<!-- ';</script>One<style>/* <!-- */</style> two") == "One two"
+    assert plain_text("a<!-- <script> --> b<!-- </script> --> c") == "a b c"
