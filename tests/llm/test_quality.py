@@ -5,7 +5,7 @@ import zlib
 
 from pyspark.sql import functions as F
 
-from statloom.llm.quality import accepted, quality_scores
+from statloom.llm.quality import accepted, learnable, quality_scores, train
 
 
 def corpus(spark, n=600):
@@ -44,3 +44,13 @@ def test_oddities(spark, odd, none):
     assert all(r["score"] == 0 for r in quality_scores(odd, labels.limit(0)).collect())
     assert accepted(odd, odd_labels).columns == odd.columns
     assert accepted(odd, labels.limit(0)).count() == odd.count()
+
+
+def test_repeated_id_counts_once(spark):
+    docs, labels, _ = corpus(spark, 40)
+    known = learnable(labels).count()
+    one = learnable(labels).first()["doc_id"]
+    more = docs.union(spark.range(300).select(F.lit(one).alias("doc_id"), F.concat(F.lit("copy "), F.col("id").cast("string")).alias("text")))
+    assert len(train(more, labels).label) == known
+    twice = docs.union(docs)
+    assert {tuple(r) for r in quality_scores(twice, labels).collect()} == {tuple(r) for r in quality_scores(docs, labels).collect()}
