@@ -4,7 +4,8 @@ import sys
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-SF = "/root/testdata/sf0.001"
+
+from helpers import SF  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -21,7 +22,3 @@ def spark():
 def tab(spark):
     from statloom.bindings.tables import tab as t
     return lambda name: t(spark, SF, name)
-
-
-def rows(df):
-    return sorted(tuple(round(v, 5) if isinstance(v, float) else str(v) for v in r) for r in df.collect())

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from conftest import SF
+from helpers import SF
 from statloom.bindings import load
 from statloom.bindings.tables import TABLES
 

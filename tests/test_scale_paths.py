@@ -4,7 +4,7 @@ import math
 
 from pyspark.sql import Window, functions as F
 
-from conftest import rows
+from helpers import rows
 from statloom.operators import groups, ranking
 from statloom.plans import order, series
 
