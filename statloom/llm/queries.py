@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..plans.frames import cut_lineage, shared_folder
 from . import token_counts as token_totals
 from .fingerprint import neighbour_likeness
+from .merkle import leaf_digest, prove
 from .minhash import near_duplicates
 from .mixing import mix
 from .packing import pack
@@ -135,3 +136,48 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_licences"] = op10_licences
+
+
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the rows are tampered with: their texts lose their line feeds."""
+    fields = ("doc_id", "source", "lang", "n_chars")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, leaf_digest(*fields, F.translate("text", "\n", "")))
+    out = prove(_table(spark, sf_dir, "documents"), leaf_digest(*fields, "text"), tampered)
+    return out.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+QUERIES["op11_merkle"] = op11_merkle
+
+
+def _sql_crc32(text: str) -> str:
+    """CRC-32 of an ASCII text: each character is folded in, followed by eight shifts."""
+    shifts = ", ".join(["-1"] * 8)
+    bits = f"flatten(list_transform(string_split({text}, ''), lambda c: [ascii(c)::bigint, {shifts}]))"
+    return (f"xor(list_reduce(list_prepend(4294967295::bigint, {bits}), lambda a, x: case when x >= 0 then xor(a, x) "
+            "when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end), 4294967295::bigint)")
+
+
+def _sql_leaf(text: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen({c}::varchar)::varchar || ':' || {c}::varchar, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+ORACLE["op11_merkle"] = f"""with recursive l as materialized (
+  select *, row_number() over (order by source nulls first, doc_id nulls first, leaf) as rid,
+    row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as pos, count(*) over (partition by source) as n from (
+  select doc_id, source, {_sql_leaf('text')} as leaf, case when {_sql_crc32('doc_id::varchar')} % 2 = 0 then {_sql_leaf("replace(text, chr(10), '')")} end as changed from documents)),
+t as (select 0 as lvl, source, pos as i, leaf as h, n from l
+  union all select lvl + 1, source, i // 3, sha256(string_agg(h, '' order by i)), any_value((n + 2) // 3) from t where n > 1 group by lvl, source, i // 3),
+sub as materialized (select source, h, row_number() over (order by encode(source) nulls first) - 1 as gid from t where n = 1),
+u as (select 0 as lvl, gid as i, h, count(*) over () as n from sub
+  union all select lvl + 1, i // 3, sha256(string_agg(h, '' order by i)), any_value((n + 2) // 3) from u where n > 1 group by lvl, i // 3),
+ts as materialized (select lvl, source, i, coalesce(string_agg(h, '') over (partition by lvl, source, i // 3 order by i rows between unbounded preceding and 1 preceding), '') as lft,
+  coalesce(string_agg(h, '') over (partition by lvl, source, i // 3 order by i rows between 1 following and unbounded following), '') as rgt from t where n > 1),
+us as materialized (select lvl, i, coalesce(string_agg(h, '') over (partition by lvl, i // 3 order by i rows between unbounded preceding and 1 preceding), '') as lft,
+  coalesce(string_agg(h, '') over (partition by lvl, i // 3 order by i rows between 1 following and unbounded following), '') as rgt from u where n > 1),
+steps as (select rid, lvl as k, lft, rgt from l join ts on ts.source is not distinct from l.source and ts.i = l.pos // (3 ** ts.lvl)::bigint
+  union all select rid, 1000 + us.lvl, lft, rgt from l join sub on sub.source is not distinct from l.source join us on us.i = sub.gid // (3 ** us.lvl)::bigint),
+p as (select rid, string_agg(lft || rgt, '' order by k) as proof, list({{'h': '', 'l': lft, 'r': rgt}} order by k) as way from steps group by rid),
+f as (select l.doc_id, l.leaf, l.changed, sub.h as subroot, (select h from u where n = 1) as root, coalesce(p.proof, '') as proof, coalesce(p.way, []) as way
+  from l join sub on sub.source is not distinct from l.source left join p on p.rid = l.rid),
+g as (select *, list_reduce(list_prepend({{'h': coalesce(changed, leaf), 'l': '', 'r': ''}}, way), lambda a, x: {{'h': sha256(x.l || a.h || x.r), 'l': '', 'r': ''}}).h as folded from f)
+select doc_id, leaf, subroot, root, sha256(proof) as proof_sha256, folded as folded_root, folded = root as verified from g"""
