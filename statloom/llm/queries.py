@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.frames import cut_lineage, shared_folder
 from . import token_counts as token_totals
+from .conversations import repair
 from .fingerprint import neighbour_likeness
 from .merkle import leaf_digest, prove
 from .minhash import near_duplicates
@@ -181,3 +182,47 @@ f as (select l.doc_id, l.leaf, l.changed, sub.h as subroot, (select h from u whe
   from l join sub on sub.source is not distinct from l.source left join p on p.rid = l.rid),
 g as (select *, list_reduce(list_prepend({{'h': coalesce(changed, leaf), 'l': '', 'r': ''}}, way), lambda a, x: {{'h': sha256(x.l || a.h || x.r), 'l': '', 'r': ''}}).h as folded from f)
 select doc_id, leaf, subroot, root, sha256(proof) as proof_sha256, folded as folded_root, folded = root as verified from g"""
+
+
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged by the checksum of its turns and repaired."""
+    table = _table(spark, sf_dir, "conversations")
+    key = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
+    kept = table.select("conv_id", "turn", *[F.coalesce(c, F.lit(" ")).alias(c) for c in ("role", "text")], (F.crc32(key) % 20).alias("way")).where("way <> 0")
+    text = F.when(F.col("way") == 1, "").when(F.col("way") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(F.col("way") == 4, "user").otherwise(F.col("role"))
+    damaged = kept.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(F.expr("sequence(1, if(way = 3, 2, 1))")))
+    found = repair(damaged).withColumnRenamed("conv_id", "id")
+    out = table.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("id")), "left")
+    zeros = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select("conv_id", *zeros, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+QUERIES["op12_conversations"] = op12_conversations
+# States: 0 nothing, 1 system, 2 user, 3 assistant. `ins` are insertions before a turn, `use` is what may become of it.
+ORACLE["op12_conversations"] = f"""with recursive k as materialized (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, {_sql_crc32("coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')")} % 20 as way from conversations),
+d as (select conv_id, turn, case when way = 4 then 'user' else role end as role,
+    case when way = 1 then '' when way = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, unnest(range(case when way = 3 then 2 else 1 end)) as copy from k where way <> 0),
+o as (select *, row_number() over (partition by conv_id order by turn nulls first, role, sha256(text), copy) as i from d),
+p as (select *, row_number() over (partition by conv_id, role, text order by i) > 1 as again, left(role, 1) as ini, lag(left(role, 1)) over (partition by conv_id order by i) as prev,
+    not regexp_matches(text, '[^\\x20\\x09-\\x0D]') as blank, not regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') as cut from o),
+r as materialized (select *, blank or again as must, not blank and not again and cut as trunc from p),
+ins(q, letters, qk, c, t) as (values (0, '', 0, 0, ''), (1, '', 1, 0, ''), (2, '', 2, 0, ''), (3, '', 3, 0, ''), (0, 'I', 2, 5, 'user:|'), (1, 'I', 2, 5, 'user:|'), (3, 'I', 2, 5, 'user:|'), (2, 'I', 3, 5, 'assistant:|'),
+    (0, 'II', 3, 10, 'user:|assistant:|'), (1, 'II', 3, 10, 'user:|assistant:|'), (3, 'II', 3, 10, 'user:|assistant:|'), (2, 'II', 2, 10, 'assistant:|user:|')),
+use(qk, letter, ini, nq, c, role) as (values (0, 'D', null, 0, 2, null), (1, 'D', null, 1, 2, null), (2, 'D', null, 2, 2, null), (3, 'D', null, 3, 2, null),
+    (0, 'K', 's', 1, 0, null), (0, 'K', 'u', 2, 0, null), (1, 'K', 'u', 2, 0, null), (3, 'K', 'u', 2, 0, null), (2, 'K', 'a', 3, 0, null),
+    (0, 'R', null, 2, 1, 'user'), (1, 'R', null, 2, 1, 'user'), (3, 'R', null, 2, 1, 'user'), (2, 'R', null, 3, 1, 'assistant')),
+moves as materialized (select ins.q, use.nq, letters || letter as e, ins.c + use.c as c, replace(t, '|', chr(10)) as t, letter, ini, role from ins join use using (qk)),
+w as (select conv_id, 0::bigint as i, 0 as q, {{'c': 0::bigint, 'e': '', 't': ''}} as b from (select distinct conv_id from r)
+  union all select w.conv_id, w.i + 1, m.nq, min({{'c': (w.b.c + m.c + case when r.trunc and m.letter <> 'D' then 5 else 0 end)::bigint, 'e': w.b.e || m.e,
+      't': w.b.t || m.t || case when m.letter = 'D' then '' else coalesce(m.role, r.role) || ':' || r.text || chr(10) end}})
+    from w join r on r.conv_id is not distinct from w.conv_id and r.i = w.i + 1 join moves m on m.q = w.q and (m.letter = 'D' or not r.must) and (m.ini is null or m.ini = r.ini) group by 1, 2, 3),
+s as (select conv_id, max(turn) - min(turn) + 1 - count(distinct turn) as gaps, count(*) filter (blank) as blank, count(*) filter (again and not blank) as duplicate, count(*) filter (trunc) as truncated,
+    count(*) filter (i > 1 and prev || ini not in ('su', 'ua', 'au')) as illegal, max(i) as n from r group by conv_id),
+e as (select w.conv_id, min({{'c': (w.b.c + case q when 1 then 10 when 2 then 5 else 0 end)::bigint, 'e': w.b.e || case q when 1 then 'II' when 2 then 'I' else '' end,
+    't': w.b.t || case q when 1 then 'user:' || chr(10) || 'assistant:' || chr(10) when 2 then 'assistant:' || chr(10) else '' end}}) as b
+  from w join s on s.conv_id is not distinct from w.conv_id and w.i = s.n group by w.conv_id)
+select a.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal,
+  coalesce(e.b.c, 0)::bigint as cost, coalesce(e.b.e, '') as audit, sha256(coalesce(left(e.b.t, greatest(length(e.b.t) - 1, 0)), '')) as repaired_sha256
+from (select distinct conv_id from conversations) a left join s on s.conv_id is not distinct from a.conv_id left join e on e.conv_id is not distinct from a.conv_id"""
