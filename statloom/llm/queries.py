@@ -16,6 +16,7 @@ from .merkle import leaf_digest, prove
 from .minhash import near_duplicates
 from .mixing import mix
 from .packing import pack
+from .page_text import extract
 from .quality import quality_scores
 from .secrets import find_secrets, joined
 from .licences import scan
@@ -226,3 +227,10 @@ e as (select w.conv_id, min({{'c': (w.b.c + case q when 1 then 10 when 2 then 5
 select a.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal,
   coalesce(e.b.c, 0)::bigint as cost, coalesce(e.b.e, '') as audit, sha256(coalesce(left(e.b.t, greatest(length(e.b.t) - 1, 0)), '')) as repaired_sha256
 from (select distinct conv_id from conversations) a left join s on s.conv_id is not distinct from a.conv_id left join e on e.conv_id is not distinct from a.conv_id"""
+
+
+def op13_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+QUERIES["op13_html"] = op13_html
