@@ -214,7 +214,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Returns doc_id, n_shingles, component_id (smallest doc_id reachable over links of likeness >= share / 100, itself
     included) and kept (doc_id = component_id), one row per input row. A null or wordless text has an empty set, is
-    linked with nothing and stays its own component. Rows that repeat a doc_id with the same text share its row values;
+    linked with nothing and stays its own component. Texts may be of any length. Ties do not matter: a link or none.
+    Rows that repeat a doc_id are documents of their own, which have the same text's row values if their texts agree;
     a null doc_id is a member like any other but never names a component nor is kept, unless all of it is null (then
     component_id is null). Other columns are ignored, so their names cannot clash. An empty table gives no rows.
     """
@@ -224,14 +225,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = members.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     classes = cut_lineage(classes.withColumn("nid", F.monotonically_increasing_id()))
     frequent = cut_lineage(classes.select(F.explode("sketch").alias("v")).groupBy("v").count().where(F.col("count") > LONG_LIST).select("v"))
-    crowd = classes.select("nid", F.explode("sketch").alias("v")).join(frequent, "v").groupBy("nid").agg(F.collect_set("v").alias("hot"))
-    split = classes.select("nid", "rep", "n", "sketch").join(crowd, "nid", "left").withColumn("hot", F.coalesce("hot", F.array().cast("array<bigint>")))
-    split = split.withColumn("vals", F.array_except("sketch", "hot"))
+    # Every retained value stays a row of its own, frequent or not, so the rows follow the classes alone.
+    kept = classes.select("nid", "n", F.size("sketch").alias("k"), F.posexplode("sketch").alias("r", "v")).join(frequent.withColumn("hot", F.lit(True)), "v", "left")
+    split = kept.groupBy("nid").agg(F.first("n").alias("n"), F.first("k").alias("k"), F.sort_array(F.collect_list(F.when(F.col("hot").isNull(), F.struct("r", "v")))).alias("left"))
+    split = cut_lineage(split.select("nid", "n", "k", F.col("left.v").alias("vals")))
     pairs = cut_lineage(_pairs(split.select("nid", "n", F.slice("vals", 1, LISTED).alias("vals")), share))
-    crowded = cut_lineage(split.where("2 * size(vals) < size(sketch)").select("nid", "n", "sketch"))
+    crowded = cut_lineage(classes.join(split.where("2 * size(vals) < k").select("nid"), "nid", "left_semi").select("nid", "n", "sketch"))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("nid")).union(crowded.select("nid")).distinct()
     reps = wanted.join(classes.select("nid", "rep", "digest"), "nid")
-    texts = cut_lineage(_class_texts(docs, id_col, text_col, reps, words))
+    repeated = cut_lineage(members.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id"))
+    texts = cut_lineage(_class_texts(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), reps, repeated, words))
     links = _verify(pairs, texts, words, share)
     if not crowded.isEmpty():
         links = _families(crowded, cut_lineage(links), texts, words, share)
@@ -244,18 +247,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
-def _class_texts(docs: DataFrame, id_col: str, text_col: str, reps: DataFrame, words: int) -> DataFrame:
-    """(nid, text) of the classes in reps (nid, rep, digest).
+def _class_texts(docs: DataFrame, reps: DataFrame, repeated: DataFrame, words: int) -> DataFrame:
+    """(nid, text) of the classes in reps (nid, rep, digest), from docs (id, text).
 
-    The rows of a class's first document are looked up by its id; a repeated id may bring other texts along, so the
-    digest is compared where the texts are, and one row for each class stays.
+    A class's first document is looked up by its id, one row for one class. Rows whose id is null or repeats are not told
+    apart by it: among these, which may be many, the digest of the text is the key. Texts are dealt by id at every size.
     """
-    d = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text"))
-    hit = d.join(reps, d["rep"].eqNullSafe(reps["rep"])).select("nid", "digest", "text")
+    once = reps.join(repeated, F.col("rep").eqNullSafe(F.col("doc_id")), "left_anti")
+    found = docs.hint("merge").join(once.hint("merge"), F.col("id") == F.col("rep")).select("nid", "text")
+    if repeated.isEmpty():
+        return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in bounded(batches):
-            same = [_digest(s) == g if len(s) else False for s, g in zip(sets_of(b.column(2), words), b.column(1).to_pylist())]
-            yield b.filter(pa.array(same, pa.bool_())).select([0, 2])
+            yield pa.RecordBatch.from_arrays([pa.array([_digest(s) if len(s) else None for s in sets_of(b.column(0), words)], pa.binary()), b.column(0)], ["d", "text"])
 
-    return hit.mapInArrow(run, "nid bigint, text string").dropDuplicates(["nid"])
+    others = docs.join(repeated, F.col("id").eqNullSafe(F.col("doc_id")), "left_semi").select("text").mapInArrow(run, "d binary, text string")
+    again = reps.join(repeated, F.col("rep").eqNullSafe(F.col("doc_id")), "left_semi")
+    return found.union(again.join(others, F.col("digest") == F.col("d")).select("nid", "text").dropDuplicates(["nid"]))

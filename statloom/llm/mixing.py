@@ -17,7 +17,7 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..plans.frames import cut_lineage, need, rows_frame
+from ..plans.frames import collect_bounded, cut_lineage, need, rows_frame
 from .text import bounded, word_counts
 
 WEIGHTS = (1, 2, 3)     # by source in code point order, repeating
@@ -98,6 +98,27 @@ def routes(patterns: dict[str, int], quotas: dict[str | None, int], most: int =
     return {k: v for k, v in flow.items() if v}
 
 
+def _pattern(docs: DataFrame, sources: str | Column) -> Column:
+    """A document's sources as a JSON list; null is a source of its own."""
+    col = F.col(sources) if isinstance(sources, str) else sources
+    array = col if docs.select(col.alias("s")).schema["s"].dataType.typeName() == "array" else F.array(col)
+    return F.to_json(F.coalesce(F.sort_array(F.array_distinct(array)), F.array(F.lit(None).cast("string"))))
+
+
+def _given(sized: DataFrame, weights: Sequence[int], most: int) -> tuple[dict[str, int], dict[str | None, float], dict[str, int]]:
+    """Words by pattern, targets by source, and words that each pattern gives, from (pattern, size)."""
+    size = {r["pattern"]: int(r["n"]) for r in collect_bounded(sized.groupBy("pattern").agg(F.sum("size").alias("n")), "source combinations")}
+    by_source: dict = defaultdict(int)
+    for p, n in size.items():
+        for s in json.loads(p):
+            by_source[s] += n if len(json.loads(p)) == 1 else n // len(json.loads(p))
+    target = targets(by_source, weights, most) if by_source else {}
+    given: dict[str, int] = defaultdict(int)
+    for (p, _), n in routes(size, {s: int(t + 0.5) for s, t in target.items()}, most).items():
+        given[p] += n
+    return size, target, given
+
+
 def mix(docs: DataFrame, sources: str | Column = "source", seed: int = 42, weights: Sequence[int] = WEIGHTS, most: int = MOST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every document with its pattern, its size in words and the words the mix takes of it.
 
@@ -108,10 +129,8 @@ def mix(docs: DataFrame, sources: str | Column = "source", seed: int = 42, weigh
     is that of source combinations and must fit the driver. Rows that repeat a doc_id each count; which of them has the
     remainder's end depends on their size alone. Other columns are ignored.
     """
-    col = F.col(sources) if isinstance(sources, str) else sources
     need(docs, id_col, text_col, *([sources] if isinstance(sources, str) else []))
-    array = col if docs.select(col.alias("s")).schema["s"].dataType.typeName() == "array" else F.array(col)
-    keyed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.to_json(F.coalesce(F.sort_array(F.array_distinct(array)), F.array(F.lit(None).cast("string")))).alias("pattern"),
+    keyed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), _pattern(docs, sources).alias("pattern"),
                         F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("h"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,15 +138,7 @@ def mix(docs: DataFrame, sources: str | Column = "source", seed: int = 42, weigh
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(word_counts(b.column(1)))], ["doc_id", "pattern", "h", "size"])
 
     sized = cut_lineage(keyed.mapInArrow(count, f"doc_id {docs.schema[id_col].dataType.simpleString()}, pattern string, h string, size bigint"))
-    size = {r["pattern"]: int(r["n"]) for r in sized.groupBy("pattern").agg(F.sum("size").alias("n")).collect()}
-    by_source: dict = defaultdict(int)
-    for p, n in size.items():
-        for s in json.loads(p):
-            by_source[s] += n if len(json.loads(p)) == 1 else n // len(json.loads(p))
-    target = targets(by_source, weights, most) if by_source else {}
-    given: dict[str, int] = defaultdict(int)
-    for (p, _), n in routes(size, {s: int(t + 0.5) for s, t in target.items()}, most).items():
-        given[p] += n
+    size, target, given = _given(sized, weights, most)
     spark = docs.sparkSession
     # One row per pattern: its passes, and of the remainder the digest prefix where it ends and what comes before that.
     ends = {p: ("", given[p] - given[p] // n * n if n else 0) for p, n in size.items()}
@@ -159,3 +170,46 @@ def mixed(docs: DataFrame, taken: DataFrame, id_col: str = "doc_id", text_col: s
     part = F.array_join(F.slice(F.split(F.regexp_replace(text_col, "^" + white, ""), white), 1, F.col("extra").cast("int")), " ")
     copies = F.flatten(F.array(F.array_repeat(F.col(text_col), F.col("passes")), F.when(F.col("extra") == 0, F.array().cast("array<string>")).when(F.col("extra") == F.col("size"), F.array(text_col)).otherwise(F.array(part))))
     return docs.join(t, id_col).withColumn(text_col, F.explode(copies)).select(*docs.columns)
+
+
+def mixture(docs: DataFrame, sources: str | Column = "source", seed: int = 42, weights: Sequence[int] = WEIGHTS, most: int = MOST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The mix of whole documents: each row of docs, with all its columns, as often as the mix takes it.
+
+    Targets and passes are those of `mix`. The remainder of a pattern goes to its rows in the order of a digest of seed,
+    id and text; the row at its end is taken if at least half of it is wanted, so a source misses its target by half a
+    document at most. Rows that agree in id and text are taken together. Null and repeated ids are rows like any other.
+    Null, empty and blank texts have no words: they are taken as often as the passes and the order say. A pattern
+    without words gives one pass, so its rows are kept. An empty table gives no rows. Extra columns are kept as they are.
+
+    Every row decides by itself from one line per pattern, so texts are read in place and not shuffled.
+    """
+    need(docs, id_col, text_col, *([sources] if isinstance(sources, str) else []))
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in bounded(batches):
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(word_counts(b.column(0)))], ["pattern", "h", "size"])
+
+    keyed = docs.select(F.col(text_col).alias("text"), _pattern(docs, sources).alias("pattern"), order.alias("h"))
+    sized = cut_lineage(keyed.mapInArrow(count, "pattern string, h string, size bigint"))
+    size, _, given = _given(sized, weights, most)
+    spark = docs.sparkSession
+    schema = "pattern string, prefix string, rest bigint"
+    ends = {p: ("", given[p] % n if n else 0) for p, n in size.items()}
+    todo, whole = {p for p, (_, rest) in ends.items() if rest}, {}
+    while todo:                 # a level of digits at a time, until one document (or rows that agree in all) is left
+        at = rows_frame(spark, schema, [(p, *ends[p]) for p in todo])
+        inside = sized.join(at, "pattern").where("startswith(h, prefix)")
+        sums = inside.groupBy("pattern", F.expr(f"left(h, length(prefix) + {PREFIX})").alias("p")).agg(F.sum("size").alias("n"), F.max("h").alias("hi"), F.min("h").alias("lo"), F.first("rest").alias("rest"))
+        before = sums.withColumn("upto", F.sum("n").over(Window.partitionBy("pattern").orderBy("p")))
+        hit = before.where("upto >= rest").groupBy("pattern").agg(F.min(F.struct("p", F.expr("rest - (upto - n)").alias("rest"), "n", "lo", "hi")).alias("e"))
+        for r in collect_bounded(hit, "source combinations"):
+            ends[r["pattern"]] = (r["e"]["p"], r["e"]["rest"])
+            if r["e"]["lo"] == r["e"]["hi"]:
+                todo.discard(r["pattern"])
+                ends[r["pattern"]] = (r["e"]["lo"], r["e"]["rest"])
+                whole[r["pattern"]] = 2 * r["e"]["rest"] >= r["e"]["n"]
+    info = rows_frame(spark, "__pattern string, __passes int, __end string, __whole boolean", [(p, given[p] // n if n else 1, ends[p][0], whole.get(p, False)) for p, n in size.items()])
+    times = F.col("__passes") + F.when((F.col("__end") != "") & ((F.col("__order") < F.col("__end")) | ((F.col("__order") == F.col("__end")) & F.col("__whole"))), 1).otherwise(0)
+    marked = docs.withColumns({"__pattern": _pattern(docs, sources), "__order": order}).join(info, "__pattern").withColumn("__times", times).where("__times > 0")
+    return marked.withColumn("__copy", F.explode(F.expr("sequence(1, __times)"))).select(*docs.columns)

@@ -97,6 +97,24 @@ class Model:
         return np.clip(np.round(out, 6), 0, 1)
 
 
+def leading(gram: np.ndarray, k: int, rounds: int = 300, tolerance: float = 1e-9) -> np.ndarray:
+    """The k leading eigenvectors of a symmetric matrix, by iterating on a few more directions than k.
+
+    That takes one thin block beside the matrix, where a full decomposition takes several copies of it; where the
+    iteration has not settled after `rounds`, the full one is made after all.
+    """
+    width = min(len(gram), 2 * k)
+    q = np.linalg.qr(np.random.default_rng(0).standard_normal((len(gram), width)))[0]
+    for _ in range(rounds):
+        y = gram @ q
+        value, turn = np.linalg.eigh(q.T @ y)
+        at, v = q @ turn[:, ::-1][:, :k], value[::-1][:k]
+        if np.abs(y @ turn[:, ::-1][:, :k] - at * v).max(initial=0) <= tolerance * max(float(v[0]) if k else 0, 1e-300):
+            return at
+        q = np.linalg.qr(y)[0]
+    return np.linalg.eigh(gram)[1][:, ::-1][:, :k]
+
+
 def fit(blocks: Callable[[], Iterator[np.ndarray]], label: np.ndarray, share: dict[int, int]) -> Model:
     """The model of labelled counts, which `blocks` gives in blocks of rows, so that no table of all terms stands in memory.
 
@@ -107,9 +125,8 @@ def fit(blocks: Callable[[], Iterator[np.ndarray]], label: np.ndarray, share: di
     for x in blocks():
         y = weighted(x, rarity).astype(np.float64)
         gram += y.T @ y
-    _, vec = np.linalg.eigh(gram)
-    directions = vec[:, ::-1][:, :LATENT].astype(np.float32)
-    del gram, vec
+    directions = leading(gram, LATENT).astype(np.float32)
+    del gram
     here = {v: max(1, int((label == v).sum())) for v in (0, 1)}
     vectors = np.concatenate([_unit(weighted(x, rarity) @ directions) for x in blocks()])
     return Model(rarity, directions, vectors, label.astype(np.float64), np.array([share[int(v)] / here[int(v)] for v in label]))

@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
-from statloom.llm.mixing import mix, mixed, routes, targets
+from statloom.llm.mixing import mix, mixed, mixture, routes, targets
 
 
 def test_targets():
@@ -60,3 +60,30 @@ def test_mixed(spark):
     m = mix(d)
     total = sum(len(r["text"].split()) for r in mixed(d, m).collect())
     assert total == m.agg(F.sum("taken")).collect()[0][0]
+
+
+def test_mixture_of_whole_documents(odd, none):
+    size = lambda t: len([w for w in (t or "").replace("\t", " ").replace("\n", " ").split(" ") if w])
+    docs = odd.where("doc_id not in (9, 10) or doc_id is null")
+    rows = docs.collect()
+    by, own = Counter(), Counter(map(tuple, rows))
+    for r in rows:
+        by[r["source"]] += size(r["text"])
+    got = mixture(docs).collect()
+    taken, times = Counter(), Counter(map(tuple, got))
+    for r in got:
+        taken[r["source"]] += size(r["text"])
+    assert mixture(docs).columns == docs.columns and set(times) <= set(own)
+    assert all(times[k] <= 3 * own[k] for k in times)
+    for s, t in targets(dict(by)).items():
+        assert abs(taken[s] - t) <= max(size(r["text"]) for r in rows if r["source"] == s)
+    assert Counter(map(tuple, mixture(docs.repartition(7)).collect())) == times
+    assert mixture(none).collect() == []
+
+
+def test_mixture_ends_at_a_document(spark):
+    """Null ids all over: the remainder is still met to half a document, which the text's digest makes possible."""
+    d = spark.createDataFrame([(None, f"{i} b c", "s" if i % 4 else "t") for i in range(400)], "doc_id long, text string, source string")
+    got = Counter(r["source"] for r in mixture(d).collect())
+    want = targets({"s": 900, "t": 300})
+    assert all(abs(3 * got[s] - t) <= 1.5 for s, t in want.items())
