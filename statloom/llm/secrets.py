@@ -5,14 +5,19 @@ its characters, and three tests ask how well it agrees with uniform draws from t
 letters, runs above and below the middle of the alphabet, and serial correlation of neighbours. Fisher's statistic
 combines their p-values: small for random strings, large for words.
 
-What counts as small is learnt from the corpus. Tokens of letters in one case are words; for words the statistic grows
-with the length, so the mean and the spread of log(statistic / length) over all words give every token a p-value against
-"a word of this length", the smaller the longer a random token is. Benjamini-Hochberg over the other tokens of each
-length class bounds the false discoveries by `RATE`. Only two moments and a histogram over fixed bins reach the driver.
+How small counts as random follows from words. For words the statistic grows with the length, so the mean and the spread
+of log(statistic / length) over words give every token a p-value against "a word of this length", the smaller the longer
+a random token is. The words are the corpus's tokens of letters in one case, together with `PRIOR`, a fixed baseline
+that counts as so many words; so a corpus of three lines is judged like any other, and a large one by its own words.
+Benjamini-Hochberg bounds the false discoveries by `RATE` in each length class, by itself over tokens of letters in one
+case (which are words in the main, but are tested like all others) and over the rest. Only two moments and a histogram
+over fixed bins reach the driver.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..plans.frames import cut_lineage, need
@@ -27,6 +32,7 @@ KINDS = ("assign", "access", "hex", "random")
 TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
 LENGTHS = (16, 20, 24, 32, 48, 64)          # lower ends of the length classes
 RATE = 0.05
+PRIOR = (20, 0.2, 0.55)                      # number, mean and spread of log(statistic / length) of words, as measured on prose
 BINS = 151                                  # tenths of -log10 of a p-value
 ALPHABETS = {"hex": "0123456789abcdef", "HEX": "0123456789ABCDEF", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
              "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"}
@@ -96,22 +102,24 @@ def tested(tokens: DataFrame) -> DataFrame:
     stat = sum((-2 * F.log(F.greatest(F.least(p, F.lit(1.0)), F.lit(1e-12))) for p in (p_chi, p_runs, p_serial)), F.lit(0.0))
     level = sum((F.when(n >= x, 1).otherwise(0) for x in LENGTHS[1:]), F.lit(0))
     word = F.col("t").rlike("^([a-z]+|[A-Z][a-z]*|[A-Z]+)$")
-    return d.select(*[c for c in tokens.columns if c != "t"], F.log(F.greatest(stat, F.lit(0.01)) / n).alias("stat"), level.cast("int").alias("level"), word.alias("word"))
+    return d.select(*[c for c in tokens.columns if c != "t"], F.log(F.greatest(stat, F.lit(0.01)) / n).alias("stat"), (level + F.when(word, len(LENGTHS)).otherwise(0)).cast("int").alias("level"), word.alias("word"))
 
 
 def against_words(scored: DataFrame) -> DataFrame:
-    """Adds `bin`: tenths of -log10 of the p-value against a word of the token's length; 0 if too few words are known."""
-    r = scored.where("word").agg(F.count(F.lit(1)).alias("n"), F.mean("stat").alias("mean"), F.stddev_samp("stat").alias("sd")).collect()[0]
-    if r["n"] < 20 or not r["sd"]:
-        return scored.withColumn("bin", F.lit(0))
-    p = _upper_tail((F.lit(r["mean"]) - F.col("stat")) / r["sd"])
+    """Adds `bin`: tenths of -log10 of the p-value against a word of the token's length."""
+    r = scored.where("word").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.mean("stat"), F.lit(0.0)).alias("mean"), F.coalesce(F.var_pop("stat"), F.lit(0.0)).alias("var")).collect()[0]
+    n0, m0, s0 = PRIOR
+    n = n0 + r["n"]
+    mean = (n0 * m0 + r["n"] * r["mean"]) / n
+    sd = math.sqrt((n0 * (s0 * s0 + (m0 - mean) ** 2) + r["n"] * (r["var"] + (r["mean"] - mean) ** 2)) / n)
+    p = _upper_tail((F.lit(mean) - F.col("stat")) / sd)
     return scored.withColumn("bin", F.least(F.floor(-10 * F.log10(p)), F.lit(BINS - 1)).cast("int"))
 
 
 def thresholds(scored: DataFrame, rate: float = RATE) -> list[int]:
-    """By length class, the lowest bin of the p-value that counts as random; BINS for none."""
-    tokens = [[0] * BINS for _ in LENGTHS]
-    for r in scored.where(~F.col("word")).groupBy("level", "bin").count().collect():      # at most classes x bins rows
+    """By class (those of one-case tokens come second), the lowest bin of the p-value that counts as random; BINS for none."""
+    tokens = [[0] * BINS for _ in range(2 * len(LENGTHS))]
+    for r in scored.groupBy("level", "bin").count().collect():      # at most classes x bins rows
         tokens[r["level"]][r["bin"]] += r["count"]
     out = []
     for bins in tokens:
@@ -129,8 +137,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     k numbers the kinds of KINDS; s and e are code points, e exclusive. `spans` holds the base ones and the random
     tokens that touch none of them, by start, then kind. A null or empty text has none. Rows that repeat a doc_id are
-    rows of their own. Other columns are ignored. An empty table gives no rows. With fewer than
-    20 words of that length in the corpus nothing is known about words, and no token is called random.
+    rows of their own. Other columns are ignored. An empty table gives no rows. Texts may be of any length.
     """
     need(docs, id_col, text_col)
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -141,7 +148,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     tokens = cut.select("rid", F.explode("tokens").alias("t")).select("rid", F.col("t.at").alias("at"), F.col("t.t").alias("t")).where(F.col("t").rlike("[A-Za-z]"))
     scored = against_words(cut_lineage(tested(tokens)))
     limit = F.array(*[F.lit(x) for x in thresholds(scored, rate)])
-    found = scored.where(~F.col("word") & (F.col("bin") >= limit[F.col("level")])).groupBy("rid").agg(F.collect_list("at").alias("random"))
+    found = scored.where(F.col("bin") >= limit[F.col("level")]).groupBy("rid").agg(F.collect_list("at").alias("random"))
     both = cut.select("rid", "doc_id", "base").join(found, "rid", "left")
     apart = F.expr(f"filter(coalesce(random, {NONE}), r -> not exists(base, b -> b.s < r.e and r.s < b.e))")
     spans = F.expr("array_sort(concat(base, random), (x, y) -> if(x.s <> y.s, x.s - y.s, x.k - y.k))")

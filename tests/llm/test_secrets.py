@@ -57,3 +57,25 @@ def test_redaction(spark):
     spans = find_secrets(d).select("doc_id", "spans")
     got = {r["doc_id"]: r["t"] for r in d.join(spans, "doc_id").select("doc_id", redacted("text", "spans").alias("t")).collect()}
     assert got == {1: "a [SECRET] b", 2: "plain", 3: ""}
+
+
+def test_small_corpora(spark):
+    """Three lines with one key among them: the battery decides without any word to compare with."""
+    rng = random.Random(9)
+    key = "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(40))
+    rows = [(1, "the first line"), (2, f"key {key} here"), (3, "andanotherratherlongwordinlowercase and_an_identifier_like_this")]
+    got = {r["doc_id"]: r["s"] for r in find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", joined("spans").alias("s")).collect()}
+    assert got == {1: "", 2: "random:4:44", 3: ""}
+
+
+def test_letters_in_one_case(spark):
+    """Random letters of one case are tested like all tokens; long words are not taken for them."""
+    rng = random.Random(6)
+    syllables = ["tion", "er", "ing", "the", "and", "ver", "ent", "al", "men", "ra", "ke", "lo"]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(6, 12)))
+    rows = [(i, " ".join(word() for _ in range(20))) for i in range(200)]
+    key = {1000 + i: "".join(rng.choice(string.ascii_uppercase) for _ in range(64)) for i in range(40)}
+    rows += [(i, f"see {k} there") for i, k in key.items()]
+    got = {r["doc_id"]: r["n_random"] for r in find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[i] == 1 for i in key) >= 30
+    assert sum(n for i, n in got.items() if i not in key) <= 4
