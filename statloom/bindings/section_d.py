@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from ..operators import linear as D
-from .tables import q, qs, query, rounded
+from ..operators import linear as D, panel_gmm as G
+from .tables import FX, q, qs, query, rounded
 
 _x = ["l_quantity"]
 query("ols_regression", "lineitem", lambda d: rounded(D.ols_regression(d, "l_extendedprice", _x), 6, ["term", "coef", "se", "n", "r2"]),
@@ -69,3 +69,6 @@ query("evalue", _lg, lambda d: rounded(D.evalue(d, "p", "r")),
       f"""with s as (select count(*) n, avg(case when r = 1 then p end) m1, avg(case when r = 0 then p end) m0, var_samp(case when r = 1 then p end) v1, var_samp(case when r = 0 then p end) v0, sum(r)::double n1 from src),
       d as (select n, (m1 - m0) / sqrt(((n1 - 1) * v1 + (n - n1 - 1) * v0) / (n - 2)) d from s), e as (select *, exp(0.91 * d) rr, greatest(exp(0.91 * d), exp(-0.91 * d)) e from d)
       select n, 'smd' as kind, {qs(estimate='d', rr='rr', e_value='e + sqrt(e * (e - 1))')} from e""")
+query("dynamic_panel_gmm", "fx_panel", lambda d: rounded(G.dynamic_panel_gmm(d, "y", ["x"], "unit", "period", collapse=True)))
+query("system_gmm", "fx_panel", lambda d: rounded(G.system_gmm(d, "y", ["x"], "unit", "period", collapse=True)))
+query("hausman_taylor", f"select *, case when g > 0 then 1.0 else 0.0 end as ever from ({FX['fx_panel']})", lambda d: rounded(G.hausman_taylor(d, "y", ["x", "treated", "ever"], "unit", ["treated"])))

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from ..operators import learning as J
-from .tables import q, qs, query, rounded
+from ..operators import density, learning as J
+from .tables import ORACLE, q, qs, query, rounded
 
-_em = "select vec_id, " + ", ".join(f"cast(element_at(embedding, {i + 1}) as double) as e{i}" for i in range(4)) + ", label from embeddings"
-_e = ["e0", "e1", "e2", "e3"]
+_e = [f"e{i}" for i in range(64)]
+_em = "select vec_id, " + ", ".join(f"cast(element_at(embedding, {i + 1}) as double) as {c}" for i, c in enumerate(_e)) + ", label from embeddings"
 query("kmeans_clustering", _em, lambda d: rounded(J.kmeans_clustering(d, _e, 3)))
-query("gaussian_mixture", _em, lambda d: rounded(J.gaussian_mixture(d, _e[:2], 3)))
-query("latent_profile_analysis", _em, lambda d: rounded(J.latent_profile_analysis(d, _e, 2, 3, most=15)))
+query("gaussian_mixture", _em, lambda d: rounded(J.gaussian_mixture(d, _e, 3)))
+query("latent_profile_analysis", _em, lambda d: rounded(J.latent_profile_analysis(d, _e, 2, 3)))
 _it = ["i1", "i2", "i3", "i4", "i5", "i6"]
 query("latent_class_analysis", "fx_items", lambda d: rounded(J.latent_class_analysis(d, _it, 2, 2, most=20)))
 _li = "select *, l_orderkey * 10 + l_linenumber as id, l_extendedprice / 10000 as p from lineitem"
@@ -42,3 +42,11 @@ _lk = ["q1", "q2", "q3", "q4", "q5"]
 query("irt_grm", "fx_likert", lambda d: rounded(J.irt_grm(d.select(*[d[c].cast("double").alias(c) for c in _lk]), _lk), 2))
 query("irt_pcm", "fx_likert", lambda d: rounded(J.irt_pcm(d.select(*[d[c].cast("double").alias(c) for c in _lk]), _lk), 2))
 query("lime_explanation", _pt, lambda d: rounded(J.lime_explanation(d, "p_retailprice", ["s", "m"], "p_partkey"), 3))
+query("dbscan_clustering", _em, lambda d: density.dbscan_clustering(d, _e, "vec_id", 9.45, 5))
+ORACLE["dbscan_clustering"] = """with recursive u as (select vec_id, unnest(embedding)::double as v, unnest(range(len(embedding))) as k from embeddings),
+m as (select k, avg(v) as m, stddev_pop(v) as s from u group by k), z as materialized (select vec_id, list((v - m) / s order by k) as z from u join m using (k) group by vec_id),
+near as materialized (select a.vec_id as a, b.vec_id as b from z a join z b on list_distance(a.z, b.z) <= 9.45), c as (select a, count(*) as n from near group by a),
+core as materialized (select a from c where n >= 5), e as materialized (select near.a, b from near semi join core on core.a = near.a semi join (select a as b from core) using (b)),
+r as (select a, a as b from core union select r.a, e.b from r join e on e.a = r.b), root as (select a, min(b) as root from r group by a),
+k as (select a, dense_rank() over (order by root) - 1 as k from root), border as (select near.a, min(b) as b from near semi join (select a as b from core) using (b) anti join core on core.a = near.a group by near.a)
+select c.a as vec_id, coalesce(k.k, g.k, -1) as cluster, k.k is not null as core, n as neighbours from c left join k on k.a = c.a left join border on border.a = c.a left join k g on g.a = border.b"""

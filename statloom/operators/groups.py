@@ -6,15 +6,16 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import dist
 from ..plans import resample
 from ..plans.design import Cells
-from ..plans.frames import (clean, collect_bounded, complete, fetch, level_key, levels_of, need, num, one_row, refuse,
+from ..plans.frames import (clean, collect_bounded, complete, cut_lineage, fetch, level_key, levels_of, need, num, one_row, refuse,
                             rows_frame)
 from ..plans.gram import Gram, gram, gram_by, merge, ols, weighted_gram
-from ..plans.order import (average_ranks, concordance, cumulate, dense_rank, group_quantiles, quantiles, rank_bits,
+from ..plans.order import (average_ranks, concordance, cumulate, dense_rank, group_quantiles, in_order, near_quantile, quantiles, rank_bits, running,
                            select_ranks, with_average_rank)
 
 
@@ -630,19 +631,21 @@ def predictor(xs: Sequence[str], beta) -> "F.Column":
 def robust_regression(df: DataFrame, outcome: str, predictors: Sequence[str], tune: float = 1.345, most: int = 50) -> DataFrame:
     """Huber M-estimate by reweighting (MAD scale) beside OLS, and the exact Theil-Sen slope for one predictor."""
     xs = list(predictors)
-    d = complete(df, [outcome, *xs])
+    d = cut_lineage(complete(df, [outcome, *xs]))
     fit = ols(gram(d, [outcome, *xs]), outcome, xs)
-    beta = fit.beta
+    beta, mad, settled = fit.beta, None, False
     for _ in range(most):
         e = F.col(outcome) - predictor(xs, beta)
-        s = quantiles(d.select(F.abs(e).alias("a")), "a", [0.5])[0] / 0.6744897501960817
+        mad = near_quantile(d, F.abs(e), 0.5, mad)
+        s = mad / 0.6744897501960817
         refuse(not s, "the residual scale is zero")
         w = F.when(F.abs(e) <= tune * s, F.lit(1.0)).otherwise(F.lit(tune * s) / F.abs(e))
         new = wls(weighted_gram(d, [outcome, *xs], w)[()], outcome, xs)
-        done = np.max(np.abs(new - beta)) < 1e-8 * (1 + np.max(np.abs(beta)))
+        settled = np.max(np.abs(new - beta)) < 1e-8 * (1 + np.max(np.abs(beta)))
         beta = new
-        if done:
+        if settled:
             break
+    refuse(not settled, f"the weights do not settle in {most} rounds")
     sen = [None] * (len(xs) + 1)
     if len(xs) == 1:
         sl = theil_sen(d, xs[0], outcome)[0]
@@ -651,46 +654,101 @@ def robust_regression(df: DataFrame, outcome: str, predictors: Sequence[str], tu
                       [(t, o, h, ts) for t, o, h, ts in zip(["intercept", *xs], fit.beta, beta, sen)])
 
 
+SLOPE_BLOCK = 1 << 14      # points of neighbouring x whose pairs one task counts
+
+
+def concordant_in(xr: np.ndarray, r: np.ndarray, w: np.ndarray) -> float:
+    """Weighted pairs with xr and r in the same strict order, by the bits of xr."""
+    first = np.argsort(r, kind="stable")
+    xr, r, w = xr[first], r[first], w[first]
+    out = 0.0
+    for bit in range(int(xr.max(initial=0)).bit_length()):
+        block = xr >> (bit + 1)
+        order = np.argsort(block, kind="stable")
+        k, v, side, c = block[order], r[order], (xr[order] >> bit) & 1, w[order]
+        low = np.concatenate([[0.0], np.cumsum(np.where(side == 0, c, 0.0))[:-1]])
+        new = np.ones(len(k), bool)
+        new[1:] = k[1:] != k[:-1]
+        start = np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))
+        new[1:] |= v[1:] != v[:-1]
+        tie = np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))
+        out += float((c * (low[tie] - low[start]))[side == 1].sum())
+    return out
+
+
 def theil_sen(d: DataFrame, x: str, y: str, probs: Sequence[float] = (0.5,), fan: int = 6,
-              rtol: float = 1e-10) -> list[float]:
+              rtol: float = 1e-10, block: int = SLOPE_BLOCK) -> list[float]:
     """Exact median (or other quantiles) of all pairwise slopes with distinct x, without forming pairs.
 
-    For a candidate slope t the pairs above it are the concordant pairs of (x, y - t x), counted in n log n.
+    For a candidate slope t the pairs above it are the concordant pairs of (x, y - t x). Points are cut into blocks of
+    neighbouring x: a task counts the pairs inside a block, and pairs of different blocks are counted over the few bits of
+    the blocks' numbers. An x with more points than a block has one of its own, in which there is nothing to count.
     """
-    pts = dense_rank(d.groupBy(x, y).agg(F.count(F.lit(1)).alias("w")), x, "xr").persist()
-    try:
-        per_x = fetch(pts.groupBy(x).agg(F.sum("w").cast("double").alias("c")), n=F.sum("c"), t=F.sum(F.col("c") * (F.col("c") - 1) / 2))
-        n = per_x["n"]
-        total = n * (n - 1) / 2 - per_x["t"]
-        refuse(total <= 0, "the predictor is constant")
-        bits = rank_bits(pts, "xr")
-
-        def at_most(ts):
+    points = d.groupBy(x, y).agg(F.count(F.lit(1)).alias("w"))
+    per = running(in_order(points.groupBy(x).agg(F.count(F.lit(1)).alias("p"), F.sum("w").cast("double").alias("c")), x).withColumn("one", F.lit(1).cast("bigint")), ["p", "one"]).drop("__id")
+    per = cut_lineage(per.select(F.col(x).alias("__x"), "p", "c", F.col("one_before").alias("xr"), (2 * F.floor(F.col("p_before") / block) + F.when(F.col("p") > block, 1).otherwise(0)).alias("b")))
+    all_of = fetch(per, n=F.sum("c"), t=F.sum(F.col("c") * (F.col("c") - 1) / 2))
+    n = all_of["n"]
+    total = n * (n - 1) / 2 - all_of["t"]
+    refuse(total <= 0, "the predictor is constant")
+    named = dense_rank(per, "b", "blk").select("__x", "xr", "blk", (F.col("p") > block).alias("hot"))
+    pts = cut_lineage(points.join(named, F.col(x) == F.col("__x")).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.col("w").cast("double").alias("w"), "xr", "blk", "hot")
+                      .repartition("blk").sortWithinPartitions("blk"))
+    bits = rank_bits(pts, "blk")
+    several = pts.agg(F.max("blk")).collect()[0][0] > 0
+
+    def inside(ts):
+        def run(batches):
+            def count(part: pa.Table):
+                xr, px, py, w = (part.column(c).to_numpy() for c in ("xr", "x", "y", "w"))
+                return [concordant_in(xr - xr.min(), py - t * px, w) for t in ts]
+
+            held, at, total_of = [], None, [0.0] * len(ts)
+            for b in batches:
+                key = b.column(b.schema.get_field_index("blk")).to_numpy()
+                cuts = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
+                for lo, hi in zip(cuts, cuts[1:]):
+                    if hi > lo:
+                        if at is not None and key[lo] != at:
+                            total_of = [u + v for u, v in zip(total_of, count(pa.Table.from_batches(held)))]
+                            held = []
+                        at = key[lo]
+                        held.append(b.slice(lo, hi - lo))
+            if held:
+                total_of = [u + v for u, v in zip(total_of, count(pa.Table.from_batches(held)))]
+            yield pa.RecordBatch.from_arrays([pa.array([float(t) for t in ts]), pa.array(total_of)], ["t", "c"])
+        return pts.where("not hot").select("x", "y", "w", "xr", "blk").repartition("blk").sortWithinPartitions("blk").mapInArrow(run, "t double, c double").groupBy("t").agg(F.sum("c").alias("c"))
+
+    def at_most(ts):
+        above = {float(t): 0.0 for t in ts}
+        for r in inside(ts).collect():
+            above[r["t"]] += r["c"]
+        if several:
             e = pts.withColumn("t", F.explode(F.array(*[F.lit(float(t)) for t in ts])))
-            e = e.select("t", "xr", (F.col(y) - F.col("t") * F.col(x)).alias("r"), "w")
-            return {r["t"]: total - r["concordant"] for r in concordance(e, "xr", "r", "w", ["t"], bits).collect()}
-
-        ranks = sorted({f(p * (total - 1)) + 1 for p in probs for f in (math.floor, math.ceil)})
-        # Start around the least-squares slope and widen until every rank is inside.
-        g = gram(d, [x, y])
-        slope = g.cross[0, 1] / g.cross[0, 0]
-        step = 4 * math.sqrt(max(g.cross[1, 1] - slope * g.cross[0, 1], 1e-300) / (g.n - 1) / g.cross[0, 0]) + 1e-12
+            e = e.groupBy("t", "blk", (F.col("y") - F.col("t") * F.col("x")).alias("r")).agg(F.sum("w").alias("w"))
+            for r in concordance(e, "blk", "r", "w", ["t"], bits).collect():
+                above[r["t"]] += r["concordant"]
+        return {t: total - c for t, c in above.items()}
+
+    ranks = sorted({f(p * (total - 1)) + 1 for p in probs for f in (math.floor, math.ceil)})
+    # Start around the least-squares slope and widen until every rank is inside.
+    g = gram(d, [x, y])
+    slope = g.cross[0, 1] / g.cross[0, 0]
+    step = 4 * math.sqrt(max(g.cross[1, 1] - slope * g.cross[0, 1], 1e-300) / (g.n - 1) / g.cross[0, 0]) + 1e-12
+    lo, hi = slope - step, slope + step
+    while True:
+        c = at_most([lo, hi])
+        if c[lo] < ranks[0] and c[hi] >= ranks[-1]:
+            break
+        step *= 16
         lo, hi = slope - step, slope + step
-        while True:
-            c = at_most([lo, hi])
-            if c[lo] < ranks[0] and c[hi] >= ranks[-1]:
-                break
-            step *= 16
-            lo, hi = slope - step, slope + step
-        got = select_ranks(at_most, ranks, lo, hi, fan, rtol)
-        out = []
-        for p in probs:
-            h = p * (total - 1)
-            a, b = got[math.floor(h) + 1], got[math.ceil(h) + 1]
-            out.append(a + (h - math.floor(h)) * (b - a))
-        return out
-    finally:
-        pts.unpersist()
+    got = select_ranks(at_most, ranks, lo, hi, fan, rtol, (c[lo], c[hi]))
+    out = []
+    for p in probs:
+        h = p * (total - 1)
+        a, b = got[math.floor(h) + 1], got[math.ceil(h) + 1]
+        out.append(a + (h - math.floor(h)) * (b - a))
+    return out
 
 
 def quantile_fit(d: DataFrame, y: str, xs: Sequence[str], tau: float, most: int = 60) -> np.ndarray:

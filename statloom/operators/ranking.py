@@ -13,7 +13,7 @@ from ..functions import dist
 from ..plans.design import Cells
 from ..plans.frames import (collect_bounded, complete, cut_lineage, fetch, level_key, need, num, one_row, refuse, rows_frame)
 from ..plans.gram import gram, weighted_gram
-from ..plans.order import cumulate, range_bounds, range_id, sorted_position, value_counts, with_average_rank
+from ..plans.order import average_ranks, cumulate, range_bounds, range_id, sorted_position, value_counts
 from ..plans.series import blocks
 
 
@@ -233,16 +233,22 @@ def rfm_segmentation(df: DataFrame, customer: str, date: str, amount: str) -> Da
     t = d.groupBy(customer).agg(F.max(date).alias("last"), F.count(F.lit(1)).alias("frequency"), F.sum(num(amount)).alias("monetary"))
     t = t.crossJoin(F.broadcast(ref)).select(customer, F.datediff("__ref", "last").cast("bigint").alias("recency_days"), "frequency",
                                              F.coalesce("monetary", F.lit(0.0)).alias("monetary"))
-    n = F.broadcast(t.agg(F.count(F.lit(1)).alias("__n")))
-    for c in ("recency_days", "frequency", "monetary"):
-        t = with_average_rank(t, c, f"__r_{c}")
-    t = t.crossJoin(n)
+    t = cut_lineage(t)
+    # All three rankings in one scan. A score follows the value, so each column's scores are told by four values.
+    names = ("recency_days", "frequency", "monetary")
+    long = t.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in names])).alias("s")).select("s.*")
+    n = t.count()
+    ranked = average_ranks(long, "v", ["column"]).withColumn("score", F.least(F.greatest(F.ceil(F.col("avg_rank") * 5 / F.lit(n)), F.lit(1)), F.lit(5)).cast("bigint"))
+    tops = {(r["column"], r["score"]): r["top"] for r in collect_bounded(ranked.groupBy("column", "score").agg(F.max("v").alias("top")), "scores")}
 
     def score(c):
-        return F.least(F.greatest(F.ceil(F.col(f"__r_{c}") * 5 / F.col("__n")), F.lit(1)), F.lit(5)).cast("bigint")
+        steps = sorted((k, v) for (column, k), v in tops.items() if column == c)
+        out = F.lit(steps[-1][0] if steps else 1)
+        for k, v in reversed(steps[:-1]):
+            out = F.when(F.col(c) <= F.lit(float(v)), F.lit(k)).otherwise(out)
+        return out.cast("bigint")
 
-    t = t.select(customer, "recency_days", "frequency", "monetary", (6 - score("recency_days")).alias("r_score"),
-                 score("frequency").alias("f_score"), score("monetary").alias("m_score"))
+    t = t.select(customer, *names, (6 - score("recency_days")).alias("r_score"), score("frequency").alias("f_score"), score("monetary").alias("m_score"))
     r, fm = F.col("r_score"), (F.col("f_score") + F.col("m_score")) / 2
     # Segment names and their first-hit rules.
     seg = (F.when((r >= 4) & (fm >= 4), "Champions").when((r <= 1) & (fm >= 4), "Cant Lose Them")

@@ -12,24 +12,26 @@ from ..functions import dist
 from ..functions.special import norm_logcdf, norm_logpdf, softplus
 from ..plans.frames import collect_bounded, complete, fetch, level_key, levels_of, need, num, one_row, refuse, rows_frame
 from ..plans.mle import fit_mle
-from ..plans.order import cumulate, quantiles
+from ..plans.order import cumulate, in_order, quantiles, running, same_keys
 from .describe import weibull_shape
 
 
 def event_table(df: DataFrame, duration: str, event: Column, keys: Sequence[str] = (), **more: Column) -> DataFrame:
-    """Per key and time: events `d`, censored `c`, number at risk, Kaplan-Meier survival before and after."""
+    """Per key and time: events `d`, censored `c`, number at risk, Kaplan-Meier survival before and after, in the order of `__id`."""
     keys = list(keys)
     d = df.withColumn("__e", event).where((F.col(duration) > 0) & F.col("__e").isNotNull())
     g = d.groupBy(*keys, F.col(duration).cast("double").alias("t")).agg(F.sum(F.when(F.col("__e") > 0, 1).otherwise(0)).alias("d"), F.count(F.lit(1)).alias("m"),
                                                                         *[F.sum(c).alias(k) for k, c in more.items()])
-    # at risk: rows of the key at this time or later
-    r = cumulate(g, "t", ["m"], keys, descending=True).withColumn("at_risk", F.col("m") + F.col("m_before")).drop("m_before")
+    # at risk: rows of the key at this time or later, that is all but the earlier ones
+    size = g.groupBy(*keys).agg(F.sum("m").alias("__size"))
+    g = same_keys(g, size, keys) if keys else g.crossJoin(F.broadcast(size))      # one row
+    r = running(in_order(g, "t", keys), ["m"], keys).withColumn("at_risk", F.col("__size") - F.col("m_before")).drop("m_before", "__size")
     dead = F.col("d") >= F.col("at_risk")
     r = r.withColumn("__l", F.when(dead, F.lit(0.0)).otherwise(F.log1p(-F.col("d") / F.col("at_risk")))).withColumn("__z", F.when(dead, 1).otherwise(0))
-    c = cumulate(r, "t", ["__l", "__z"], keys)
+    c = running(r, ["__l", "__z"], keys)
     before = F.when(F.col("__z_before") > 0, 0.0).otherwise(F.exp(F.col("__l_before")))
     after = F.when(F.col("__z_before") + F.col("__z") > 0, 0.0).otherwise(F.exp(F.col("__l_before") + F.col("__l")))
-    return c.select(*keys, "t", "d", (F.col("m") - F.col("d")).alias("c"), "at_risk", before.alias("s_before"), after.alias("s"), *more)
+    return c.select(*keys, "t", "d", (F.col("m") - F.col("d")).alias("c"), "at_risk", before.alias("s_before"), after.alias("s"), *more, "__id")
 
 
 def kaplan_meier(df: DataFrame, duration: str, event: str, group: str | None = None) -> DataFrame:
@@ -189,10 +191,8 @@ def competing_risks(df: DataFrame, duration: str, status: str, group: str, event
     s = num(status)
     t = event_table(df, duration, s, [group], dk=F.when(s == event_of_interest, 1).otherwise(0))
     t = t.withColumn("inc", F.col("s_before") * F.col("dk") / F.col("at_risk"))
-    c = cumulate(t, "t", ["inc"], [group]).withColumn("cif", F.col("inc_before") + F.col("inc"))
+    c = running(t, ["inc"], [group]).withColumn("cif", F.col("inc_before") + F.col("inc"))
     qs = quantiles(df, duration, [0.2, 0.4, 0.6, 0.8, 1.0])
-    at = F.explode(F.array(*[F.struct(F.lit(p).alias("q"), F.max(F.when(F.col("t") <= F.lit(v), F.col("cif"))).alias("cif"), F.lit(v).alias("time"))
-                             for p, v in zip((0.2, 0.4, 0.6, 0.8, 1.0), qs)]))
     g = c.groupBy(group).agg(F.array(*[F.struct(F.lit(p).alias("q"), F.lit(float(v)).alias("time"), F.max(F.when(F.col("t") <= F.lit(float(v)), F.col("cif"))).alias("cif"))
                                        for p, v in zip((0.2, 0.4, 0.6, 0.8, 1.0), qs)]).alias("a"))
     return g.select(F.col(group).cast("string").alias("level"), F.explode("a").alias("s")).select("level", "s.q", "s.time", F.coalesce("s.cif", F.lit(0.0)).alias("cif"))

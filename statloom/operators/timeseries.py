@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import dist
-from ..plans.frames import complete, fetch, need, num, one_row, refuse, rows_frame
+from ..plans.frames import complete, cut_lineage, fetch, need, num, one_row, refuse, rows_frame
 from ..plans.gram import Gram, gram, ols
 from ..plans.mle import fit_mle
 from ..plans.order import concordance, quantiles
@@ -381,7 +381,7 @@ def returns_of(df: DataFrame, value: str, order: str, is_returns: bool | None =
 
 def value_at_risk(df: DataFrame, value: str, order: str, is_returns: bool | None = None, alphas: Sequence[float] = (0.95, 0.99)) -> DataFrame:
     """Historical, Gaussian and Cornish-Fisher VaR with expected shortfall of losses."""
-    d = returns_of(df, value, order, is_returns).select((-F.col("r")).alias("l"))
+    d = cut_lineage(returns_of(df, value, order, is_returns).select((-F.col("r")).alias("l")))
     s = fetch(d, n=F.count(F.lit(1)), m=F.avg("l"), sd=F.stddev_samp("l"))
     n, m, sd = s["n"], s["m"], s["sd"]
     refuse(n < 30 or not sd, "thirty returns that vary are needed")
@@ -390,13 +390,14 @@ def value_at_risk(df: DataFrame, value: str, order: str, is_returns: bool | None
     g1, g2 = p["m3"] / p["m2"] ** 1.5, p["m4"] / p["m2"] ** 2 - 3
     sk = math.sqrt(n * (n - 1)) / (n - 2) * g1
     ku = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6)
-    rows = []
+    points = []
     for a, hv in zip(alphas, quantiles(d, "l", alphas)):
         z = dist.norm_ppf(a)
         zc = z + (z * z - 1) * sk / 6 + (z ** 3 - 3 * z) * ku / 24 - (2 * z ** 3 - 5 * z) * sk * sk / 36
-        cf = m + sd * zc
-        t = fetch(d, h=F.avg(F.when(F.col("l") >= F.lit(hv), F.col("l"))), c=F.avg(F.when(F.col("l") >= F.lit(cf), F.col("l"))))
-        rows.append((float(a), int(n), hv, t["h"], m + sd * z, m + sd * dist.norm_pdf(z) / (1 - a), cf, t["c"], sk, ku))
+        points.append((a, z, hv, m + sd * zc))
+    beyond = lambda v: F.avg(F.when(F.col("l") >= F.lit(v), F.col("l")))
+    t = fetch(d, **{f"h{i}": beyond(hv) for i, (_, _, hv, _) in enumerate(points)}, **{f"c{i}": beyond(cf) for i, (_, _, _, cf) in enumerate(points)})
+    rows = [(float(a), int(n), hv, t[f"h{i}"], m + sd * z, m + sd * dist.norm_pdf(z) / (1 - a), cf, t[f"c{i}"], sk, ku) for i, (a, z, hv, cf) in enumerate(points)]
     return rows_frame(df.sparkSession, "alpha double, n bigint, var_historical double, es_historical double, var_gaussian double, es_gaussian double, var_cornish_fisher double, es_cornish_fisher double, skewness double, excess_kurtosis double", rows)
 
 

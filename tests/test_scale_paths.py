@@ -14,10 +14,37 @@ def test_cumulate_and_extremes(tab):
     for desc in (False, True):
         w = Window.partitionBy("l_returnflag").orderBy(F.desc("l_extendedprice") if desc else F.asc("l_extendedprice")).rowsBetween(Window.unboundedPreceding, -1)
         a = d.select("*", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("n_before"), F.max("m").over(w).alias("m_maxbefore"))
-        b = order.cumulate(d, "l_extendedprice", ["n"], ["l_returnflag"], ranges=7, extremes=["m"], descending=desc)
+        b = order.cumulate(d, "l_extendedprice", ["n"], ["l_returnflag"], extremes=["m"], descending=desc)
         assert rows(a) == rows(b.select(*a.columns))
 
 
+def test_running_over_many_tasks_and_batches(spark):
+    """Keys that span tasks and batches, keys of one row, null keys and values; a second pass over what the first gave."""
+    data = [(None if k == 7 else "hot" if k < 3 else f"k{k}", i, None if i % 11 == 0 else i % 5, None if i % 13 == 0 else (i * 37 % 101) / 4) for i in range(900) for k in (i % 9,)] + [("once", 1, 2, 3.0)]
+    d = spark.createDataFrame(data, "k string, t int, n int, x double")
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.execution.arrow.maxRecordsPerBatch": "7", "spark.sql.shuffle.partitions": "9"}
+    old = {c: spark.conf.get(c) for c in conf}
+    try:
+        for c, v in conf.items():
+            spark.conf.set(c, v)
+        for keys in ([], ["k"]):
+            for desc in (False, True):
+                w = Window.partitionBy(*keys).orderBy(F.desc("t") if desc else F.asc("t"), "k").rowsBetween(Window.unboundedPreceding, -1)
+                got = order.cumulate(d if keys else d.where("k = 'hot'"), "t", ["n", "x"], keys, ["x", "n"], desc)
+                want = (d if keys else d.where("k = 'hot'")).select("*", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("n_before"), F.coalesce(F.sum("x").over(w), F.lit(0.0)).alias("x_before"),
+                                                                   F.max("x").over(w).alias("x_maxbefore"), F.max("n").over(w).alias("n_maxbefore"))
+                assert rows(got.select(*want.columns)) == rows(want)
+        one = order.running(order.in_order(d, "t", ["k"]), ["n"], ["k"])
+        two = order.running(one.withColumn("m", F.col("n_before") * 2), ["m"], ["k"]).drop("__id")
+        w = Window.partitionBy("k").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
+        a = d.withColumn("n_before", F.coalesce(F.sum("n").over(w), F.lit(0))).withColumn("m", F.col("n_before") * 2).withColumn("m_before", F.coalesce(F.sum("m").over(w), F.lit(0)))
+        assert rows(two.select(*a.columns)) == rows(a)
+        assert order.cumulate(d.limit(0), "t", ["n"], ["k"]).collect() == []
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
+
+
 def test_ranks_positions_quantiles(tab):
     d = tab("orders").select(F.floor(F.col("o_totalprice") / 10000).cast("double").alias("l_quantity"), F.col("o_orderstatus").alias("l_returnflag"), F.col("o_orderkey").alias("id"))
     same = Window.partitionBy("l_quantity")
