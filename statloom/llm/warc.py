@@ -21,6 +21,7 @@ from ..plans.frames import need
 from .text import bounded
 
 VERSION = "WARC/1.1"
+SOURCE_HEADER, SOURCE_DIGEST = "X-Source-Header", "X-Source-Payload-Digest"      # extension fields of derived records
 #: Elements whose content is no text, tags that may stand in a head, and elements that begin a new line.
 HIDDEN = "noscript|template|iframe|svg"
 IN_HEAD = "title|meta|link|base|basefont|bgsound"
@@ -122,21 +123,68 @@ def derive(source: DataFrame, keep: tuple[str, ...] = ("page_id",)) -> DataFrame
 
 
 def as_record() -> Column:
-    """A derived record as WARC text, without the two line ends that close it."""
+    """A derived record as WARC text, without the two line ends that close it.
+
+    The source's headers go along as one field for each of their lines, its payload digest as another.
+    """
     field = lambda name, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{name}: "), F.col(c).cast("string"), F.lit("\r\n"))).otherwise(F.lit(""))
+    lines = F.filter(F.split(F.coalesce("source_headers", F.lit("")), "[\r\n]+"), lambda x: F.trim(x) != "")
+    source = F.array_join(F.transform(lines, lambda x: F.concat(F.lit(f"{SOURCE_HEADER}: "), x, F.lit("\r\n"))), "")
     return F.concat(F.lit(f"{VERSION}\r\n"), field("WARC-Type", "record_type"), field("WARC-Record-ID", "record_id"), field("WARC-Refers-To", "refers_to"), field("WARC-Target-URI", "target_uri"), field("WARC-Date", "date"),
-                    field("WARC-Block-Digest", "block_digest"), field("Content-Type", "content_type"), field("Content-Length", "length"), F.lit("\r\n"), F.col("block"))
+                    field("WARC-Block-Digest", "block_digest"), field(SOURCE_DIGEST, "source_digest"), source, field("Content-Type", "content_type"), field("Content-Length", "length"), F.lit("\r\n"), F.col("block"))
 
 
 def write_warc(records: DataFrame, path: str) -> None:
-    """One gzip file of records per partition."""
+    """One gzip file of records per partition; rows as in `derive`, an empty table writes no record."""
     records.select(as_record().alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").mode("overwrite").text(path)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of WARC files as (header map<string,string>, block): the files are split where a version line starts."""
-    rows = spark.read.option("lineSep", f"{VERSION}\r\n").text(path).where("length(value) > 0")
-    cut = F.instr("value", "\r\n\r\n")
-    header = F.expr("map_from_entries(transform(filter(split(substring(value, 1, instr(value, '\\r\\n\\r\\n') - 1), '\\r\\n'), l -> instr(l, ':') > 0), l -> struct(lower(substring_index(l, ':', 1)) as k, ltrim(substring(l, instr(l, ':') + 1)) as v)))")
-    block = F.expr("substring(value, instr(value, '\\r\\n\\r\\n') + 4)")
-    return rows.where(cut > 0).select(header.alias("header"), F.regexp_replace(block, "\r\n\r\n$", "").alias("block"))
+    """Records of gzipped WARC files: headers (array of name and value, in order), header (map by lower-case name) and block.
+
+    A record is as long as its Content-Length says, whatever its block holds: files are cut at version lines, and a piece
+    that is shorter goes on with the next ones. A header that stands more than once is kept as often in `headers`, and
+    joined by ", " in `header`. A record without a length ends at the next version line. Bytes that are no UTF-8 are
+    replaced. Empty files give no rows.
+    """
+    mark = f"{VERSION}\r\n"
+    pieces = spark.read.option("lineSep", mark).text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    fields = "headers array<struct<name:string,value:string>>, header map<string,string>, block string"
+    schema = pa.schema([("headers", pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))), ("header", pa.map_(pa.string(), pa.string())), ("block", pa.string())])
+
+    def record(text: str):
+        head, _, block = text.partition("\r\n\r\n")
+        headers = [(k.strip(), v.strip()) for k, c, v in (line.partition(":") for line in head.split("\r\n")) if c]
+        size = next((int(v) for k, v in headers if k.lower() == "content-length" and v.isdigit()), None)
+        return headers, block, size
+
+    def done(headers, block, size):
+        raw = block.encode("utf-8", "replace")
+        block = raw[:size].decode("utf-8", "replace") if size is not None else block.removesuffix("\r\n\r\n")
+        by: dict[str, str] = {}
+        for k, v in headers:
+            by[k.lower()] = f"{by[k.lower()]}, {v}" if k.lower() in by else v
+        return {"headers": [{"name": k, "value": v} for k, v in headers], "header": list(by.items()), "block": block}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, now, headers, size, have = [], None, None, None, 0
+        for b in bounded(batches, "value"):
+            rows = []
+            for text, file in zip(*(c.to_pylist() for c in b.columns)):
+                if parts and file == now and size is not None and have < size:
+                    parts.append(mark + text)
+                    have += len((mark + text).encode("utf-8", "replace"))
+                    continue
+                if parts:
+                    rows.append(done(headers, "".join(parts), size))
+                    parts = []
+                now = file
+                if text and "\r\n\r\n" in text:
+                    headers, block, size = record(text)
+                    parts, have = [block], len(block.encode("utf-8", "replace"))
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+        if parts:
+            yield pa.RecordBatch.from_pylist([done(headers, "".join(parts), size)], schema=schema)
+
+    return pieces.mapInArrow(run, fields)

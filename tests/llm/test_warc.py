@@ -49,3 +49,24 @@ def test_open_heads_and_comment_marks():
         assert "title: T <!-- t\r\n" in metadata(page.format(rest), None, "") and "outlink: /y\r\n" in metadata(page.format(rest), None, "")
     assert plain_text("<script>var s = '<!-- ';</script>One<style>/* <!-- */</style> two") == "One two"
     assert plain_text("a<!-- <script> --> b<!-- </script> --> c") == "a b c"
+
+
+def test_blocks_with_version_lines_and_repeated_headers(spark):
+    """A title that looks like a record's start, source headers that stand twice: a written file gives all of it back."""
+    page = "<title>WARC/1.1\r\nWARC-Type: no</title><p>a</p><pre>WARC/1.1\r\n\r\nb</pre>"
+    rows = [(1, "http://a/", page, "HTTP/1.1 200 OK\r\nSet-Cookie: a=1\r\nSet-Cookie: b=2"), (2, "http://b/", "é" * 1000, None), (3, None, None, "X: \"WARC/1.1\"")]
+    d = spark.createDataFrame(rows, "page_id long, target_uri string, payload string, headers string").withColumns({"record_id": F.concat(F.lit("<urn:"), F.col("page_id"), F.lit(">")), "date": F.lit("2024-01-01T00:00:00Z")})
+    made = derive(d).coalesce(1)
+    # A block that holds a whole record.
+    made = made.withColumn("block", F.when((F.col("page_id") == 2) & (F.col("record_type") == "metadata"), F.lit("x\r\nWARC/1.1\r\nContent-Length: 0\r\n\r\ny")).otherwise(F.col("block"))).withColumn("length", F.octet_length("block").cast("bigint"))
+    path = tempfile.mkdtemp(prefix="spark-") + "/warc"
+    write_warc(made, path)
+    want = {(r["record_id"]): r for r in made.collect()}
+    got = {r["header"]["warc-record-id"]: r for r in read_warc(spark, path).collect()}
+    assert got.keys() == want.keys()
+    for k, r in got.items():
+        assert r["block"] == want[k]["block"] and r["header"]["x-source-payload-digest"] == want[k]["source_digest"]
+        lines = [h["value"] for h in r["headers"] if h["name"] == "X-Source-Header"]
+        assert lines == [x for x in (want[k]["source_headers"] or "").split("\r\n") if x]
+    write_warc(made.limit(0), path)
+    assert read_warc(spark, path).collect() == []
