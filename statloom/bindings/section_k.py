@@ -62,7 +62,7 @@ query("network_analysis", "fx_edges", lambda d: rounded(N.network_analysis(d, "s
 # Sparse graph: suppliers linked to customers of the same nation with an order between them.
 _bip = "select l_suppkey as src, 1000000 + o_custkey as dst, count(*) as wt from lineitem join orders on l_orderkey = o_orderkey group by l_suppkey, o_custkey"
 query("path_lengths", _bip, lambda d: rounded(N.path_lengths(d, "src", "dst")))
-query("centrality_suite", "fx_edges", lambda d: rounded(N.centrality_suite(d, "src", "dst", "wt"), 6))
+query("centrality_suite", "fx_edges", lambda d: rounded(N.centrality_suite(d, "src", "dst", "wt", between=False), 6))
 query("community_detection", "fx_edges", lambda d: rounded(N.community_detection(d, "src", "dst", "wt")))
 _lab = "select p_partkey as u, p_size % 5 as label from part"
 query("stochastic_block_model", "fx_edges", lambda d, lab: rounded(N.stochastic_block_model(d, "src", "dst", lab), 4),
@@ -82,3 +82,6 @@ _lp = """with e as (select distinct src a, dst b from src), h as (select a x, b
  r as (select n, l, rank() over (partition by n order by round(v, 10)) + (count(*) over (partition by n, round(v, 10)) - 1) / 2.0 r from v)"""
 query("link_prediction", "fx_edges", lambda d: rounded(N.link_prediction(d, "src", "dst"), 6),
       _lp + f" select n as score, cast(sum(l) as bigint) as held_out, count(*) - cast(sum(l) as bigint) as non_edges, {q('(sum(case when l = 1 then r else 0 end) - sum(l) * (sum(l) + 1) / 2.0) / (sum(l) * (count(*) - sum(l)))', 'auc', 6)} from r group by n")
+_supply = "select l_suppkey as src, 1000000 + l_partkey as dst, count(*) as wt from lineitem group by l_suppkey, l_partkey"
+query("betweenness", _supply, lambda d: rounded(N.betweenness(N.undirected(d, "src", "dst")).withColumnRenamed("u", "node"), 8))
+query("centrality_correlations", _supply, lambda d: rounded(N.rank_correlations(N.centrality_suite(d, "src", "dst", "wt"), ["degree_centrality", "pagerank", "eigenvector", "closeness", "betweenness"])))

@@ -503,54 +503,44 @@ def material_flow_shares(df: DataFrame, inputs: Sequence[str], outputs: Sequence
     return t.withColumn("share_pct", F.try_divide(F.col("value") * 100, F.sum("value").over(Window.partitionBy("type"))))
 
 
-def input_output_analysis(df: DataFrame, source: str, target: str, flow: str, final_demand: DataFrame, tol: float = 1e-10, most: int = 200,
-                          dense_limit: int = 20_000) -> DataFrame:
+def input_output_analysis(df: DataFrame, source: str, target: str, flow: str, final_demand: DataFrame, tol: float = 1e-12, most: int = 5000) -> DataFrame:
     """Leontief output for a final demand, output multipliers and linkages of a sparse flow table.
 
-    `final_demand` has (sector, demand). Small tables are solved from their collected cells; larger ones by the
-    power series f + A f + A^2 f + ..., one sparse product per step, with checkpoints.
+    `final_demand` has (sector, demand). The inverse is the power series f + A f + A^2 f + ..., one sparse product per step
+    for outputs and forward linkages together and one for multipliers, until what is still to come is below `tol` of the
+    sum (told from the last ratio of terms). A table whose series does not settle has no such solution and is refused.
     """
     z = df.groupBy(F.col(source).alias("i"), F.col(target).alias("j")).agg(F.sum(num(flow)).alias("z"))
     f = final_demand.toDF("k", "f")
     x = z.groupBy("i").agg(F.sum("z").alias("z")).join(f, F.col("i") == F.col("k"), "full").select(
         F.coalesce("i", "k").alias("k"), (F.coalesce("z", F.lit(0.0)) + F.coalesce("f", F.lit(0.0))).alias("x"), F.coalesce("f", F.lit(0.0)).alias("f"))
-    a = z.join(x.select(F.col("k").alias("j"), "x"), "j").select("i", "j", (F.col("z") / F.col("x")).alias("a"))
-    cells = a.limit(dense_limit + 1).collect()
-    xs = x.collect() if len(cells) <= dense_limit else None
-    if xs is not None:
-        ks = sorted([r["k"] for r in xs], key=level_key)
-        ix = {k: i for i, k in enumerate(ks)}
-        m = np.zeros((len(ks),) * 2)
-        for r in cells:
-            m[ix[r["i"]], ix[r["j"]]] = r["a"]
-        inv = np.linalg.inv(np.eye(len(ks)) - m)
-        fd = np.zeros(len(ks))
-        for r in xs:
-            fd[ix[r["k"]]] = r["f"]
-        out, mult, fwd = inv @ fd, inv.sum(0), inv.sum(1)
-        rows = [(str(k), float(fd[i]), float(out[i]), float(mult[i]), float(mult[i] / mult.mean()), float(fwd[i] / fwd.mean())) for i, k in enumerate(ks)]
-        return rows_frame(df.sparkSession, "sector string, demand double, output double, multiplier double, backward double, forward double", rows)
-    a = cut_lineage(a)
-    base = x.select("k", "f")
-
-    def series(start: DataFrame, forward: bool) -> DataFrame:
-        tot = term = cut_lineage(start.toDF("k", "v"))
-        for step in range(most):
-            on, to = ("j", "i") if forward else ("i", "j")
-            term = a.join(term, F.col(on) == F.col("k")).groupBy(F.col(to).alias("k")).agg(F.sum(F.col("a") * F.col("v")).alias("v"))
-            if step % 8 == 7:
-                term = cut_lineage(term)
+    a = cut_lineage(z.join(x.select(F.col("k").alias("j"), "x"), "j").select("i", "j", (F.col("z") / F.col("x")).alias("a")))
+    base = cut_lineage(x.select("k", "f", F.lit(1.0).alias("one")))
+
+    def series(cols: Sequence[str], on: str, to: str) -> DataFrame:
+        tot = term = base.select("k", *cols)
+        size = None
+        for step in range(1, most + 1):
+            term = a.join(term, F.col(on) == F.col("k")).groupBy(F.col(to).alias("k")).agg(*[F.sum(F.col("a") * F.col(c)).alias(c) for c in cols])
             tot = tot.unionByName(term)
-            if step % 8 == 7:
-                tot = cut_lineage(tot.groupBy("k").agg(F.sum("v").alias("v")))
-                if (term.agg(F.max(F.abs("v"))).collect()[0][0] or 0.0) < tol:
-                    break
-        return tot.groupBy("k").agg(F.sum("v").alias("v"))
-
-    ones = base.select("k", F.lit(1.0).alias("v"))
-    o, mu, fw = series(base, True), series(ones, False), series(ones, True)
-    avg = mu.agg(F.avg("v").alias("m")).crossJoin(fw.agg(F.avg("v").alias("w")))
-    return (base.join(o.toDF("k", "output"), "k").join(mu.toDF("k", "multiplier"), "k").join(fw.toDF("k", "__fw"), "k").crossJoin(F.broadcast(avg))
+            if step % 8 == 0:
+                term = cut_lineage(term)
+                tot = cut_lineage(tot.groupBy("k").agg(*[F.sum(c).alias(c) for c in cols]))
+                now = fetch(term, **{c: F.max(F.abs(c)) for c in cols})
+                whole = fetch(tot, **{c: F.max(F.abs(c)) for c in cols})
+                new = [now[c] or 0.0 for c in cols]
+                ratio = max([(v / w) ** 0.125 for v, w in zip(new, size) if w] or [0.0]) if size else 0.0
+                refuse(ratio > 1 + 1e-9 or any(not math.isfinite(v) for v in new), "the flows have no Leontief inverse: the series grows")
+                rest = [v * ratio / (1 - ratio) if 0 < ratio < 1 else v for v in new]
+                if all(r <= tol * max(whole[c] or 0.0, 1e-300) for r, c in zip(rest, cols)):
+                    return tot
+                size = new
+        refuse(True, f"the series of the flows does not settle in {most} steps")
+
+    forward = series(["f", "one"], "j", "i").select("k", F.col("f").alias("output"), F.col("one").alias("__fw"))
+    multiplier = series(["one"], "i", "j").select("k", F.col("one").alias("multiplier"))
+    avg = multiplier.agg(F.avg("multiplier").alias("m")).crossJoin(forward.agg(F.avg("__fw").alias("w")))        # one row
+    return (base.join(forward, "k").join(multiplier, "k").crossJoin(F.broadcast(avg))
             .select(F.col("k").cast("string").alias("sector"), F.col("f").alias("demand"), "output", "multiplier", (F.col("multiplier") / F.col("m")).alias("backward"),
                     (F.col("__fw") / F.col("w")).alias("forward")))
 

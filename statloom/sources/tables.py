@@ -38,13 +38,16 @@ def sniff(spark: SparkSession, path: str) -> tuple[str, str]:
 
 
 def read_delimited(spark: SparkSession, path: str) -> DataFrame:
-    """Header file as strings, byte-order mark removed from the first name.
+    """Header file as strings, byte-order mark removed from the first name; cells may hold quoted line breaks.
 
     Spark's reader knows UTF-8 and Latin-1; a file in another encoding is read byte by byte and decoded cell by cell.
     """
     enc, sep = sniff(spark, path)
     native = {"utf-8": "utf-8", "latin-1": "iso-8859-1"}.get(enc)
-    df = spark.read.option("header", True).option("sep", sep).option("encoding", native or "iso-8859-1").option("escape", '"').option("multiLine", False).csv(path)
+    # A quoted line break leaves a line with an odd number of quotes. Only then is a file read as a whole, else in splits.
+    lines = spark.read.option("encoding", native or "iso-8859-1").text(path)
+    broken = not lines.where("length(value) % 2 <> length(replace(value, '\"', '')) % 2").isEmpty()
+    df = spark.read.option("header", True).option("sep", sep).option("encoding", native or "iso-8859-1").option("escape", '"').option("multiLine", broken).csv(path)
     if native is None:
         def again(cells: pd.Series) -> pd.Series:
             return cells.map(lambda v: None if v is None else v.encode("latin-1").decode(enc, "replace"))
