@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import profile as P, recommend as R
 from ..sources import tables as S
-from .tables import q, qs, query, rounded
+from .tables import FX, q, qs, query, rounded
 
 query("profile", "orders", lambda d: rounded(P.profile(d)),
       "with n as (select count(*) n from src) " + " union all ".join(
@@ -27,3 +27,8 @@ query("manifest", "orders", lambda d: S.manifest(d, "profile", {"k": 1}).select(
 query("check_preconditions", "fx_panel", lambda d: R.check_preconditions(d).select("id", F.array_join("unmet", ", ").alias("unmet")))
 query("recommend", "fx_panel", lambda d: R.recommend(d))
 query("select_top", "fx_panel", lambda d: R.select_top(d))
+_ever = f"select *, case when g > 0 then 1 else 0 end as ever, case when period >= 1998 then 1 else 0 end as late from ({FX['fx_panel']})"
+query("pick_did_treatment", _ever, lambda d: rounded(P.pick_did_treatment(d, "unit", ["ever", "treated", "late"]), 6),
+      f"""with v as (select unit, (min(ever) <> max(ever))::int a, (min(treated) <> max(treated))::int b, (min(late) <> max(late))::int c from src group by unit), s as (select avg(a) a, avg(b) b, avg(c) c from v)
+      select column_name as "column", {q('x', 'share_varying', 6)}, x > 0 and k = first_value(k) over (order by x desc, k) as picked from (select 'ever' as column_name, a as x, 1 as k from s union all select 'treated', b, 2 from s union all select 'late', c, 3 from s)""")
+query("resolve_outcome", "fx_treat", lambda d: d.sparkSession.createDataFrame([(P.resolve_outcome(d, ["x1", "x2", "y"]), ",".join(P.resolve_predictors(d, "y")))], "outcome string, predictors string"))

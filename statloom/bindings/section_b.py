@@ -131,7 +131,7 @@ query("friedman_test", "fx_likert", lambda d: rounded(B.friedman_test(_lkd(d), "
       n as (select count(*)::double n from src), f as (select (12 / (n * 30) * s2 - 18 * n) / (1 - t / (n * 120)) qv, n from s, t, n)
       select cast(n as bigint) as n, cast(5 as bigint) as conditions, {qs(q='qv', kendall_w='qv / (n * 4)')} from f""")
 query("permutation_test", "orders", lambda d: rounded(B.permutation_test(d, "o_totalprice", "o_orderpriority", "o_orderkey", 199)))
-query("bootstrap_ci", "orders", lambda d: rounded(B.bootstrap_ci(d, "o_totalprice", "o_orderkey", "mean", n_boot=500)))
+query("bootstrap_ci", "orders", lambda d: rounded(B.bootstrap_ci(d, "o_totalprice", "o_orderkey", "mean")))
 query("robust_regression", "lineitem", lambda d: rounded(B.robust_regression(d, "l_extendedprice", ["l_quantity"])))
 query("quantile_regression", "lineitem", lambda d: rounded(B.quantile_regression(d, "l_extendedprice", ["l_quantity"], [0.5]), 2))
 

@@ -11,7 +11,7 @@ query("kmeans_clustering", _em, lambda d: rounded(J.kmeans_clustering(d, _e, 3))
 query("gaussian_mixture", _em, lambda d: rounded(J.gaussian_mixture(d, _e, 3)))
 query("latent_profile_analysis", _em, lambda d: rounded(J.latent_profile_analysis(d, _e, 2, 3)))
 _it = ["i1", "i2", "i3", "i4", "i5", "i6"]
-query("latent_class_analysis", "fx_items", lambda d: rounded(J.latent_class_analysis(d, _it, 2, 2, most=20)))
+query("latent_class_analysis", "fx_items", lambda d: rounded(J.latent_class_analysis(d, _it)))
 _li = "select *, l_orderkey * 10 + l_linenumber as id, l_extendedprice / 10000 as p from lineitem"
 _x = ["l_quantity", "l_discount", "l_tax"]
 query("mahalanobis_outliers", _li, lambda d: rounded(J.mahalanobis_outliers(d, ["p", "l_quantity"], "id").select("id", "classical_distance", "classical_outlier"), 5),

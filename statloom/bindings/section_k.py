@@ -21,7 +21,7 @@ query("tfidf_keywords", "documents", lambda d: rounded(T.tfidf_keywords(d, "doc_
 query("tfidf_keywords_by_group", "documents", lambda d: rounded(T.tfidf_keywords(d, "doc_id", "text", "lang", top_n=20), 7),
       _tfi + f""", g as (select lang, count(*)::double k from src group by 1), m as (select s.lang, w, sum(x) / max(k) z from u join src s on u.doc_id = s.doc_id join g on s.lang = g.lang group by 1, 2),
       o as (select *, row_number() over (partition by lang order by round(z, 10) desc, w) i from m) select lang, w as word, {q('z', 'mean_tfidf', 7)}, i as rank from o where i <= 20""")
-query("lda_topic_model", "documents", lambda d: rounded(T.lda_topic_model(d, "text", steps=5)))
+query("lda_topic_model", "documents", lambda d: rounded(T.lda_topic_model(d, "text")))
 _lx = "select word, cast(case when length(word) % 3 = 0 then 0.5 when length(word) % 3 = 1 then -0.5 else 0.1 end as double) as score from (select distinct lower(o_orderpriority) as word from orders) z"
 
 

@@ -178,7 +178,9 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", per_label: int = PER_LABEL) -> DataFrame:
     """Every document with held_out (crc32 of the id modulo 5 is 0), score in 0..1 and predicted (score >= threshold).
 
-    Only the text enters the score. A null or wordless text scores 0, as does every text when no label is known. Rows
+    Only the text enters the score. A null or empty text has no terms and scores 0, as does every text when no label is
+    known; a blank one is scored by its white space. Where cosines tie at the last of the nearest, the lower places in
+    numpy's partition count, the same in every run. Texts may be of any length. Rows
     that repeat a doc_id are scored each by its text. A null doc_id is not held out. Labels that contradict each other
     or are null are left out of the model. Other columns are ignored. An empty table gives no rows.
     """

@@ -88,12 +88,12 @@ def _em(table: DataFrame, step, theta, most: int, tol: float):
         ll = s[0]
         theta[0] = theta[1](theta[0], s[1:])
         if abs(ll - last) < tol * (1 + abs(ll)):
-            break
+            return ll, theta[0], it + 1
         last = ll
-    return ll, theta[0], it + 1
+    raise ValueError(f"the likelihood still rises after {most} rounds")
 
 
-def latent_class_analysis(df: DataFrame, indicators: Sequence[str], k_min: int = 2, k_max: int = 3, seed: int = 0, most: int = 60) -> DataFrame:
+def latent_class_analysis(df: DataFrame, indicators: Sequence[str], k_min: int = 2, k_max: int = 3, seed: int = 0, most: int = 1000) -> DataFrame:
     """Bernoulli latent classes on collapsed response patterns, class count by BIC."""
     its = list(indicators)
     d = complete(df, its)
@@ -126,7 +126,7 @@ def latent_class_analysis(df: DataFrame, indicators: Sequence[str], k_min: int =
     return rows_frame(df.sparkSession, "classes bigint, class bigint, item string, class_share double, probability double, loglik double, bic double, is_best boolean", rows)
 
 
-def latent_profile_analysis(df: DataFrame, indicators: Sequence[str], k_min: int = 2, k_max: int = 3, seed: int = 0, most: int = 40) -> DataFrame:
+def latent_profile_analysis(df: DataFrame, indicators: Sequence[str], k_min: int = 2, k_max: int = 3, seed: int = 0, most: int = 1000) -> DataFrame:
     """Diagonal Gaussian mixture, class count by BIC."""
     its = list(indicators)
     d = cut_lineage(complete(df, its))

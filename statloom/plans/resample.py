@@ -5,6 +5,7 @@ Weights come from a hash of (row id, replicate), so results do not depend on par
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -84,38 +85,41 @@ def permuted_sums(df: DataFrame, row_id: str, value: str, sizes: Sequence[int],
                   block_rows: int = 20_000) -> np.ndarray:
     """Group sums under `reps` uniform relabelings that keep the group sizes: reps x groups.
 
-    A uniform relabeling of all rows is drawn in two exact stages: how many of each group fall in
-    each hash block (multivariate hypergeometric, drawn per replicate), then a shuffle inside the block.
+    Rows are cut into blocks by the leading bits of their hash. How many rows of each group fall in a block is drawn down
+    the binary tree of those bits: at each node the counts of its left half are multivariate hypergeometric, from a
+    generator that the replicate and the node name. Every task draws the nodes on its own block's path where its rows
+    are (two blocks draw the same for a node they share), then shuffles inside the block. So no plan of replicates by
+    blocks exists anywhere, and only the sums reach the driver.
     """
     n = int(sum(sizes))
-    blocks = max(1, -(-n // block_rows))
-    t = df.select(F.xxhash64(row_id).alias("__id"), F.col(value).cast("double").alias("v")) \
-          .withColumn("b", F.pmod(F.col("__id"), F.lit(blocks)).cast("int"))
-    have = {r["b"]: r["count"] for r in t.groupBy("b").count().collect()}
-    order = sorted(have)
-    rng = np.random.default_rng(seed)
-    plan = np.zeros((reps, len(order), len(sizes)), dtype=np.int64)
-    for r in range(reps):
-        left = np.array(sizes, dtype=np.int64)
-        for i, b in enumerate(order):
-            take = left if i == len(order) - 1 else _hyper(rng, left, have[b])
-            plan[r, i] = take
-            left = left - take
-    where = {b: i for i, b in enumerate(order)}
-
-    def shuffle(pdf: pd.DataFrame) -> pd.DataFrame:
-        b = int(pdf["b"].iloc[0])
-        v = pdf.sort_values("__id")["v"].to_numpy()
-        out = np.zeros((reps, len(sizes)))
-        g = np.random.default_rng([seed, b + 1])
-        for r in range(reps):
-            cuts = np.concatenate([[0], np.cumsum(plan[r, where[b]])])
-            c = np.concatenate([[0.0], np.cumsum(v[g.permutation(len(v))])])
-            out[r] = c[cuts[1:]] - c[cuts[:-1]]
+    bits = max(0, math.ceil(math.log2(max(n, 1) / block_rows)))
+    h = F.xxhash64(row_id)
+    t = df.select(h.alias("__id"), F.col(value).cast("double").alias("v"), (F.shiftrightunsigned(h, 64 - bits) if bits else F.lit(0)).cast("bigint").alias("b"))
+    counts = t.groupBy("b").agg(F.count(F.lit(1)).alias("c"))
+    steps = counts.select("b", "c", F.explode(F.sequence(F.lit(1), F.lit(bits))).alias("l")) if bits else counts.select("b", "c", F.lit(0).alias("l")).where("false")
+    steps = steps.withColumn("p", F.expr(f"shiftright(b, {bits} - l)"))
+    nodes = steps.groupBy("l", "p").agg(F.sum("c").alias("own"))
+    other = nodes.select("l", F.col("p").bitwiseXOR(F.lit(1).cast("bigint")).alias("p"), F.col("own").alias("other"))
+    path = steps.join(nodes.join(other, ["l", "p"], "left"), ["l", "p"]).select(F.col("b").alias("at"), "l", "p", "own", F.coalesce("other", F.lit(0)).alias("other"))
+    k = len(sizes)
+
+    def shuffle(rows: pd.DataFrame, path: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros((reps, k))
+        if len(rows):
+            v = rows.sort_values("__id")["v"].to_numpy()
+            way = sorted(path[["l", "p", "own", "other"]].itertuples(index=False, name=None))
+            g = np.random.default_rng([seed, int(rows["b"].iloc[0]) + 1])
+            for r in range(reps):
+                left = np.array(sizes, dtype=np.int64)
+                for level, p, own, rest in way:
+                    half = _hyper(np.random.default_rng([seed, r, int(level), int(p) >> 1]), left, int(rest if p & 1 else own))
+                    left = left - half if p & 1 else half
+                cuts = np.concatenate([[0], np.cumsum(left)])
+                c = np.concatenate([[0.0], np.cumsum(v[g.permutation(len(v))])])
+                out[r] = c[cuts[1:]] - c[cuts[:-1]]
         return pd.DataFrame({"rep": np.arange(reps), "s": list(out)})
 
-    k = len(sizes)
-    rows = (t.groupBy("b").applyInPandas(shuffle, "rep bigint, s array<double>")
+    rows = (t.groupBy("b").cogroup(path.groupBy("at")).applyInPandas(shuffle, "rep bigint, s array<double>")
             .groupBy("rep").agg(*[F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(k)]).orderBy("rep").collect())
     return np.array([[r[f"s{i}"] for i in range(k)] for r in rows])
 

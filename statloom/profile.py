@@ -150,6 +150,41 @@ def detect_roles(df: DataFrame) -> DataFrame:
     return rows_frame(df.sparkSession, "column string, role string, confidence string", rows)
 
 
+def resolve_outcome(df: DataFrame, candidates: Sequence[str], outcome: str | None = None) -> str:
+    """The dependent variable of a model: the one asked for, else a sure outcome by name, else the first candidate that
+    is not named like a treatment (unless it is the likely outcome), else the first. Unsure hints bind nothing."""
+    refuse(not candidates, "no candidate column")
+    if outcome in candidates:
+        return outcome
+    roles = [r for r in detect_roles(df.select(*candidates)).collect() if r["role"] == "outcome"]
+    sure = [r["column"] for r in roles if r["confidence"] == "high"]
+    if sure:
+        return sure[0]
+    likely = {r["column"] for r in roles}
+    free = [c for c in candidates if c in likely or not set(name_tokens(c)) & TREATMENT_WORDS]
+    return free[0] if free else candidates[0]
+
+
+def resolve_predictors(df: DataFrame, outcome: str, predictors: Sequence[str] = (), unit: str | None = None, time: str | None = None, kinds: Sequence[str] = ("continuous", "count", "binary"), cap: int = 5) -> list[str]:
+    """Predictors of a model: those asked for that exist, else the first `cap` columns of the given kinds, in table order."""
+    asked = [c for c in predictors if c in df.columns and c != outcome]
+    if asked:
+        return asked[:cap]
+    return [r["column"] for r in profile(df).collect() if r["kind"] in kinds and r["column"] not in (outcome, unit, time)][:cap]
+
+
+def pick_did_treatment(df: DataFrame, unit: str, candidates: Sequence[str]) -> DataFrame:
+    """For each candidate the share of units in which it changes, and whether it is the one picked: the largest share, the
+    first on ties, none if nothing changes. A flag that is fixed within units is no difference-in-differences treatment."""
+    need(df, unit, *candidates)
+    # One pass: a candidate changes in a unit when its least and greatest values differ there.
+    per = df.groupBy(unit).agg(*[(F.min(c) != F.max(c)).alias(f"v{i}") for i, c in enumerate(candidates)])
+    row = per.agg(*[F.avg(F.when(F.col(f"v{i}"), 1.0).otherwise(0.0)).alias(f"v{i}") for i in range(len(candidates))]).collect()[0]
+    share = [row[i] or 0.0 for i in range(len(candidates))]
+    best = max(range(len(candidates)), key=lambda i: (share[i], -i), default=None)
+    return rows_frame(df.sparkSession, "column string, share_varying double, picked boolean", [(c, share[i], share[i] > 0 and i == best) for i, c in enumerate(candidates)])
+
+
 def _severity(ratio: float) -> str:
     return "high" if ratio >= 0.20 else "medium" if ratio >= 0.05 else "low"
 

@@ -8,8 +8,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from statloom.operators import ecology, networks, ranking
+from statloom.operators import ecology, groups, networks, ranking
 from statloom.plans.order import near_quantile
+from statloom.plans.resample import permuted_sums
 from statloom.sources.tables import read_delimited
 
 
@@ -114,3 +115,31 @@ def test_near_quantile(spark, guess):
     d = spark.createDataFrame([(v,) for v in vals] + [(None,)], "v double").repartition(3)
     for p in (0.0, 0.25, 0.5, 0.913, 1.0):
         assert abs(near_quantile(d, F.col("v"), p, guess, cells=16, few=20) - float(np.quantile(vals, p))) < 1e-12
+
+
+@pytest.mark.parametrize("tau", [0.1, 0.5, 0.9])
+def test_quantile_fit_is_exact(spark, tau):
+    """The loss equals the least over all vertices (pairs of rows), with ties, and the middle may be small."""
+    rng = random.Random(int(tau * 10))
+    rows = [(float(rng.randrange(12)), float(rng.randrange(20)) / 2) for _ in range(60)]
+    d = spark.createDataFrame([(2 * x + e, x) for x, e in rows], "y double, x double")
+    pts = [(2 * x + e, x) for x, e in rows]
+
+    def loss(b):
+        return sum((tau if y - b[0] - b[1] * x > 0 else tau - 1) * (y - b[0] - b[1] * x) for y, x in pts)
+
+    best = min(loss((y1 - (y2 - y1) / (x2 - x1) * x1, (y2 - y1) / (x2 - x1))) for i, (y1, x1) in enumerate(pts) for y2, x2 in pts[:i] if x1 != x2)
+    for middle in (4000, 12):
+        assert abs(loss(groups.quantile_fit(d, "y", ["x"], tau, middle)) - best) < 1e-9 * max(1, best)
+
+
+def test_permuted_sums_by_a_drawn_tree(spark):
+    """Every relabeling gives all values away; group means follow the exact mean and variance of sampling without replacement."""
+    vals = [float(i % 17) for i in range(600)]
+    d = spark.createDataFrame(list(enumerate(vals)), "id long, v double")
+    s = permuted_sums(d.repartition(5), "id", "v", [100, 200, 300], 400, block_rows=50)
+    assert np.allclose(s.sum(axis=1), sum(vals)) and np.allclose(s, permuted_sums(d.repartition(2), "id", "v", [100, 200, 300], 400, block_rows=50))
+    v = np.array(vals)
+    for k, size in enumerate((100, 200, 300)):
+        sd = np.sqrt(size * v.var() * (600 - size) / 599)
+        assert abs(s[:, k].mean() - size * v.mean()) < 4 * sd / 20 and 0.8 < s[:, k].std() / sd < 1.2
