@@ -211,5 +211,6 @@ def mixture(docs: DataFrame, sources: str | Column = "source", seed: int = 42, w
                 whole[r["pattern"]] = 2 * r["e"]["rest"] >= r["e"]["n"]
     info = rows_frame(spark, "__pattern string, __passes int, __end string, __whole boolean", [(p, given[p] // n if n else 1, ends[p][0], whole.get(p, False)) for p, n in size.items()])
     times = F.col("__passes") + F.when((F.col("__end") != "") & ((F.col("__order") < F.col("__end")) | ((F.col("__order") == F.col("__end")) & F.col("__whole"))), 1).otherwise(0)
-    marked = docs.withColumns({"__pattern": _pattern(docs, sources), "__order": order}).join(info, "__pattern").withColumn("__times", times).where("__times > 0")
+    marked = docs.withColumns({"__pattern": _pattern(docs, sources), "__order": order}).join(F.broadcast(info), "__pattern").withColumn("__times", times)      # one line per source combination, which are bounded
+    marked = marked.where("__times > 0")
     return marked.withColumn("__copy", F.explode(F.expr("sequence(1, __times)"))).select(*docs.columns)

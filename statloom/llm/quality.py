@@ -97,7 +97,7 @@ class Model:
         return np.clip(np.round(out, 6), 0, 1)
 
 
-def leading(gram: np.ndarray, k: int, rounds: int = 300, tolerance: float = 1e-9) -> np.ndarray:
+def leading(gram: np.ndarray, k: int, rounds: int = 200, tolerance: float = 1e-7) -> np.ndarray:
     """The k leading eigenvectors of a symmetric matrix, by iterating on a few more directions than k.
 
     That takes one thin block beside the matrix, where a full decomposition takes several copies of it; where the
@@ -124,7 +124,8 @@ def fit(blocks: Callable[[], Iterator[np.ndarray]], label: np.ndarray, share: di
     gram = np.zeros((TERMS, TERMS))
     for x in blocks():
         y = weighted(x, rarity).astype(np.float64)
-        gram += y.T @ y
+        for lo in range(0, TERMS, 256):         # in strips, so that no second matrix of all terms stands beside the sum
+            gram[lo:lo + 256] += y[:, lo:lo + 256].T @ y
     directions = leading(gram, LATENT).astype(np.float32)
     del gram
     here = {v: max(1, int((label == v).sum())) for v in (0, 1)}
