@@ -145,8 +145,8 @@ def prove(docs: DataFrame, leaf: Column, altered: Column, id_col: str = "doc_id"
     `height` levels are built in one call; it changes the cost and no result.
 
     Returns id, leaf, subroot, root, proof (the siblings' digests, level by level up to the root, left to right), places
-    (for each level the leaf's place in its run and the run's size, as digits), folded_root (the root of the version),
-    verified (folded_root = root) and copied (number of nodes the version does not share; 0 for an unaltered row), one
+    (for each level the leaf's place in its run and the run's size, as digits), folded_root (the root that the altered
+    leaf, else the leaf itself, gives with the siblings: every row's proof is folded), verified (folded_root = root) and copied (number of nodes the version does not share; 0 for an unaltered row), one
     row per input row. A null group comes first and is a group of its own; null ids come first in it. Rows that repeat
     an id are leaves of their own, ordered by digest; equal rows get the places of their digest in any order. Texts may
     be of any length. Other columns are ignored, so their names cannot clash. An empty table gives no rows.
@@ -191,9 +191,10 @@ def prove(docs: DataFrame, leaf: Column, altered: Column, id_col: str = "doc_id"
             for i, new in enumerate(b["changed"].to_pylist()):
                 proof, places = _path(levels, i, fan)
                 proof, places = proof + higher, places + w["places"]
-                version = copied_path(new, proof, places) if new is not None else []
-                folded = root if new is None else version[-1].decode() if version else new
-                for c, v in zip(cols, (w["subroot"], root, proof.decode(), places, folded, folded == root, len(version) + (new is not None))):
+                start = digests[i] if new is None else new.encode()
+                path = copied_path(start, proof, places)
+                folded = (path[-1] if path else start).decode()
+                for c, v in zip(cols, (w["subroot"], root, proof.decode(), places, folded, folded == root, 0 if new is None else len(path) + 1)):
                     c.append(v)
         if not done:
             return schema.empty_table()

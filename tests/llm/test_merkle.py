@@ -109,3 +109,11 @@ def test_text_ids_and_bad_fan(spark):
     assert sorted(str(r.doc_id) for r in out.collect()) == ["None", "a", "b"] and out.where("not verified").isEmpty()
     with pytest.raises(ValueError):
         prove(df, leaf_digest("doc_id"), F.lit(None).cast("string"), fan=12)
+
+
+def test_every_proof_is_folded(spark, monkeypatch):
+    """Rows that are left as they are get their root from their leaf and siblings, too, not from the tree."""
+    monkeypatch.setattr(merkle, "copied_path", lambda node, proof, places: [b"folded"])
+    df = spark.createDataFrame([(i, "s", "a", i, str(i)) for i in range(5)], "doc_id long, source string, lang string, n_chars long, text string")
+    got = prove(df, leaf_digest("doc_id", "text"), F.lit(None).cast("string")).collect()
+    assert len(got) == 5 and all(r["folded_root"] == "folded" and not r["verified"] and r["copied"] == 0 for r in got)
