@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from statloom.operators import spatial
+from statloom.operators import groups, spatial
 from statloom.plans.knn import knn
 
 
@@ -27,3 +27,14 @@ def test_tables_of_points_are_not_broadcast(spark):
     pts = spark.range(400).selectExpr("id", "cast(id * 7919 % 1000 as double) x", "cast(id * 104729 % 997 as double) y", "cast(id % 13 as double) v", "cast(id % 7 as double) u")
     for got in (spatial.getis_ord_gi(pts, "id", "x", "y", "v"), spatial.gwr(pts, "id", "x", "y", "v", ["u"], 20)):
         assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_quantile_fit_widens_the_middle(spark):
+    rng = np.random.default_rng(2)
+    x = rng.integers(1, 51, 6000).astype(float)
+    y = np.round(1000 * x * rng.uniform(0.9, 2.1, 6000), 2)
+    d = spark.createDataFrame(list(zip(y.tolist(), x.tolist())), "y double, x double")
+    loss = lambda b, tau: (lambda e: np.where(e > 0, tau * e, (tau - 1) * e).sum())(y - b[0] - b[1] * x)
+    for tau in (0.05, 0.95):
+        few, all_rows = (groups.quantile_fit(d, "y", ["x"], tau, m) for m in (12, 6000))
+        assert abs(loss(few, tau) - loss(all_rows, tau)) < 1e-9 * loss(all_rows, tau)
