@@ -15,7 +15,7 @@ from ..plans.design import Cells
 from ..plans.frames import (LEVEL_LIMIT, clean, collect_bounded, complete, cut_lineage, fetch, level_key, levels_of, need, num, one_row, refuse,
                             rows_frame)
 from ..plans.gram import Gram, gram, gram_by, merge, ols, weighted_gram
-from ..plans.order import (average_ranks, concordance, cumulate, dense_rank, group_quantiles, in_order, near_quantile, quantiles, rank_bits, running,
+from ..plans.order import (average_ranks, concordance, cumulate, dense_rank, group_quantiles, in_order, near_quantile, quantiles, range_bounds, rank_bits, running,
                            select_ranks, with_average_rank)
 
 
@@ -426,46 +426,145 @@ def cliffs_delta(df: DataFrame, outcome: str, group: str) -> DataFrame:
     return one_row(df.sparkSession, n1=int(r["n1"]), n2=int(r["n2"]), cliffs_delta=delta, magnitude=band)
 
 
+DIFFERENCE_CELLS = 2048    # cells of neighbouring values whose differences are told apart on the driver
+
+
 def pair_difference_quantile(d: DataFrame, value: str, group: str, first,
-                             probs: Sequence[float] = (0.5,), fan: int = 32) -> list[float]:
+                             probs: Sequence[float] = (0.5,), fan: int = 32, cells: int = DIFFERENCE_CELLS) -> list[float]:
     """Exact order statistics of all differences a - b without forming them.
 
-    The number of pairs with a - b <= t is a sum of counts along the merged order of a and b + t; several
-    candidate values of t are counted per pass and the bracket shrinks until it meets float precision.
+    Distinct values are cut into cells. From the cells' ends and totals (one row each) the driver knows which pairs of
+    cells lie below or above a difference t as a whole, which brackets the wanted ranks. Only cells that the bracket cuts
+    meet: each cell of a is written once beside the b that it must be compared with, and a pass over them counts the pairs
+    with a - b <= t for several t. The bracket shrinks until it meets float precision; no row moves between passes.
     """
-    a = d.where(F.col(group) == F.lit(first)).groupBy(F.col(value).alias("x")).agg(F.count(F.lit(1)).alias("ca"))
-    b = d.where(F.col(group) != F.lit(first)).groupBy(F.col(value).alias("x")).agg(F.count(F.lit(1)).alias("cb"))
-    ab = (a.select("x", "ca", F.lit(0).cast("bigint").alias("cb"))
-          .unionByName(b.select("x", F.lit(0).cast("bigint").alias("ca"), "cb"))).persist()
-    try:
-        s = fetch(ab, na=F.sum("ca"), nb=F.sum("cb"), alo=F.min(F.when(F.col("ca") > 0, F.col("x"))),
-                  ahi=F.max(F.when(F.col("ca") > 0, F.col("x"))), blo=F.min(F.when(F.col("cb") > 0, F.col("x"))),
-                  bhi=F.max(F.when(F.col("cb") > 0, F.col("x"))))
-        total = int(s["na"]) * int(s["nb"])
-        ranks = set()
-        for p in probs:
-            h = p * (total - 1)
-            ranks |= {math.floor(h) + 1, math.ceil(h) + 1}
-        lo, hi = s["alo"] - s["bhi"], s["ahi"] - s["blo"]
-        out = select_ranks(lambda ts: _pairs_at_most(ab, ts), ranks, lo - 1e-9 * (abs(lo) + 1), hi, fan)
-        res = []
-        for p in probs:
-            h = p * (total - 1)
-            f, c = math.floor(h) + 1, math.ceil(h) + 1
-            res.append(out[f] + (h - math.floor(h)) * (out[c] - out[f]))
-        return res
-    finally:
-        ab.unpersist()
-
-
-def _pairs_at_most(ab: DataFrame, ts: Sequence[float]) -> dict:
-    """For each t: number of pairs (a, b) with a - b <= t."""
-    e = ab.withColumn("t", F.explode(F.array(*[F.lit(float(t)) for t in ts])))
-    # a counts at b + t when a <= b + t: position a at x, b at x + t, cumulate a up to and including ties.
-    m = e.select("t", F.when(F.col("ca") > 0, F.col("x")).otherwise(F.col("x") + F.col("t")).alias("pos"), "ca", "cb")
-    m = m.groupBy("t", "pos").agg(F.sum("ca").alias("ca"), F.sum("cb").alias("cb"))
-    c = cumulate(m, "pos", ["ca"], ["t"])
-    return {r["t"]: r["k"] for r in c.groupBy("t").agg(F.sum(F.col("cb") * (F.col("ca_before") + F.col("ca"))).alias("k")).collect()}
+    a_here = F.col(group) == F.lit(first)
+    ab = cut_lineage(d.groupBy(F.col(value).alias("x")).agg(F.sum(a_here.cast("bigint")).alias("ca"), F.sum((~a_here).cast("bigint")).alias("cb")))
+    bounds = np.array(range_bounds(ab, "x", cells))
+
+    def celled(batches):
+        for b in batches:
+            x = b.column(0).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(bounds, x, "left")), *b.columns], names=["cell", "x", "ca", "cb"])
+
+    placed = ab.mapInArrow(celled, "cell bigint, x double, ca bigint, cb bigint")
+    sides = {}
+    for side in ("ca", "cb"):
+        rows = collect_bounded(placed.where(f"{side} > 0").groupBy("cell").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum(side).alias("n")).orderBy("cell"), "cells", cells + 1)
+        sides[side] = [np.array([r[c] for r in rows]) for c in ("cell", "lo", "hi", "n")]
+    (ka, alo, ahi, na), (kb, blo, bhi, nb) = sides["ca"], sides["cb"]
+    upto = np.concatenate([[0], np.cumsum(nb)])
+    total = int(na.sum()) * int(nb.sum())
+
+    def cut(t0, t1):
+        """Per cell of a: the first cell of b not above every t, and the first that is within t0 as a whole."""
+        return np.searchsorted(bhi + t1, alo, "left"), np.searchsorted(blo + t0, ahi, "left")
+
+    def sure(first_in) -> int:
+        return sum(int(n) * int(upto[-1] - upto[j]) for n, j in zip(na, first_in))
+
+    def most(t) -> int:
+        return sure(cut(t, t)[0])
+
+    def least(t) -> int:
+        return sure(cut(t, t)[1])
+
+    def counter(t0, t1):
+        """Counts for any t in [t0, t1]: whole cells from their totals, the others from rows laid side by side once."""
+        lo, hi = cut(t0, t1)
+        base = sure(hi)
+        met = np.flatnonzero(hi > lo)
+        # Cells of b meet a run of cells of a, as both ends move up with the cell of a.
+        start = np.searchsorted(hi, np.arange(len(kb)), "right")
+        stop = np.searchsorted(lo, np.arange(len(kb)), "right")
+        a_cells = set(ka[met].tolist())
+        at = {int(c): (int(s), int(e)) for c, s, e in zip(kb, start, stop)}
+
+        def deal(batches):
+            for b in batches:
+                cell, x, ca, cb = (b.column(i).to_numpy() for i in range(4))
+                own = (ca > 0) & np.isin(cell, list(a_cells))
+                runs = np.array([at.get(int(c), (0, 0)) for c in cell], np.int64).reshape(-1, 2)
+                times = np.where(cb > 0, np.maximum(runs[:, 1] - runs[:, 0], 0), 0)
+                which = np.repeat(np.arange(len(cell)), times)
+                step = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
+                yield pa.RecordBatch.from_arrays([pa.array(np.r_[cell[own], ka[runs[which, 0] + step]].astype(np.int64)), pa.array(np.r_[np.ones(own.sum(), bool), np.zeros(len(which), bool)]),
+                                                  pa.array(np.r_[x[own], x[which]]), pa.array(np.r_[ca[own], cb[which]])], names=["i", "a", "x", "c"])
+
+        def side_by_side(t: pa.Table) -> pa.Table:
+            x, c, of_a = t.column("x").to_numpy(), t.column("c").to_numpy(), t.column("a").to_numpy()
+            made = []
+            for side in (of_a, ~of_a):
+                o = np.argsort(x[side], kind="stable")
+                made += [pa.array([x[side][o]], pa.list_(pa.float64())), pa.array([c[side][o]], pa.list_(pa.int64()))]
+            return pa.table(made, names=["ax", "ac", "bx", "bc"])
+
+        dealt = placed.mapInArrow(deal, "i bigint, a boolean, x double, c bigint").groupBy("i").applyInArrow(side_by_side, "ax array<double>, ac array<bigint>, bx array<double>, bc array<bigint>")
+        dealt = cut_lineage(dealt)
+
+        def at_most(ts):
+            def run(batches):
+                found = [0] * len(ts)
+                for b in batches:
+                    for row in range(len(b)):
+                        ax, ac, bx, bc = (b.column(i)[row].values.to_numpy() for i in range(4))
+                        n_from = np.concatenate([np.cumsum(bc[::-1])[::-1], [0]])
+                        for k, t in enumerate(ts):
+                            found[k] += int((ac * n_from[np.searchsorted(bx + t, ax, "left")]).sum())
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(ts))), pa.array(found, pa.int64())], names=["k", "c"])
+
+            got = {r["k"]: r["c"] for r in dealt.mapInArrow(run, "k bigint, c bigint").groupBy("k").agg(F.sum("c").alias("c")).collect()}
+            return {t: base + got.get(k, 0) for k, t in enumerate(ts)}
+
+        return at_most, int((hi - lo)[met].sum())
+
+    def bracket(rank, lo, hi):
+        """Ends that the cells vouch for: fewer than `rank` at the lower one, at least as many at the upper one."""
+        ends = []
+        for reached in (most, least):
+            a, b = lo, hi
+            for _ in range(60):
+                m = a + (b - a) / 2
+                if not a < m < b:
+                    break
+                a, b = (a, m) if reached(m) >= rank else (m, b)
+            ends.append(a if reached is most else b)
+        return ends
+
+    ranks = sorted({f(p * (total - 1)) + 1 for p in probs for f in (math.floor, math.ceil)})
+    span = (float(alo[0] - bhi[-1]), float(ahi[-1] - blo[0]))
+    lo, hi = span[0] - 1e-9 * (abs(span[0]) + 1), span[1] + 1e-9 * (abs(span[1]) + 1)
+    out = {}
+    for near in _close(ranks):
+        t0, t1 = bracket(near[0], lo, hi)[0], bracket(near[-1], lo, hi)[1]
+        # A bracket that cuts many cells (few very frequent values) is halved first; one difference cuts two for each cell at most.
+        while True:
+            first_cut, last_cut = cut(t0, t1)
+            m = t0 + (t1 - t0) / 2
+            if np.maximum(last_cut - first_cut, 0).sum() <= 16 * (len(ka) + len(kb)) or not t0 < m < t1:
+                break
+            n = counter(m, m)[0]([m])[m]
+            if near[0] <= n < near[-1]:
+                break
+            t0, t1 = (t0, m) if n >= near[-1] else (m, t1)
+        out |= select_ranks(counter(t0, t1)[0], near, t0, t1, fan)
+    res = []
+    for p in probs:
+        h = p * (total - 1)
+        f, c = math.floor(h) + 1, math.ceil(h) + 1
+        res.append(out[f] + (h - math.floor(h)) * (out[c] - out[f]))
+    return res
+
+
+def _close(ranks: Sequence[int]) -> list[list[int]]:
+    """Ascending ranks in runs of neighbours, which share a bracket."""
+    out: list[list[int]] = []
+    for r in ranks:
+        if out and r - out[-1][-1] <= 1:
+            out[-1].append(r)
+        else:
+            out.append([r])
+    return out
 
 
 def mann_whitney(df: DataFrame, outcome: str, group: str, hodges_lehmann: bool = True) -> DataFrame:

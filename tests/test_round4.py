@@ -38,3 +38,17 @@ def test_quantile_fit_widens_the_middle(spark):
     for tau in (0.05, 0.95):
         few, all_rows = (groups.quantile_fit(d, "y", ["x"], tau, m) for m in (12, 6000))
         assert abs(loss(few, tau) - loss(all_rows, tau)) < 1e-9 * loss(all_rows, tau)
+
+
+def test_differences_are_counted_without_rows_per_candidate(spark, monkeypatch):
+    """Ranks come from cells laid side by side; the pooled order of a and b + t, a row for each value and t, is not written."""
+    rng = np.random.default_rng(1)
+    for a, b in ((rng.normal(3, 1, 300), rng.normal(0, 2, 400)), (rng.integers(0, 5, 300).astype(float), rng.integers(0, 7, 200).astype(float)),
+                 (np.r_[np.zeros(900), rng.normal(0, 1, 100)], np.exp(rng.normal(0, 6, 200)))):
+        d = spark.createDataFrame([(float(v), "a") for v in a] + [(float(v), "b") for v in b], "v double, g string")
+        want = np.quantile(np.subtract.outer(a, b).ravel(), (0.1, 0.5, 0.9))
+        with monkeypatch.context() as m:
+            m.setattr(groups, "cumulate", None)
+            for cells in (4, 2048):
+                got = groups.pair_difference_quantile(d, "v", "g", "a", (0.1, 0.5, 0.9), cells=cells)
+                assert np.allclose(got, want, rtol=1e-11, atol=1e-11)
