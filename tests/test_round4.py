@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from statloom.operators import groups, spatial
+from statloom.operators import ecology, groups, spatial
 from statloom.plans.knn import knn
 
 
@@ -52,3 +52,46 @@ def test_differences_are_counted_without_rows_per_candidate(spark, monkeypatch):
             for cells in (4, 2048):
                 got = groups.pair_difference_quantile(d, "v", "g", "a", (0.1, 0.5, 0.9), cells=cells)
                 assert np.allclose(got, want, rtol=1e-11, atol=1e-11)
+
+
+def communities_of(spark, sites=60):
+    rng = np.random.default_rng(4)
+    rows = [(s, f"sp{k}", int(v), "ab"[s % 2], float(s * 37 % 11)) for s in range(sites) for k, v in enumerate(rng.poisson(2, 7)) if v]
+    return rows, spark.createDataFrame(rows, "site long, species string, n long, grp string, env double")
+
+
+def test_permutations_by_place():
+    for n in (1, 2, 5, 16, 17, 1000):
+        assert all(sorted(r) == list(range(n)) for r in ecology.redrawn(np.arange(n), n, 20, 3).tolist())
+    whole = ecology.redrawn(np.arange(1000), 1000, 20, 3)
+    assert (ecology.redrawn(np.array([7, 500]), 1000, 20, 3) == whole[:, [7, 500]]).all() and abs(np.corrcoef(whole[0], whole[1])[0, 1]) < 0.15
+
+
+def test_sites_and_their_relabelings_stay_in_the_tasks(spark, monkeypatch):
+    rows, df = communities_of(spark)
+    wide = {}
+    for s, k, v, _, _ in rows:
+        wide.setdefault(s, np.zeros(7))[int(k[2])] = v
+    ids = sorted(wide)
+    m = np.array([wide[s] for s in ids])
+    d = np.abs(m[:, None] - m).sum(2) / (m.sum(1)[:, None] + m.sum(1))
+    up = np.triu_indices(len(ids), 1)
+    env = np.array([s * 37 % 11 for s in ids], float)
+    from statloom.plans import frames
+    monkeypatch.setattr(ecology, "collect_bounded", lambda df, what, limit=20: frames.collect_bounded(df, what, 20))       # fewer than the sites
+    for rows_of_block, sites_of_block in ((250_000, 256), (60, 8)):
+        monkeypatch.setattr(ecology, "BLOCK_ROWS", rows_of_block)
+        monkeypatch.setattr(ecology, "BLOCK_SITES", sites_of_block)
+        monkeypatch.setattr(ecology, "LABEL_SITES", sites_of_block)
+        got = ecology.mantel_test(df, "site", "species", "n", ["env"], 19).first()
+        assert (got["sites"], got["pairs"]) == (len(ids), len(up[0])) and abs(got["r"] - np.corrcoef(d[up], np.abs(env[:, None] - env)[up])[0, 1]) < 1e-9
+        mean = ecology.mean_beta(df, "site", "species", "n").first()
+        assert mean["pairs"] == len(up[0]) and abs(mean["mean_bray_curtis"] - d[up].mean()) < 1e-12 and abs(mean["max"] - d[up].max()) < 1e-12
+        lab = np.array([s % 2 for s in ids])
+        same = lab[up[0]] == lab[up[1]]
+        sst, ssw = (d[up] ** 2).sum() / len(ids), sum((d[up] ** 2)[same & (lab[up[0]] == g)].sum() / (lab == g).sum() for g in (0, 1))
+        assert abs(ecology.permanova(df, "site", "species", "n", "grp", 19).first()["pseudo_f"] - (sst - ssw) / (ssw / (len(ids) - 2))) < 1e-9
+        ind = {r["species"]: r for r in ecology.indicator_species(df, "site", "species", "n", "grp", 19).collect()}
+        for k in range(7):
+            mu, fr = (np.array([f(m[lab == g, k]) for g in (0, 1)]) for f in (np.mean, lambda v: (v > 0).mean()))
+            assert abs(ind[f"sp{k}"]["indval"] - (100 * mu / mu.sum() * fr).max()) < 1e-9
