@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import dist
 from ..plans import resample
@@ -957,13 +957,46 @@ def check_loss_vertex(x: np.ndarray, y: np.ndarray, w: np.ndarray, along: np.nda
 MIDDLE = 4000              # rows around the fit that the driver solves exactly
 
 
+def _fit_spread(d: DataFrame, y: str, xs: Sequence[str], beta: np.ndarray, share: float) -> Column:
+    """How far the fit may be off at a row, up to a factor: the sandwich of the nearest rows and all, 1 where those do not span the predictors."""
+    cols = [F.lit(1.0), *[F.col(c) for c in xs]]
+    k = len(cols)
+    size = F.abs(F.col(y) - predictor(xs, beta))
+    near = size <= F.lit(near_quantile(d, size, share))
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    s = fetch(d, **{f"a{i}_{j}": F.sum(cols[i] * cols[j]) for i, j in pairs}, **{f"n{i}_{j}": F.sum(F.when(near, cols[i] * cols[j]).otherwise(0.0)) for i, j in pairs})
+    whole, close = (np.array([[s[f"{c}{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)], float) for c in "an")
+    unit = np.sqrt(np.maximum(np.diag(whole), 1e-300))
+    if np.linalg.cond(close / np.outer(unit, unit)) > 1e10:
+        return F.lit(1.0)
+    inv = np.linalg.inv(close)
+    v = inv @ whole @ inv
+    v = (v + v.T) / (2 * np.abs(v[0, 0]))
+    form = F.lit(0.0)
+    for i in range(k):
+        for j in range(k):
+            form = form + F.lit(float(v[i, j])) * cols[i] * cols[j]
+    return F.sqrt(F.greatest(form, F.lit(1e-12)))
+
+
+def _check_loss(y: str, xs: Sequence[str], tau: float, beta: np.ndarray) -> Column:
+    e = F.col(y) - predictor(xs, beta)
+    return F.sum(F.when(e > 0, F.lit(tau) * e).otherwise(F.lit(tau - 1) * e))
+
+
 def _settled(d: DataFrame, n: int, y: str, xs: Sequence[str], tau: float, beta: np.ndarray, middle: int, most: int) -> tuple[np.ndarray, str | None]:
-    """The exact fit, or where it got to and why it is none."""
+    """The exact fit, or where it got to and why it is none.
+
+    The solved problem equals the whole one near its start and is nowhere above it. So the way from the start to its
+    solution leads down at first, and where far rows change sides the lowest of some places on the way is the next start:
+    every round has a smaller loss than the one before.
+    """
     cols = [F.lit(1.0), *[F.col(c) for c in xs]]
     for _ in range(most):
         e = F.col(y) - predictor(xs, beta)
-        reach = near_quantile(d, F.abs(e), min(1.0, middle / n))
-        far, over = F.abs(e) > F.lit(reach), e > 0
+        size = F.abs(e) / _fit_spread(d, y, xs, beta, min(1.0, max(middle / n, 0.02)))
+        reach = near_quantile(d, size, min(1.0, middle / n))
+        far, over = size > F.lit(reach), e > 0
         sums = fetch(d.where(far), **{f"a{i}": F.sum(F.when(over, c).otherwise(0.0)) for i, c in enumerate(cols)}, **{f"b{i}": F.sum(F.when(over, 0.0).otherwise(c)) for i, c in enumerate(cols)})
         along = np.array([-tau * (sums[f"a{i}"] or 0.0) + (1 - tau) * (sums[f"b{i}"] or 0.0) for i in range(len(cols))])
         rows = collect_bounded(d.where(~far).groupBy(y, *xs).agg(F.count(F.lit(1)).alias("__w")), "rows near the fit")
@@ -975,13 +1008,20 @@ def _settled(d: DataFrame, n: int, y: str, xs: Sequence[str], tau: float, beta:
         if not whole:
             if middle >= n:
                 return beta, "the check loss has no minimum" if spans else "the predictors are collinear"
-            middle, beta = max(middle, min(4 * middle, LEVEL_LIMIT // 2)), new if spans else beta
-            continue
+            middle = max(middle, min(4 * middle, LEVEL_LIMIT // 2))
+            if not spans:
+                continue
         moved = F.col(y) - predictor(xs, new)
         crossed = fetch(d.where(far), c=F.sum(F.when((over & (moved < 0)) | (~over & (moved > 0)), 1).otherwise(0)))["c"]
-        beta = new
-        if not crossed:
-            return beta, None
+        if whole and not crossed:
+            return new, None
+        ways = [0.0, *[0.5 ** i for i in range(12)]]
+        at = [beta + w * (new - beta) for w in ways]
+        loss = fetch(d, **{f"l{i}": _check_loss(y, xs, tau, b) for i, b in enumerate(at)})
+        best = int(np.argmin([loss[f"l{i}"] for i in range(len(at))]))
+        if best == 0:                       # too far for these places: more rows make the way exact for longer
+            middle = max(middle, min(4 * middle, LEVEL_LIMIT // 2))
+        beta = at[best]
     return beta, f"the quantile fit does not settle in {most} rounds"
 
 
