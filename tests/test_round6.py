@@ -3,7 +3,14 @@
 import numpy as np
 import pytest
 
-from statloom.operators import groups
+from helpers import SF
+from statloom.bindings import load
+from statloom.operators import groups, networks
+from statloom.plans import parts
+from test_graph_blocks import distances
+from test_round3 import brandes
+
+QUERIES = load()[0]
 
 
 def test_no_row_that_stands_still_comes_into_a_vertex():
@@ -25,3 +32,37 @@ def test_quantile_fit_from_a_far_start(spark, tau):
     for start in ([400.0, -9.0], [-30.0, 4.0]):
         got, why = groups._settled(d, len(y), "y", ["x"], tau, np.array(start), 24, 40)
         assert why is None and abs(loss(got) - loss(best)) < 1e-9 * loss(best)
+
+
+@pytest.mark.parametrize("edges", [0, 8, 1 << 22])
+@pytest.mark.parametrize("text", [False, True])
+def test_searches_by_component_and_by_blocks(spark, monkeypatch, edges, text):
+    """Whole components in tasks, the larger ones in blocks, or all in blocks; several parts of sources and shared tasks."""
+    for name, v in (("EDGES", edges), ("SMALL", 6), ("WORK", 200), ("ROOM", 5000)):
+        monkeypatch.setattr(parts, name, v)
+    rng = np.random.default_rng(3)
+    pairs = {tuple(sorted(p)) for p in rng.integers(0, 60, (80, 2)).tolist()} | {(i, i + 1) for i in range(200, 206)} | {(300, 301), (310, 311), (311, 312)}
+    pairs = {(a, b) for a, b in pairs if a != b}
+    d = spark.createDataFrame(sorted(pairs), "a long, b long")
+    e = networks.undirected(d.selectExpr("concat('n', a) a", "concat('n', b) b") if text else d, "a", "b")
+    name = (lambda u: int(u[1:])) if text else int
+    want = brandes(pairs)
+    got = {name(r["u"]): r["betweenness"] for r in networks.betweenness(e).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    far = distances(pairs)
+    totals, t = networks.reach(e)
+    every = [k for ds in far.values() for k in ds]
+    assert totals == [(k, every.count(k)) for k in sorted(set(every))]
+    assert {name(r["u"]): (r["r"], r["d"]) for r in t.collect()} == {u: (len(ds), sum(ds)) for u, ds in far.items()}
+
+
+def test_disjoint_copies_cost_their_sum(spark, monkeypatch):
+    """Sources meet only the nodes of their component: rows of one matrix, not of the whole graph."""
+    monkeypatch.setattr(parts, "SMALL", 1)
+    d = spark.createDataFrame([(10 * k + i, 10 * k + (i + 1) % 5) for k in range(40) for i in range(5)], "a long, b long")
+    e = networks.undirected(d, "a", "b")
+    assert parts.split(e, networks.components)[0].groupBy("own", "bin", "part").count().count() == 40
+
+
+def test_centrality_suite_query_has_betweenness(spark):
+    assert "betweenness" in QUERIES["centrality_suite"](spark, SF).columns
