@@ -66,3 +66,21 @@ def test_disjoint_copies_cost_their_sum(spark, monkeypatch):
 
 def test_centrality_suite_query_has_betweenness(spark):
     assert "betweenness" in QUERIES["centrality_suite"](spark, SF).columns
+
+
+@pytest.mark.parametrize("edges", [0, 1 << 22])
+def test_communities_by_component_and_in_rounds(spark, monkeypatch, edges):
+    """Cliques joined by single edges, and one apart; what a task can hold takes no rounds over all nodes."""
+    monkeypatch.setattr(parts, "EDGES", edges)
+    pairs = [(10 * k + i, 10 * k + j) for k in range(4) for i in range(7) for j in range(i)] + [(0, 10), (11, 20)]
+    e = networks.undirected(spark.createDataFrame(pairs, "a long, b long"), "a", "b")
+    if edges:
+        monkeypatch.setattr(networks, "_local_moves", None)
+    labels, q = networks.communities(e)
+    found = {}
+    for r in labels.collect():
+        found.setdefault(r["label"], set()).add(r["u"])
+    assert sorted(map(sorted, found.values())) == [[10 * k + i for i in range(7)] for k in range(4)]
+    m = len(pairs)
+    share = [2 * 21 + n for n in (1, 2, 1, 0)]
+    assert abs(q - (84 / m - sum(s * s for s in share) / (4 * m * m))) < 1e-12
