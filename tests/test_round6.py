@@ -2,10 +2,11 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from helpers import SF
 from statloom.bindings import load
-from statloom.operators import groups, networks
+from statloom.operators import groups, learning, networks
 from statloom.plans import parts
 from test_graph_blocks import distances
 from test_round3 import brandes
@@ -84,3 +85,26 @@ def test_communities_by_component_and_in_rounds(spark, monkeypatch, edges):
     m = len(pairs)
     share = [2 * 21 + n for n in (1, 2, 1, 0)]
     assert abs(q - (84 / m - sum(s * s for s in share) / (4 * m * m))) < 1e-12
+
+
+def test_profiles_settle_for_every_number_of_classes(spark):
+    """Four groups apart: found among two to five classes, and the fit is where another round changes nothing."""
+    rng = np.random.default_rng(1)
+    at = np.array([[0, 0, 0], [6, 0, 3], [0, 6, -3], [6, 6, 9]], float)
+    x = at[np.arange(1200) % 4] + rng.normal(size=(1200, 3))
+    d = spark.createDataFrame(x.tolist(), "a double, b double, c double")
+    rows = [r for s in range(3) for r in learning.latent_profile_analysis(d, ["a", "b", "c"], seed=s).collect()]
+    assert {r["classes"] for r in rows} == {2, 3, 4, 5}
+    best = max((r for r in rows if r["classes"] == 4), key=lambda r: r["loglik"])["loglik"]
+    k = np.array([[1 / 4] * 4])
+    lik = np.log((k * np.exp(-0.5 * ((x[:, None] - at) ** 2).sum(2)) / (2 * np.pi) ** 1.5).sum(1)).sum()
+    assert lik - 1 < best < lik + 30
+
+
+def test_queries_try_every_number_of_clusters(spark, monkeypatch):
+    tried = {}
+    monkeypatch.setattr(learning, "kmeans_clustering", lambda d, f, k_max=6, seed=0: tried.update(kmeans=k_max) or d.select(F.lit(1.0).alias("x")))
+    monkeypatch.setattr(learning, "latent_profile_analysis", lambda d, f, k_min=2, k_max=5, **_: tried.update(profiles=(k_min, k_max)) or d.select(F.lit(1.0).alias("x")))
+    for name in ("kmeans_clustering", "latent_profile_analysis"):
+        QUERIES[name](spark, SF)
+    assert tried == {"kmeans": 6, "profiles": (2, 5)}
