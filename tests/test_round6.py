@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from helpers import SF
 from statloom.bindings import load
-from statloom.operators import groups, learning, networks
+from statloom.operators import groups, learning, networks, spatial
 from statloom.plans import parts
 from test_graph_blocks import distances
 from test_round3 import brandes
@@ -108,3 +108,28 @@ def test_queries_try_every_number_of_clusters(spark, monkeypatch):
     for name in ("kmeans_clustering", "latent_profile_analysis"):
         QUERIES[name](spark, SF)
     assert tried == {"kmeans": 6, "profiles": (2, 5)}
+
+
+def test_gwr_chooses_its_bandwidth(spark):
+    """Equal to the plain method: weighted fits at every point for each number of neighbours, the least AICc."""
+    rng = np.random.default_rng(2)
+    n = 60
+    p, z = rng.uniform(0, 10, (n, 2)), rng.normal(size=n)
+    y = 5 + (p[:, 0] - 5) * z + rng.normal(size=n) / 5
+    x, best = np.column_stack([np.ones(n), z]), None
+    d = np.hypot(*(p[:, None] - p).transpose(2, 0, 1))
+    for k in spatial.bandwidths(n, 2):
+        b, hat = np.empty((n, 2)), 0.0
+        for i in range(n):
+            r = d[i] / np.sort(d[i])[k]
+            w = np.where(r < 1, (1 - r * r) ** 2, 0)
+            inv = np.linalg.inv((x.T * w) @ x)
+            b[i], hat = inv @ (x.T * w) @ y, hat + x[i] @ inv @ x[i]
+        rss = ((y - (x * b).sum(1)) ** 2).sum()
+        aicc = n * np.log(rss / n) + n * np.log(2 * np.pi) + n * (n + hat) / (n - 2 - hat)
+        if best is None or aicc < best[0]:
+            best = aicc, k, b
+    df = spark.createDataFrame([(i, *map(float, (*p[i], y[i], z[i]))) for i in range(n)], "id long, x double, y double, v double, z double")
+    got = sorted(spatial.gwr(df, "id", "x", "y", "v", ["z"]).collect())
+    assert {r["neighbours"] for r in got} == {best[1]}
+    assert np.allclose([(r["intercept"], r["b_z"]) for r in got], best[2], atol=1e-8)
