@@ -133,3 +133,26 @@ def test_gwr_chooses_its_bandwidth(spark):
     got = sorted(spatial.gwr(df, "id", "x", "y", "v", ["z"]).collect())
     assert {r["neighbours"] for r in got} == {best[1]}
     assert np.allclose([(r["intercept"], r["b_z"]) for r in got], best[2], atol=1e-8)
+
+
+def test_ripleys_k_has_the_band_of_random_patterns(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "SIM_FOCAL", 9)
+    rng = np.random.default_rng(1)
+    rows = [(i, *(float(v) for v in p)) for i, p in enumerate(np.r_[rng.uniform(0, 10, (30, 2)), rng.normal(5, 0.05, (15, 2))])]
+    got = sorted(spatial.ripleys_k(spark.createDataFrame(rows, "id long, x double, y double"), "x", "y", "id", radii=5, sims=39).collect())
+    p = np.array([r[1:] for r in rows])
+    (x0, y0), (x1, y1), n = p.min(axis=0), p.max(axis=0), len(p)
+    grid = np.array([r["r"] for r in got])
+    sims = []
+    for s in range(39):
+        rg = np.random.default_rng([42, s])
+        q = np.column_stack([rg.uniform(x0, x1, n), rg.uniform(y0, y1, n)])
+        d = np.hypot(*(q[:, None] - q).transpose(2, 0, 1))
+        a = np.arange(36) * 2 * np.pi / 36
+        px, py = q[:, 0, None, None] + d[:, :, None] * np.cos(a), q[:, 1, None, None] + d[:, :, None] * np.sin(a)
+        w = 1 / np.maximum(((px >= x0) & (px <= x1) & (py >= y0) & (py <= y1)).mean(2), 1 / 36)
+        np.fill_diagonal(d, np.inf)
+        sims.append([np.sqrt((x1 - x0) * (y1 - y0) / (n * (n - 1)) * w[d <= r].sum() / np.pi) - r for r in grid])
+    low, high = np.percentile(sims, [2.5, 97.5], axis=0)
+    assert np.allclose([r["env_low"] for r in got], low) and np.allclose([r["env_high"] for r in got], high)
+    assert got[0]["l_minus_r"] > got[0]["env_high"]
