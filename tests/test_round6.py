@@ -156,3 +156,10 @@ def test_ripleys_k_has_the_band_of_random_patterns(spark, monkeypatch):
     low, high = np.percentile(sims, [2.5, 97.5], axis=0)
     assert np.allclose([r["env_low"] for r in got], low) and np.allclose([r["env_high"] for r in got], high)
     assert got[0]["l_minus_r"] > got[0]["env_high"]
+
+
+def test_moran_query_returns_its_permutation_p(spark):
+    assert "p" in QUERIES["moran_i"](spark, SF).columns
+    for n in (2, 3, 4, 5, 12, 97, 1000):
+        for a, b in spatial.relabelings(n, 20):
+            assert sorted((a * q + b) % n for q in range(n)) == list(range(n))
