@@ -163,3 +163,29 @@ def test_moran_query_returns_its_permutation_p(spark):
     for n in (2, 3, 4, 5, 12, 97, 1000):
         for a, b in spatial.relabelings(n, 20):
             assert sorted((a * q + b) % n for q in range(n)) == list(range(n))
+
+
+def test_local_geary_tells_significance_by_conditional_permutation(spark):
+    """Values of other points are drawn in the place of the neighbours', never the point's own."""
+    import hashlib
+    rng = np.random.default_rng(7)
+    n, k, count = 40, 4, 199
+    p, v = rng.uniform(0, 1, (n, 2)), rng.normal(size=n)
+    v[np.argsort(p[:, 0])[:8]] = 5.0
+    d = spark.createDataFrame([(i, *map(float, (*p[i], v[i]))) for i in range(n)], "id long, x double, y double, v double")
+    got = {r["id"]: r for r in spatial.local_geary(d, "id", "x", "y", "v", k, count).collect()}
+    z = (v - v.mean()) / v.std()
+    far = np.hypot(*(p[:, None] - p).transpose(2, 0, 1))
+    np.fill_diagonal(far, np.inf)
+    w = np.zeros((n, n), bool)
+    w[np.repeat(np.arange(n), k), np.argsort(far, axis=1)[:, :k].ravel()] = True
+    w |= w.T
+    order = sorted(range(n), key=lambda i: (hashlib.md5(f"{i}-42".encode()).hexdigest()[:12], i))
+    for i in range(n):
+        m, c = w[i].sum(), ((z[i] - z[w[i]]) ** 2).mean()
+        draws = [[order[(a * u + b) % n] for u in range(n)] for a, b in spatial.relabelings(n, count)]
+        sims = np.array([((z[i] - z[[j for j in t if j != i][:m]]) ** 2).mean() for t in draws])
+        at = min((sims.round(9) <= round(c, 9)).sum(), (sims.round(9) >= round(c, 9)).sum())
+        assert abs(got[i]["p"] - (at + 1) / (count + 1)) < 1e-12 and abs(got[i]["expected"] - sims.mean()) < 1e-9
+        assert got[i]["kind"] == ("ns" if got[i]["p"] >= 0.05 else "similar" if c < sims.mean() else "dissimilar")
+    assert {r["kind"] for r in got.values()} >= {"ns", "similar"}
